@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.operators import proximity, spikes
+from terrafold.operators import impute, proximity, spikes
 
 RADIUS_M = 150.0
 
@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.filled_fields(impute.fill_keyframes(table(spark, sf_dir, "cameras")))
+
+
+def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every keyframe with its fields filled and the marks."""
+    f = impute.fill_keyframes(table(spark, sf_dir, "cameras"))
+    return f.withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7), "alt": F.round("alt", 3)})
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible_frames(table(spark, sf_dir, "frames"))
 
@@ -53,10 +63,28 @@ def p5_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(key["stream"].alias("stream"), key["frame_id"].alias("frame_id"), F.coalesce("n_maps", F.lit(0)).cast("long").alias("n_maps"), F.coalesce("n_zones", F.lit(0)).cast("long").alias("n_zones"), F.col("best.id_right").alias("nearest_map"), F.round("best.dist_m", 3).alias("nearest_m"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_fences": p3_fences, "p5_found": p5_found, "p5_frames": p5_frames}
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p3_fences": p3_fences, "p5_found": p5_found, "p5_frames": p5_frames}
 
 #: Brute force over whole tables.
 ORACLE = {
+    "p1_found": """
+WITH c AS (
+  SELECT map_id, frame,
+    CASE WHEN NOT isnan(gps.lat) AND abs(gps.lat) <= 90 AND NOT coalesce(gps.lat = 0 AND gps.lon = 0, false) THEN gps.lat END AS lat,
+    CASE WHEN NOT isnan(gps.lon) AND abs(gps.lon) <= 180 AND NOT coalesce(gps.lat = 0 AND gps.lon = 0, false) THEN gps.lon END AS lon,
+    CASE WHEN NOT isnan(gps.alt) AND gps.alt >= -1000 THEN gps.alt END AS alt,
+    CASE WHEN trim(gps_fix) IN ('rtk_fixed', 'rtk_float', 'dgps', 'single') THEN gps_fix END AS fix
+  FROM cameras),
+m AS (SELECT map_id, max(abs(alt)) FILTER (WHERE alt <> 0) AS far FROM c GROUP BY 1),
+k AS (
+  SELECT map_id, frame, count(lat) AS lat, count(lon) AS lon, count(CASE WHEN alt <> 0 OR far <= 20 THEN alt END) AS alt, count(fix) AS fix
+  FROM c JOIN m USING (map_id) GROUP BY 1, 2),
+t AS (SELECT map_id, sum(lat) AS lat, sum(lon) AS lon, sum(alt) AS alt, sum(fix) AS fix FROM k GROUP BY 1)
+SELECT map_id, frame, 'lat' AS field FROM k JOIN t USING (map_id) WHERE k.lat = 0 AND t.lat > 0
+UNION ALL SELECT map_id, frame, 'lon' FROM k JOIN t USING (map_id) WHERE k.lon = 0 AND t.lon > 0
+UNION ALL SELECT map_id, frame, 'alt' FROM k JOIN t USING (map_id) WHERE k.alt = 0 AND t.alt > 0
+UNION ALL SELECT map_id, frame, 'fix' FROM k JOIN t USING (map_id) WHERE k.fix = 0 AND t.fix > 0
+""",
     "p5_found": """
 WITH c AS (
   SELECT DISTINCT map_id AS id, center_gps.lat AS lat, (((center_gps.lon + 180) % 360) + 360) % 360 - 180 AS lon
@@ -66,13 +94,13 @@ near AS (
   SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.id < b.id
   WHERE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 150),
 corner AS (
-  SELECT zone_id, unnest(ring).lat AS lat, unnest(ring).lon AS lon, generate_subscripts(ring, 1) AS k, len(ring) AS n FROM zones),
+  SELECT zone_id, unnest(ring).lat AS lat, ((unnest(ring).lon - ring[1].lon + 540) % 360 + 360) % 360 - 180 AS x, ring[1].lon AS x0, generate_subscripts(ring, 1) AS k, len(ring) AS n FROM zones),
 edge AS (
-  SELECT a.zone_id, a.lat AS y1, a.lon AS x1, b.lat AS y2, ((b.lon - a.lon + 540) % 360 + 360) % 360 - 180 AS dx
+  SELECT a.zone_id, a.x0, a.lat AS y1, a.x AS x1, b.lat AS y2, b.x - a.x AS dx
   FROM corner a JOIN corner b ON a.zone_id = b.zone_id AND b.k = a.k % a.n + 1),
 hit AS (
   SELECT c.id AS id_a, e.zone_id AS id_b, count(*) AS n FROM c JOIN edge e
-    ON (e.y1 > c.lat) <> (e.y2 > c.lat) AND ((((c.lon - e.x1) + 540) % 360) + 360) % 360 - 180 < e.dx * (c.lat - e.y1) / (e.y2 - e.y1)
+    ON (e.y1 > c.lat) <> (e.y2 > c.lat) AND ((c.lon - e.x0 + 540) % 360 + 360) % 360 - 180 < e.x1 + e.dx * (c.lat - e.y1) / (e.y2 - e.y1)
   GROUP BY 1, 2)
 SELECT id_a, id_b FROM near UNION SELECT id_a, id_b FROM hit WHERE n % 2 = 1
 """,
