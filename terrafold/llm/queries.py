@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import dedup
+from terrafold.llm import cluster, dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,14 @@ def p2_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offered(spark, sf_dir)[0]
 
 
-QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.objects(table(spark, sf_dir, "segments")).select("target_id", "head_ord", "ord")
+
+
+def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's size, centre and most typical points."""
+    return cluster.described(cluster.objects(table(spark, sf_dir, "segments")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects}
 ORACLE: dict[str, str] = {}
