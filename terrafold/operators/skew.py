@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000, how: str = "inner") -> DataFrame:
+def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000, counts: DataFrame | None = None) -> DataFrame:
     """Equi-join in which the build rows of a hot key are spread over several splits.
 
     The number of splits of a key comes from its exact row count (pre-aggregated map-side); only probe rows of hot
     keys are copied, once per split, so each build row still meets each probe row exactly once. Null keys never match.
     Inner joins only: with copies, an outer row could not tell whether another split matched.
+    counts: keys and _n, the build side's rows of each key, where they are known already.
     """
-    if how != "inner":
-        raise ValueError("salted_join is an inner join")
     hot = (
-        build.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        (build.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts)
         .where(F.col("_n") > rows_per_split)
         .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
     )
