@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import cluster, dedup
+from terrafold.llm import cluster, dedup, mixing, packing, tokens
+from terrafold.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +37,33 @@ def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.described(cluster.objects(table(spark, sf_dir, "segments")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [(r["container"], r["capacity"]) for r in table(spark, sf_dir, "containers").limit(packing.MAX_CONTAINERS + 1).collect()]
+    return packing.packed(cut(tokens.document_sizes(table(spark, sf_dir, "documents"))), kinds)
+
+
+def p6_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill of each container."""
+    return packing.fills(p6_packed(spark, sf_dir))
+
+
+def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each text is used, in pass order of the mix."""
+    sizes = cut(tokens.document_sizes(table(spark, sf_dir, "documents")))
+    return mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))[0].select("doc_id", "source", "n_tokens", "times_used", F.round("first_finish", 3).alias("first_finish"))
+
+
+def p7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself, sorted by virtual finish time."""
+    sizes = cut(tokens.document_sizes(table(spark, sf_dir, "documents")))
+    return mixing.stream(mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))[0])
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share each source really gets."""
+    sizes = cut(tokens.document_sizes(table(spark, sf_dir, "documents")))
+    return mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))[1].withColumn("actual_share", F.round("actual_share", 6))
+
+
+QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects, "p6_packed": p6_packed, "p6_fills": p6_fills, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_shares": p7_shares}
 ORACLE: dict[str, str] = {}
