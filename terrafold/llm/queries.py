@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import cluster, dedup, mixing, packing, tokens
+from terrafold.llm import cluster, dedup, mixing, packing, pii, tokens
 from terrafold.session import cut
 
 
@@ -65,5 +65,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))[1].withColumn("actual_share", F.round("actual_share", 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects, "p6_packed": p6_packed, "p6_fills": p6_fills, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mentions(table(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders."""
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects, "p6_packed": p6_packed, "p6_fills": p6_fills, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}

@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.session import spread_out
+
 TOKENIZER = os.environ.get("TERRAFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _loaded: dict[str, object] = {}
 
 
@@ -38,7 +40,7 @@ def token_counts(documents: DataFrame, keep: list[str], path: str = TOKENIZER) -
 
     types = dict(documents.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_tokens long"])
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInPandas(count, schema)
+    return spread_out(documents.select(*dict.fromkeys([*keep, "text"]))).mapInPandas(count, schema)
 
 
 def document_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
