@@ -33,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written to the reliable checkpoint folder that all executors share."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """For work that is heavy for each row: a table read as fewer partitions than there are cores is spread over them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
