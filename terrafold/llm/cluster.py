@@ -179,7 +179,7 @@ def _cluster(g: pd.DataFrame) -> pd.DataFrame:
 
 def _cluster_settled(g: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
     if not len(g):
-        return pd.DataFrame({c.split()[0]: [] for c in _LABELS.split(", ")})
+        return pd.DataFrame({c.split()[0]: np.zeros(0, np.int64) for c in _LABELS.split(", ")})
     ids, n, head, a, b, links, total, _, _ = _graph(g)
     if len(extra):
         a = np.r_[a, np.searchsorted(ids, extra.cell.to_numpy())]
