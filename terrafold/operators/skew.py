@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Hash buckets in which hot keys are looked for; what reaches the driver is one number for each.
+BUCKETS = 4096
 
-def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000, counts: DataFrame | None = None) -> DataFrame:
-    """Equi-join in which the build rows of a hot key are spread over several splits.
 
-    The number of splits of a key comes from its exact row count (pre-aggregated map-side); only probe rows of hot
-    keys are copied, once per split, so each build row still meets each probe row exactly once. Null keys never match.
-    Inner joins only: with copies, an outer row could not tell whether another split matched.
-    counts: keys and _n, the build side's rows of each key, where they are known already.
-    """
-    hot = (
-        (build.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts)
-        .where(F.col("_n") > rows_per_split)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
-    )
-    b = build.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_splits").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_splits"))).cast("int")).drop("_splits")
-    p = probe.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1))).drop("_splits")
+def _spread(probe: DataFrame, build: DataFrame, keys: list[str], hot: DataFrame, rows_per_split: int) -> DataFrame:
+    """The join in which each key of `hot` (keys, _n rows) is cut into splits: build rows go to one, probe rows to all."""
+    h = hot.select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
+    b = build.join(h, keys, "left").withColumn("_salt", F.when(F.col("_splits").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_splits"))).cast("int")).drop("_splits")
+    p = probe.join(h, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1))).drop("_splits")
     return p.join(b, [*keys, "_salt"]).drop("_salt")
 
 
+def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000, counts: DataFrame | None = None, reduce_hot: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Inner equi-join in which the build rows of a hot key are spread over several splits.
+
+    Hot keys are found from the build side's row counts in BUCKETS hash buckets (pre-aggregated map-side, so next to
+    nothing is shuffled); only in buckets that stand out are keys counted one by one. Rows of other buckets join plainly;
+    in hot buckets each build row goes to one split of its key and probe rows to all, so each pair still meets exactly
+    once. Null keys never match. counts: keys and _n, the build side's rows of each key, where they are known already.
+    reduce_hot: applied to the build rows of hot buckets first, for instance to merge equal ones. The build side is read
+    up to three times; cut it before if it is costly.
+    """
+    if counts is not None:
+        hot = counts.where(F.col("_n") > rows_per_split)
+        return probe.join(build, keys) if hot.isEmpty() else _spread(probe, build, keys, hot, rows_per_split)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    sizes = build.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+    mean = sum(r["n"] for r in sizes) / BUCKETS
+    hot_buckets = [r["_b"] for r in sizes if r["n"] > rows_per_split + 2 * mean]
+    if not hot_buckets:
+        return probe.join(build, keys)
+    is_hot = bucket.isin(hot_buckets)
+    dense = build.where(is_hot)
+    if reduce_hot is not None:
+        dense = reduce_hot(dense)
+    hot = dense.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_split)
+    cold = probe.where(~is_hot).join(build.where(~is_hot), keys)
+    return cold.unionByName(_spread(probe.where(is_hot), dense, keys, hot, rows_per_split))
+
+
 def attach_group_stats(rows: DataFrame, stats: DataFrame, key: str, spread_by: str, copies: int = 16) -> DataFrame:
     """Joins one stats row per group onto the group's rows; the rows of a group are spread over `copies` partitions.
 
