@@ -2,13 +2,13 @@
 
 A point's tokens are the cells (x, y, z, confidence) that its reach touches. Any accepted point that it repeats has its
 home cell among them, so the rare prefix that history must be indexed by is a single token, the home cell: the cells
-are several reaches wide, nearly all hold a point or none, and hot ones are split in the join. The index keeps these
+are several reaches wide, nearly all hold a point or none, and hot ones are merged by equal points and split in the join. The index keeps these
 postings partitioned by token; a new batch probes its tokens, the confidence cuts candidates like a length filter, and
 the exact distance verifies them. Accepted points are appended as further postings; old ones are neither read in full
 per batch nor written again.
 
 Within the batch rows are taken by ascending ord: a row is accepted exactly if no accepted row before it is within
-reach. Equal points are first collapsed to their first ord. Then rounds: the first open row of each clique cell (any two
+reach. This takes rounds: the first open row of each clique cell (any two
 points of such a cell repeat each other) meets the open rows around it once; it is accepted if none before it is in
 reach, and rows after an accepted one in its reach are repeats of it. A round's pairs number open rows times
 neighbouring cells, never the square of a cell.
@@ -34,7 +34,7 @@ class Reach:
 
     radius: float = 0.05
     conf: float = 1.0
-    width: float = 8.0
+    width: float = 16.0
 
     @property
     def cell(self) -> float:
@@ -45,20 +45,19 @@ class Reach:
         return self.conf * self.width
 
 
-def clean_points(df: DataFrame) -> DataFrame:
-    """ord, x, y, z, conf of rows with a finite position and conf; equal ord is the same row (the least values stay). -0.0 becomes 0.0."""
+def finite_points(df: DataFrame) -> DataFrame:
+    """ord, x, y, z, conf of rows with an ord, a finite position and a finite conf; -0.0 becomes 0.0."""
     inf = float("inf")
     ok = F.col("ord").isNotNull()
     for c in POINT[1:]:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < inf)
-    rows = df.select(*POINT).where(F.coalesce(ok, F.lit(False)))
-    best = rows.groupBy("ord").agg(F.min(F.struct(*[(F.col(c) + 0.0).alias(c) for c in POINT[1:]])).alias("p"))
-    return best.select("ord", "p.*")
+    return df.where(F.coalesce(ok, F.lit(False))).select("ord", *[(F.col(c) + 0.0).alias(c) for c in POINT[1:]])
 
 
-def distinct_points(points: DataFrame) -> DataFrame:
-    """Equal points as one row under the first ord."""
-    return points.groupBy("x", "y", "z", "conf").agg(F.min("ord").alias("ord")).select(*POINT)
+def clean_points(df: DataFrame) -> DataFrame:
+    """finite_points with each ord once: equal ord is the same row, the least values stay."""
+    best = finite_points(df).groupBy("ord").agg(F.min(F.struct(*POINT[1:])).alias("p"))
+    return best.select("ord", "p.*")
 
 
 def _floor(c: str, size: float, shift: float = 0.0):
@@ -84,14 +83,23 @@ def _within(a: str, b: str, r: Reach):
 
 
 def postings(points: DataFrame, r: Reach) -> DataFrame:
-    """The postings of distinct points: token and the point."""
+    """The postings of points: token and the point."""
     return points.withColumn("token", home_token(r)).select("token", *[F.col(c).alias(f"k_{c}") for c in POINT])
 
 
-def probe(points: DataFrame, index: DataFrame, r: Reach) -> DataFrame:
-    """(ord, k_ord) of each point and each posting within reach. A pair meets in one token only, the posting's home."""
-    p = probe_tokens(points.select(*[F.col(c).alias(c) for c in POINT]), r)
-    hit = salted_join(p.select("token", *[F.col(c).alias(f"p_{c}") for c in POINT]), index, ["token"])
+def _merge_equal(index: DataFrame) -> DataFrame:
+    """Equal points as one posting under the first ord."""
+    same = ["token", "k_x", "k_y", "k_z", "k_conf"]
+    return index.groupBy(*same).agg(F.min("k_ord").alias("k_ord")).select("token", *[f"k_{c}" for c in POINT])
+
+
+def probe(points: DataFrame, index: DataFrame, r: Reach, merge: bool = True) -> DataFrame:
+    """(ord, k_ord) of each point and each posting within reach; a pair meets in one token only, the posting's home.
+
+    With merge, equal postings in hot cells are one, under their first ord: a history of copies costs what one costs.
+    """
+    p = probe_tokens(points.select(*POINT), r)
+    hit = salted_join(p.select("token", *[F.col(c).alias(f"p_{c}") for c in POINT]), index, ["token"], reduce_hot=_merge_equal if merge else None)
     return hit.where(_within("p_", "k_", r)).select(F.col("p_ord").alias("ord"), "k_ord")
 
 
@@ -101,34 +109,29 @@ def _clique(r: Reach):
 
 
 def resolve_batch(points: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
-    """Greedy acceptance by ascending ord among distinct points: (accepted points, (kept_ord, dup_ord))."""
+    """Greedy acceptance by ascending ord among points of distinct ord: (accepted ords, (kept_ord, dup_ord))."""
     open_ = points.select(*POINT)
     accepted, repeats = [], []
     while True:
-        rows = open_.withColumn("clique", _clique(r))
-        # xxhash64 of the cell could join two cells in one group; that only delays a row to a later round.
-        leaders = rows.groupBy("clique").agg(F.min(F.struct(*POINT)).alias("p")).select("p.*")
-        pairs = probe(leaders, postings(open_, r), r).where(F.col("ord") != F.col("k_ord"))
-        # One job a round: which leaders are blocked, and who stands in their reach.
-        pairs = cut(pairs.select(F.col("ord").alias("lead"), F.col("k_ord").alias("other")))
-        blocked = pairs.where(F.col("other") < F.col("lead")).select(F.col("lead").alias("ord")).distinct()
-        taken = leaders.join(blocked, "ord", "left_anti")
-        followers = pairs.where(F.col("other") > F.col("lead")).withColumnRenamed("lead", "ord").join(blocked, "ord", "left_anti")
-        dup = followers.groupBy(F.col("other").alias("dup_ord")).agg(F.min("ord").alias("kept_ord")).select("kept_ord", "dup_ord")
-        # Only rows named in a pair, and rows behind a blocked or taken leader of their clique, can stay open.
-        settled = taken.select("ord").unionByName(dup.select(F.col("dup_ord").alias("ord")))
-        taken, dup = cut(taken), cut(dup)
-        rest = cut(open_.join(settled, "ord", "left_anti"))
+        # xxhash64 of a cell could join two cells in one group; that only delays a row to a later round.
+        leaders = open_.groupBy(_clique(r)).agg(F.min(F.struct(*POINT)).alias("p")).select("p.*")
+        # Who stands in the reach of a leader, the leader itself included: pairs of numbers, on which the rest of the round works.
+        pairs = cut(probe(leaders, postings(open_, r), r, merge=False).select(F.col("ord").alias("lead"), F.col("k_ord").alias("other")))
+        seen = pairs.groupBy("lead").agg(F.min("other").alias("first"))
+        taken = seen.where(F.col("first") == F.col("lead")).select(F.col("lead").alias("ord"))
+        follow = pairs.where(F.col("other") > F.col("lead")).withColumnRenamed("lead", "ord").join(taken, "ord", "left_semi")
+        dup = follow.groupBy(F.col("other").alias("dup_ord")).agg(F.min("ord").alias("kept_ord")).select("kept_ord", "dup_ord")
+        settled = taken.unionByName(dup.select(F.col("dup_ord").alias("ord")))
         accepted.append(taken)
         repeats.append(dup)
-        if rest.isEmpty():
+        open_ = cut(open_.join(settled, "ord", "left_anti"))
+        if open_.isEmpty():
             break
-        open_ = rest
     acc, rep = accepted[0], repeats[0]
-    for a in accepted[1:]:
-        acc = acc.unionByName(a)
-    for d in repeats[1:]:
-        rep = rep.unionByName(d)
+    for x in accepted[1:]:
+        acc = acc.unionByName(x)
+    for x in repeats[1:]:
+        rep = rep.unionByName(x)
     return acc, rep
 
 
@@ -140,18 +143,10 @@ def accept(batch: DataFrame, index: DataFrame, r: Reach = Reach()) -> tuple[Data
     empty batch gives two empty tables; further columns are ignored.
     """
     points = cut(clean_points(batch))
-    first = distinct_points(points)
-    known = probe(first, index, r).groupBy("ord").agg(F.min("k_ord").alias("k_ord"))
-    # k_ord is null for points not in the index.
-    checked = cut(first.join(known, "ord", "left"))
-    fresh = checked.where(F.col("k_ord").isNull()).select(*POINT)
+    known = cut(probe(points, index, r).groupBy("ord").agg(F.min("k_ord").alias("k_ord")))
+    fresh = cut(points.join(known, "ord", "left_anti"))
     taken, dup = resolve_batch(fresh, r)
-    by_class = dup.select(F.col("dup_ord").alias("ord"), "kept_ord").unionByName(checked.where(F.col("k_ord").isNotNull()).select("ord", F.col("k_ord").alias("kept_ord")))
-    # Copies share the fate of the first of them: repeats of what it repeats, or of itself where it was accepted.
-    copies = points.join(first.select("x", "y", "z", "conf", F.col("ord").alias("first_ord")), ["x", "y", "z", "conf"]).where(F.col("ord") != F.col("first_ord")).select("ord", "first_ord")
-    copied = copies.join(by_class.select(F.col("ord").alias("first_ord"), "kept_ord"), "first_ord", "left").select(F.coalesce("kept_ord", "first_ord").alias("kept_ord"), F.col("ord").alias("dup_ord"))
-    repeats = by_class.select("kept_ord", F.col("ord").alias("dup_ord")).unionByName(copied)
-    return taken, repeats
+    return fresh.join(taken, "ord", "left_semi"), known.select(F.col("k_ord").alias("kept_ord"), F.col("ord").alias("dup_ord")).unionByName(dup)
 
 
 class PostingIndex:
@@ -161,8 +156,8 @@ class PostingIndex:
         self.spark, self.path, self.reach, self.buckets = spark, path, reach, buckets
 
     def append(self, points: DataFrame) -> None:
-        """Adds the points' postings (equal points once within the call)."""
-        rows = postings(distinct_points(points), self.reach).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
+        """Adds the points' postings."""
+        rows = postings(points, self.reach).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
         rows.repartition(self.buckets, "bucket", F.pmod("k_ord", F.lit(8))).write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def read(self) -> DataFrame:

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reach = dedup.Reach()
-    index = dedup.postings(dedup.distinct_points(dedup.clean_points(table(spark, sf_dir, "site"))), reach)
+    index = dedup.postings(dedup.finite_points(table(spark, sf_dir, "site")), reach)
     return dedup.accept(table(spark, sf_dir, "site_batches"), index, reach)
 
 
