@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.proximity import finite, norm_lon
-from terrafold.operators.skew import attach_group_stats
+from terrafold.operators.skew import GroupSpread
 
 # Fix types that receivers report.
 FIX_TYPES = ("rtk_fixed", "rtk_float", "dgps", "single")
@@ -34,18 +34,21 @@ RIDGE = 1e-4
 FIELDS = ("lat", "lon", "alt", "fix")
 
 
-def keyframes(cameras: DataFrame) -> DataFrame:
+def keyframes(cameras: DataFrame) -> tuple[DataFrame, GroupSpread]:
     """One row a keyframe with what any of its rows carries (the least value where rows differ), before the zero-altitude rule.
 
-    Rows without map_id or frame are no keyframes. Columns: map_id, frame, cx, cy, cz, lat, lon, alt, alt_zero, fix.
+    Rows without map_id or frame are no keyframes. Columns: map_id, frame, cx, cy, cz, lat, lon, alt, alt_zero, fix, and
+    _salt, by which (and map_id) the rows are placed once for all that follows.
     """
     lat, lon, alt = F.col("gps.lat"), F.col("gps.lon"), F.col("gps.alt")
     null_island = F.coalesce((lat == 0.0) & (lon == 0.0), F.lit(False))
     fix = F.trim("gps_fix")
-    return (
-        cameras.where(F.col("map_id").isNotNull() & F.col("frame").isNotNull())
+    rows = cameras.where(F.col("map_id").isNotNull() & F.col("frame").isNotNull())
+    spread = GroupSpread(rows, "map_id", "frame")
+    kf = (
+        spread.place(rows.select("map_id", "frame", "cx", "cy", "cz", "gps", "gps_fix"))
         .select(
-            "map_id", "frame",
+            "map_id", "_salt", "frame",
             *[F.when(finite(F.col(c)), F.col(c)).alias(c) for c in ("cx", "cy", "cz")],
             F.when(finite(lat) & (F.abs(lat) <= 90.0) & ~null_island, lat).alias("lat"),
             F.when(finite(lon) & (F.abs(lon) <= 180.0) & ~null_island, lon).alias("lon"),
@@ -53,12 +56,13 @@ def keyframes(cameras: DataFrame) -> DataFrame:
             F.coalesce(alt == 0.0, F.lit(False)).alias("alt_zero"),
             F.when(fix.isin(*FIX_TYPES), fix).alias("fix"),
         )
-        .groupBy("map_id", "frame")
+        .groupBy("map_id", "_salt", "frame")
         .agg(*[F.min(c).alias(c) for c in ("cx", "cy", "cz", "lat", "lon", "alt")], F.max("alt_zero").alias("alt_zero"), F.min("fix").alias("fix"))
     )
+    return kf, spread
 
 
-def with_map_reference(kf: DataFrame) -> DataFrame:
+def with_map_reference(kf: DataFrame, spread: GroupSpread) -> DataFrame:
     """Adds the map's reference position and extents, and applies the zero-altitude rule."""
     ref = kf.groupBy("map_id").agg(
         F.min("lat").alias("lat0"), F.min("lon").alias("lon0"), F.min("alt").alias("alt0"), F.max(F.abs("alt")).alias("_far"),
@@ -66,7 +70,7 @@ def with_map_reference(kf: DataFrame) -> DataFrame:
         F.sqrt(F.var_pop("cx") + F.var_pop("cy") + F.var_pop("cz")).alias("scale"),
     )
     zero_ok = F.coalesce(F.col("_far") <= ZERO_ALT_M, F.lit(False))
-    x = attach_group_stats(kf, ref, "map_id", "frame")
+    x = spread.join(kf, ref)
     x = x.withColumn("alt", F.when(F.col("alt").isNull() & F.col("alt_zero") & zero_ok, F.lit(0.0)).otherwise(F.col("alt"))).drop("alt_zero", "_far")
     scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)
     for c in ("cx", "cy", "cz"):
@@ -75,7 +79,7 @@ def with_map_reference(kf: DataFrame) -> DataFrame:
         x.withColumn("e", norm_lon(F.col("lon") - F.col("lon0")) * METRES_PER_DEGREE * F.cos(F.radians(F.coalesce("lat0", F.lit(0.0)))))
         .withColumn("n", (F.col("lat") - F.col("lat0")) * METRES_PER_DEGREE)
         .withColumn("u", F.col("alt") - F.col("alt0"))
-        .drop("scale", "alt0")
+        .drop("scale")
     )
 
 
@@ -88,10 +92,10 @@ def map_models(x: DataFrame) -> DataFrame:
         aggs += [F.coalesce(F.sum(F.when(there, z[i] * z[j])), F.lit(0.0)).alias(f"{t}_{i}{j}") for i in range(4) for j in range(i, 4)]
         aggs += [F.coalesce(F.sum(F.when(there, z[i] * F.col(t))), F.lit(0.0)).alias(f"{t}_y{i}") for i in range(4)]
     # lon needs lat0 for metres; a map that carries longitudes only is measured at the equator's scale.
-    carries = [F.count("lat").alias("c_lat"), F.count("lon").alias("c_lon"), F.count("alt").alias("c_alt"), F.count("fix").alias("c_fix"), F.min("alt").alias("alt0")]
+    carries = [F.count("lat").alias("c_lat"), F.count("lon").alias("c_lon"), F.count("alt").alias("c_alt"), F.count("fix").alias("c_fix")]
     fixes = [F.sum(F.when(F.col("fix") == v, 1).otherwise(0)).alias(f"f{k}") for k, v in enumerate(FIX_TYPES)]
     stats = x.groupBy("map_id").agg(*aggs, *carries, *fixes)
-    keep = ["map_id", "c_lat", "c_lon", "c_alt", "c_fix", "alt0", *[f"f{k}" for k in range(len(FIX_TYPES))]]
+    keep = ["map_id", "c_lat", "c_lon", "c_alt", "c_fix", *[f"f{k}" for k in range(len(FIX_TYPES))]]
     names = [f"{t}_b{i}" for t in ("e", "n", "u") for i in range(4)]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,9 +201,9 @@ def fill_keyframes(cameras: DataFrame, passes: int = PASSES) -> DataFrame:
     Null, NaN, blank and impossible values are missing. Rows that repeat a keyframe are merged; an empty table gives an
     empty result; further columns of the input are ignored.
     """
-    x = with_map_reference(keyframes(cameras))
-    models = map_models(x)
-    y = attach_group_stats(x.drop("alt0"), models, "map_id", "frame")
+    kf, spread = keyframes(cameras)
+    x = with_map_reference(kf, spread)
+    y = spread.join(x, map_models(x))
     expect = {t: sum((F.col(f"{t}_b{i}") * F.col(c) for i, c in ((1, "_cx"), (2, "_cy"), (3, "_cz"))), F.col(f"{t}_b0")) for t in ("e", "n", "u")}
     cat = F.coalesce(*[F.when(F.col("fix") == v, F.lit(k)) for k, v in enumerate(FIX_TYPES)], F.lit(-1))
     y = y.select(

@@ -47,11 +47,26 @@ def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_sp
     return cold.unionByName(_spread(probe.where(is_hot), dense, keys, hot, rows_per_split))
 
 
-def attach_group_stats(rows: DataFrame, stats: DataFrame, key: str, spread_by: str, copies: int = 16) -> DataFrame:
-    """Joins one stats row per group onto the group's rows; the rows of a group are spread over `copies` partitions.
+class GroupSpread:
+    """Keeps rows and per-group statistics joinable on (key, _salt), with the rows of hot groups spread over `copies` parts.
 
-    A group holding a third of all rows is so split into `copies` parts; the stats (one row a group) are copied instead.
+    Hot groups are found as in salted_join, from one map-side combined count. `place` partitions rows by (key, _salt) once;
+    grouping by further columns that `spread_by` fixes, and joining statistics, then needs no further shuffle of the rows.
     """
-    r = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(copies)).cast("int"))
-    s = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return r.join(s, [key, "_salt"]).drop("_salt")
+
+    def __init__(self, rows: DataFrame, key: str, spread_by: str, rows_per_part: int = 50_000, copies: int = 64):
+        self.key, self.spread_by, self.copies = key, spread_by, copies
+        self.bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        sizes = rows.groupBy(self.bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+        mean = sum(r["n"] for r in sizes) / BUCKETS
+        self.hot = [r["_b"] for r in sizes if r["n"] > rows_per_part + 2 * mean]
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64(self.spread_by), F.lit(self.copies)).cast("int")
+        salt = F.when(self.bucket.isin(self.hot), part).otherwise(0) if self.hot else F.lit(0)
+        return rows.withColumn("_salt", salt).repartition(self.key, "_salt")
+
+    def join(self, placed: DataFrame, stats: DataFrame) -> DataFrame:
+        """placed rows with the statistics (one row a group) of their group; groups without statistics drop out."""
+        top = F.when(self.bucket.isin(self.hot), self.copies - 1).otherwise(0) if self.hot else F.lit(0)
+        return placed.join(stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), top))), [self.key, "_salt"])
