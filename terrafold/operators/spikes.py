@@ -43,12 +43,13 @@ def chunked(frames: DataFrame, chunk: int, margin: int) -> DataFrame:
     f = frames.where(F.col("stream").isNotNull() & F.col("frame_id").isNotNull()).select(
         "stream", "frame_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "displacement", "latitude", "longitude", "altitude"
     )
-    own = F.floor(F.col("frame_id") / chunk)
-    pos = F.pmod(F.col("frame_id"), F.lit(chunk))
+    # Frame numbers count up from 0; what is below counts to the first chunk, which has no neighbour before it.
+    own = F.greatest(F.lit(0), F.floor(F.col("frame_id") / chunk))
+    pos = F.col("frame_id") - own * chunk
     places = F.array_compact(
         F.array(
             F.struct(own.alias("chunk"), F.lit(True).alias("core")),
-            F.when(pos < margin, F.struct((own - 1).alias("chunk"), F.lit(False).alias("core"))),
+            F.when((own > 0) & (pos < margin), F.struct((own - 1).alias("chunk"), F.lit(False).alias("core"))),
             F.when(pos >= chunk - margin, F.struct((own + 1).alias("chunk"), F.lit(False).alias("core"))),
         )
     )
