@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.operators.skew import attach_group_stats, salted_join
+from terrafold.operators.skew import GroupSpread, salted_join
 from terrafold.session import cut
 
 REACH, LEAST_POINTS, TYPICAL = 0.02, 20, 3
@@ -40,11 +40,12 @@ def placed_points(segments: DataFrame, reach: float = REACH) -> DataFrame:
     for c in ("x", "y", "z"):
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < inf)
     rows = segments.select("target_id", "ord", "x", "y", "z").where(F.coalesce(ok, F.lit(False)))
-    pts = rows.groupBy("target_id", "ord").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("target_id", "ord", "p.*")
+    spread = GroupSpread(rows, "target_id", "ord")
+    pts = spread.place(rows).groupBy("target_id", "_salt", "ord").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("target_id", "_salt", "ord", "p.*")
     box = pts.groupBy("target_id").agg(*[F.min(c).alias(f"lo_{c}") for c in ("x", "y", "z")], *[F.max(c).alias(f"hi_{c}") for c in ("x", "y", "z")])
     diagonal = F.sqrt(sum((F.pow(F.col(f"hi_{c}") - F.col(f"lo_{c}"), 2) for c in ("y", "z")), F.pow(F.col("hi_x") - F.col("lo_x"), 2)))
     box = box.withColumn("reach", F.lit(reach) * diagonal).drop("hi_x", "hi_y", "hi_z")
-    p = attach_group_stats(pts, box, "target_id", "ord")
+    p = spread.join(pts, box)
     side = F.when(F.col("reach") > 0, F.col("reach") * ((1 - 1e-9) / math.sqrt(3))).otherwise(1.0)
     i, j, k = (F.floor((F.col(c) - F.col(f"lo_{c}")) / side) for c in ("x", "y", "z"))
     cell = F.shiftleft(i, 2 * _BITS).bitwiseOR(F.shiftleft(j, _BITS)).bitwiseOR(k)
