@@ -288,7 +288,8 @@ def mentions(documents: DataFrame) -> DataFrame:
             texts, ids = b.text.tolist(), b.doc_id.to_numpy()
             for s in _blocks(texts):
                 rows = [(i, *x) for i, found in zip(ids[s], decode(texts[s], m)) for x in found]
-                yield pd.DataFrame(rows, columns=["doc_id", "kind", "begin_at", "end_at"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "kind", "begin_at", "end_at"])
 
     return spread_out(_texts(documents)).mapInPandas(find, "doc_id long, kind string, begin_at int, end_at int").distinct()
 
@@ -300,6 +301,8 @@ def redacted(documents: DataFrame) -> DataFrame:
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for b in batches:
+            if not len(b):
+                continue
             texts = [t if isinstance(t, str) else "" for t in b.text]
             new, count = [], []
             for s in _blocks(texts):

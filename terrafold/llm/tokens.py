@@ -35,6 +35,8 @@ def token_counts(documents: DataFrame, keep: list[str], path: str = TOKENIZER) -
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for b in batches:
+            if not len(b):
+                continue
             n = [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in b.text]
             yield b[keep].assign(n_tokens=pd.Series(n, index=b.index, dtype="int64"))
 
