@@ -46,6 +46,12 @@ class Registry:
 reconstructors, segmenters = Registry("reconstructor"), Registry("segmenter")
 
 
+def _empty(g: pd.DataFrame, schema: str) -> pd.DataFrame:
+    """No rows, with column types that convert."""
+    kinds = {"int": "int32", "long": "int64", "double": "float64", "boolean": "bool"}
+    return pd.DataFrame({c: g.map_id.iloc[:0] if k == "string" else pd.Series([], dtype=kinds[k]) for c, k in (x.split() for x in schema.split(", "))})
+
+
 def reconstruct(frames: DataFrame, name: str) -> DataFrame:
     """Points of every map by the named reconstructor; a map whose model fails gives no rows."""
     model = reconstructors.get(name)
@@ -55,7 +61,7 @@ def reconstruct(frames: DataFrame, name: str) -> DataFrame:
         try:
             return model(g)[columns]
         except Exception:  # noqa: BLE001 - errors are values in a batch run
-            return pd.DataFrame({c: [] for c in columns})
+            return _empty(g, POINTS)
 
     return frames.groupBy("map_id").applyInPandas(run, POINTS)
 
@@ -73,7 +79,7 @@ def segment(frames: DataFrame, query: str, name: str) -> DataFrame:
                 out += [(f.map_id, f.frame, r, c, q, True) for r, c in model(f, q)]
             except Exception:  # noqa: BLE001, S112
                 continue
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MASKS.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MASKS.split(", ")]) if out else _empty(g, MASKS)
 
     return frames.groupBy("map_id").applyInPandas(run, MASKS)
 

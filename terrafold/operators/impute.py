@@ -215,6 +215,8 @@ def fill_keyframes(cameras: DataFrame, passes: int = PASSES) -> DataFrame:
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             r, c = b[["re", "rn", "ru"]].to_numpy(float), b["cat"].to_numpy(int)
             w, fill = _responsibilities(r, c, model)
             mean = (w[:, :, None] * fill).sum(1) if len(b) else np.zeros((0, 3))

@@ -171,13 +171,15 @@ def unpack_reply(data: bytes) -> tuple[float, float, float, bytes]:
 
 
 def read_wire(spark: SparkSession, path: str) -> DataFrame:
-    """Captured wire streams (binary files) as frames: path, frame_id from 1, n_bytes, image, lat, lon, alt. A broken tail ends its file."""
+    """Captured wire streams (binary files) as frames: path, frame_id from 1, n_bytes, image, lat, lon, alt. A broken tail ends its file; a NaN altitude is null."""
     schema = "path string, frame_id long, n_bytes long, image binary, lat double, lon double, alt double"
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b.path, b.content):
                 frames, _ = unpack_frames(bytes(content))
+                if not frames:
+                    continue
                 yield pd.DataFrame([(p, k + 1, len(i), i, *(g or (None, None, None))) for k, (i, g) in enumerate(frames)], columns=[c.split()[0] for c in schema.split(", ")]).astype({"lat": float, "lon": float, "alt": float})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, schema)
