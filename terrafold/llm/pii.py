@@ -25,10 +25,11 @@ LABELS = ["O", *[f"{p}-{k}" for k in labelled.KINDS for p in "BI"]]
 #: Rows decoded at once; bounds a worker's memory together with MAX_TOKENS.
 MAX_TOKENS = 150_000
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\S|​")
-_RUN = re.compile(r"[+(]?\d(?:[\d  ().\-/+]{0,3}\d)*")
-_CHUNK = re.compile(r"\S+")
-_WRITTEN = re.compile(r"\S+(?:\s*(?:@|\[at\]|\(at\))\s*|\s+at\s+)[\w-]+(?:\s*(?:\.|\(dot\)|\[dot\])\s*[\w-]+|\s+dot\s+[\w-]+)+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\S|\u200b")
+_RUN = re.compile(r"[+(]?\d(?:[\d \u00a0().\-/+]{0,3}\d)*")
+_DIGIT = re.compile(r"\d")
+_WRITTEN = re.compile(r"\S+(?:[^\S\n]*(?:@|\[at\]|\(at\))[^\S\n]*|[^\S\n]+at[^\S\n]+)[\w-]+(?:[^\S\n]*(?:\.|\(dot\)|\[dot\])[^\S\n]*[\w-]+|[^\S\n]+dot[^\S\n]+[\w-]+)+", re.I)
+_LINE = re.compile("\n")
 
 
 def _shape(s: str) -> str:
@@ -47,12 +48,19 @@ class _Words:
         self.ids: dict[str, int] = {}
         self.rows: list[list[int]] = []
 
-    def attributes(self, word: str) -> int:
+    def number(self, words: list[str]) -> np.ndarray:
+        get = self.ids.get
+        out = [get(w) for w in words]
+        if None in out:
+            for k, w in enumerate(words):
+                if out[k] is None:
+                    out[k] = self._add(w)
+        return np.array(out, np.int64)
+
+    def _add(self, word: str) -> int:
         k = self.ids.get(word)
         if k is None:
-            low = word.lower()
-            if word.isdigit():
-                low = "0" * len(word)
+            low = "0" * len(word) if word.isdigit() else word.lower()
             k = self.ids[word] = len(self.rows)
             self.rows.append([_hash(x) for x in (low, _shape(word), "p" + low[:3], "s" + low[-3:], "t" + low[-2:], "l" + str(min(len(word), 12)))])
         return k
@@ -61,100 +69,123 @@ class _Words:
 def _hash(s: str) -> int:
     """FNV-1a of the text: the same on every machine."""
     h = 0x811C9DC5
-    for b in s.encode():
+    for b in s.encode("utf-8", "surrogatepass"):
         h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
     return h
 
 
 _words = _Words()
+_runs: dict[str, int] = {}
 _LIMIT = 400_000  # words kept; beyond, the cache starts anew
 
 
-def tokenise(text: str) -> tuple[list[int], list[int]]:
-    """Begins and ends of the tokens of a text, in code points."""
-    b, e = [], []
-    for m in _TOKEN.finditer(text):
-        b.append(m.start())
-        e.append(m.end())
-    return b, e
+def _mix(*cols) -> np.ndarray:
+    h = np.zeros(len(cols[0]), np.uint32)
+    for c in cols:
+        h ^= c.astype(np.uint32, copy=False)
+        h *= np.uint32(0x5BD1E995)
+        h ^= h >> np.uint32(15)
+    return h
+
+
+def _bounds(pattern: re.Pattern, text: str, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """First token of each match, the token after it, and the matches, of those that hold a token."""
+    found = [(m.start(), m.end(), m.group()) for m in pattern.finditer(text)]
+    i, j = np.searchsorted(begin, [f[0] for f in found]), np.searchsorted(begin, [f[1] for f in found])
+    ok = np.nonzero(j > i)[0]
+    return i[ok].astype(np.int64), j[ok].astype(np.int64), [found[k][2] for k in ok]
+
+
+def _paint(n: int, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers inside the spans, and each span's value for them."""
+    ln = j - i
+    return np.repeat(i - np.r_[0, np.cumsum(ln)[:-1]] if len(ln) else i, ln) + np.arange(ln.sum()), np.repeat(values, ln)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket numbers: tokens x types, begins, ends, tokens of each text)."""
+def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket numbers, an array for each feature type; begins and ends within the text; tokens of each text).
+
+    The texts are read as one, joined by line ends, which no token or pattern crosses.
+    """
     global _words
     if len(_words.ids) > _LIMIT:
         _words = _Words()
-    ids: list[int] = []
-    begin: list[int] = []
-    end: list[int] = []
-    space: list[int] = []
-    lengths = np.zeros(len(texts), np.int64)
-    run_shape: list[np.ndarray] = []
-    for k, text in enumerate(texts):
-        last, n = 0, 0
-        for m in _TOKEN.finditer(text):
-            s, t = m.span()
-            ids.append(_words.attributes(m.group()))
-            begin.append(s)
-            end.append(t)
-            space.append(0 if s == last and n else 2 if "\n" in text[last:s] else 1)
-            last, n = t, n + 1
-        lengths[k] = n
-        if not n:
-            continue
-        b = np.array(begin[-n:])
-        # Columns: run number shape, first token of run, token after run, written e-mail, chunk shape
-        x = np.zeros((n, 5), np.int64)
-        x[:, 1], x[:, 2] = np.arange(n), np.arange(n)
-        for m in _RUN.finditer(text):
-            i, j = np.searchsorted(b, m.start()), np.searchsorted(b, m.end())
-            x[i:j, 0] = _hash("run" + re.sub(r"\d", "0", m.group().replace(" ", " ")))
-            x[i:j, 1], x[i:j, 2] = i, j - 1
-        if "@" in text or " at " in text or "(at)" in text or "[at]" in text or " AT " in text or "(AT)" in text:
-            for m in _WRITTEN.finditer(text.replace("​", " ") if "​" in text else text):
-                i, j = np.searchsorted(b, m.start()), np.searchsorted(b, m.end())
-                x[i:j, 3] = 1
-                x[i : i + 1, 3] = 2
-            for m in _WRITTEN.finditer(text.lower()) if text.isupper() and len(text.lower()) == len(text) else ():
-                i, j = np.searchsorted(b, m.start()), np.searchsorted(b, m.end())
-                x[i:j, 3] = 1
-        run_shape.append(x)
-    n = len(ids)
+        _runs.clear()
+    whole = "\n".join(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    offset = np.r_[0, np.cumsum(size + 1)[:-1]]
+    words = _TOKEN.findall(whole)
+    n = len(words)
     if not n:
-        return np.zeros((0, 1), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), lengths
-    attr = np.array(_words.rows, np.int64)[np.array(ids)]
-    x = np.concatenate(run_shape)
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    begin = np.fromiter((m.start() for m in _TOKEN.finditer(whole)), np.int64, n)
+    end = begin + np.fromiter(map(len, words), np.int64, n)
+    owner = np.searchsorted(offset, begin, "right") - 1
+    lengths = np.bincount(owner, minlength=len(texts))
     start = np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
     stop = start + np.repeat(lengths, lengths)
+    numbers = _words.number(words)
+    attr = np.array(_words.rows, np.uint32)[numbers]
+    low, shape, pre, suf, suf2, size_ = (np.ascontiguousarray(attr[:, k]) for k in range(6))
     here = np.arange(n)
-    sp = np.array(space)
-
-    def at(col: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        inside = (pos >= start) & (pos < stop)
-        return np.where(inside, col[np.clip(pos, 0, n - 1)], 7)
+    lines = np.fromiter((m.start() for m in _LINE.finditer(whole)), np.int64)
+    last_end = np.r_[0, end[:-1]]
+    broken = np.searchsorted(lines, begin) > np.searchsorted(lines, last_end)
+    space = np.where(here == start, 1, np.where(broken, 2, np.where(begin > last_end, 1, 0))).astype(np.uint32)
+    inside = {k: (here + k >= start) & (here + k < stop) for k in (-3, -2, -1, 1, 2, 3)}
+
+    def at(col: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(n, 7, np.uint32)
+        if abs(k) < n:
+            if k > 0:
+                out[:-k] = col[k:]
+            else:
+                out[-k:] = col[:k]
+        out[~inside[k]] = 7
+        return out
 
-    low, shape = attr[:, 0], attr[:, 1]
-    first, last = x[:, 1] + start, x[:, 2] + start
-    sp_next = at(sp, here + 1)
-    mix = lambda *cols: _mix(cols)
+    def pick(col: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        return np.where((pos >= start) & (pos < stop), col[np.clip(pos, 0, n - 1)], np.uint32(7))
+
+    # Runs of digits: the shape of the run, its first and last token.
+    run, first, last = np.zeros(n, np.uint32), here.copy(), here.copy()
+    i, j, found = _bounds(_RUN, whole, begin)
+    ids = np.zeros(len(found), np.uint32)
+    for k, m in enumerate(found):
+        key = _DIGIT.sub("0", m)
+        h = _runs.get(key)
+        if h is None:
+            h = _runs[key] = _hash("run" + key.replace("\u00a0", " "))
+        ids[k] = h
+    pos, val = _paint(n, i, j, ids)
+    run[pos] = val
+    first[pos] = _paint(n, i, j, i)[1]
+    last[pos] = _paint(n, i, j, j - 1)[1]
+    mail = np.zeros(n, np.uint32)
+    i, j, _ = _bounds(_WRITTEN, whole.replace("\u200b", " ") if "\u200b" in whole else whole, begin)
+    mail[_paint(n, i, j, i)[0]] = 1
+    mail[i] = 2
+    before = {k: at(low, -k) for k in (1, 2, 3)}
+    after = {k: at(low, k) for k in (1, 2, 3)}
+    sh_b, sh_a, sh_b2, sh_a2 = at(shape, -1), at(shape, 1), at(shape, -2), at(shape, 2)
+    space_a = at(space, 1)
+    leads, numeric = (here == first).astype(np.uint32), run > 0
+    three = np.uint32(3)
+    run_b, run_b2 = np.where(numeric, pick(low, first - 1), three), np.where(numeric, pick(low, first - 2), three)
+    run_a, run_a2 = np.where(numeric, pick(low, last + 1), three), np.where(numeric, pick(low, last + 2), three)
     cols = [
-        mix(low), mix(shape), mix(attr[:, 2]), mix(attr[:, 3]), mix(attr[:, 4]), mix(shape, attr[:, 5]), mix(shape, sp, sp_next), mix(shape, attr[:, 3]),
-        mix(at(low, here - 1)), mix(at(low, here - 2)), mix(at(low, here - 3)), mix(at(low, here + 1)), mix(at(low, here + 2)), mix(at(low, here + 3)),
-        mix(at(low, here - 1), shape), mix(at(low, here + 1), shape), mix(at(low, here - 2), at(low, here - 1), shape), mix(at(low, here + 1), at(low, here + 2), shape), mix(at(shape, here - 1), shape, at(shape, here + 1)),
-        mix(at(shape, here - 2), at(shape, here - 1), shape), mix(shape, at(shape, here + 1), at(shape, here + 2)), mix(at(attr[:, 3], here - 1), shape), mix(at(attr[:, 3], here + 1), shape),
-        mix(x[:, 0], (here == first) * 1), mix(x[:, 0], at(low, first - 1)), mix(np.where(x[:, 0] > 0, at(low, first - 1), 3), np.where(x[:, 0] > 0, at(low, first - 2), 3), (here == first) * 1), mix(np.where(x[:, 0] > 0, at(low, last + 1), 3), x[:, 0]), mix(np.where(x[:, 0] > 0, at(low, last + 1), 3), at(low, last + 2), (x[:, 0] > 0) * 1),
-        mix(x[:, 3], shape), mix(at(x[:, 3], here - 1), x[:, 3], at(x[:, 3], here + 1)), mix(sp, at(low, here - 1), low), mix(low, at(low, here + 1), sp_next),
+        _mix(low), _mix(shape), _mix(pre), _mix(suf), _mix(suf2), _mix(shape, size_), _mix(shape, space, space_a), _mix(shape, suf),
+        _mix(before[1]), _mix(before[2]), _mix(before[3]), _mix(after[1]), _mix(after[2]), _mix(after[3]),
+        _mix(before[1], shape), _mix(after[1], shape), _mix(before[2], before[1], shape), _mix(after[1], after[2], shape), _mix(sh_b, shape, sh_a),
+        _mix(sh_b2, sh_b, shape), _mix(shape, sh_a, sh_a2), _mix(at(suf, -1), shape), _mix(at(suf, 1), shape),
+        _mix(run, leads), _mix(run, pick(low, first - 1)), _mix(run_b, run_b2, leads), _mix(run_a, run), _mix(run_a, run_a2, numeric),
+        _mix(mail, shape), _mix(at(mail, -1), mail, at(mail, 1)), _mix(space, before[1], low), _mix(low, after[1], space_a),
     ]
-    f = np.stack([(c * 31 + k * 0x9E3779B1) % 4294967291 % BUCKETS for k, c in enumerate(cols)], 1)
-    return f, np.array(begin), np.array(end), lengths
-
-
-def _mix(cols) -> np.ndarray:
-    h = np.zeros(len(cols[0]), np.int64)
-    for c in cols:
-        h = ((h ^ (c & 0xFFFFFFFF)) * 0x5BD1E995) & 0x7FFFFFFF
-        h ^= h >> 15
-    return h
+    for k, c in enumerate(cols):
+        c += np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)
+        c ^= c >> np.uint32(13)
+        c &= np.uint32(BUCKETS - 1)
+    return cols, begin - offset[owner], end - offset[owner], lengths
 
 
 def gold_labels(mentions: list[tuple[str, int, int]], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -177,7 +208,7 @@ def model(rows: int = LABELLED_ROWS, seed: int = 11) -> crf.Model:
         f, b, e, ln = features([t for t, _ in table])
         cut = np.cumsum(ln)[:-1]
         y = np.concatenate([gold_labels(m, bb, ee) for (_, m), bb, ee in zip(table, np.split(b, cut), np.split(e, cut))])
-        _model[(rows, seed)] = crf.train(f, y, ln, LABELS, BUCKETS)
+        _model[(rows, seed)] = crf.train(np.stack(f, 1), y, ln, LABELS, BUCKETS)
     return _model[(rows, seed)]
 
 
@@ -242,8 +273,8 @@ def decode(texts: list[str], m: crf.Model) -> list[list[tuple[str, int, int]]]:
     if not len(b):
         return out
     emis = np.zeros((len(b), len(LABELS)), np.float32)
-    for k in range(f.shape[1]):
-        emis += m.weights[f[:, k]]
+    for c in f:
+        emis += m.weights[c]
     y = crf.viterbi(m, emis, ln)
     owner = np.repeat(np.arange(len(texts)), ln)
     kind = (y + 1) // 2  # 0 outside, then one number a kind
