@@ -25,58 +25,33 @@ LABELS = ["O", *[f"{p}-{k}" for k in labelled.KINDS for p in "BI"]]
 #: Rows decoded at once; bounds a worker's memory together with MAX_TOKENS.
 MAX_TOKENS = 150_000
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\S|\u200b")
-_RUN = re.compile(r"[+(]?\d(?:[\d \u00a0().\-/+]{0,3}\d)*")
-_DIGIT = re.compile(r"\d")
-_WRITTEN = re.compile(r"\S+(?:[^\S\n]*(?:@|\[at\]|\(at\))[^\S\n]*|[^\S\n]+at[^\S\n]+)[\w-]+(?:[^\S\n]*(?:\.|\(dot\)|\[dot\])[^\S\n]*[\w-]+|[^\S\n]+dot[^\S\n]+[\w-]+)+", re.I)
-_LINE = re.compile("\n")
-
-
-def _shape(s: str) -> str:
-    out = []
-    for ch in s:
-        c = "d" if ch.isdigit() else "X" if ch.isupper() else "x" if ch.islower() else ch
-        if not (len(out) > 1 and out[-1] == c == out[-2] and c in "Xx"):
-            out.append(c)
-    return "".join(out)
-
-
-class _Words:
-    """Numbers of strings, kept across batches of a worker; attributes of a word are computed once."""
-
-    def __init__(self):
-        self.ids: dict[str, int] = {}
-        self.rows: list[list[int]] = []
-
-    def number(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        out = [get(w) for w in words]
-        if None in out:
-            for k, w in enumerate(words):
-                if out[k] is None:
-                    out[k] = self._add(w)
-        return np.array(out, np.int64)
-
-    def _add(self, word: str) -> int:
-        k = self.ids.get(word)
-        if k is None:
-            low = "0" * len(word) if word.isdigit() else word.lower()
-            k = self.ids[word] = len(self.rows)
-            self.rows.append([_hash(x) for x in (low, _shape(word), "p" + low[:3], "s" + low[-3:], "t" + low[-2:], "l" + str(min(len(word), 12)))])
-        return k
-
-
-def _hash(s: str) -> int:
-    """FNV-1a of the text: the same on every machine."""
-    h = 0x811C9DC5
-    for b in s.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-    return h
-
-
-_words = _Words()
-_runs: dict[str, int] = {}
-_LIMIT = 400_000  # words kept; beyond, the cache starts anew
+#: Signs by which an e-mail address is recognised, and what may follow: written out or spaced.
+_AT = re.compile(r"@|[(\[]at[)\]]|(?<=\s)at(?=\s)", re.I)
+_DOMAIN = re.compile(r"[^\S\n]*[\w-]+(?:[^\S\n]*(?:\.|\(dot\)|\[dot\])[^\S\n]*[\w-]+|[^\S\n]+dot[^\S\n]+[\w-]+)+", re.I)
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_ZERO_WIDTH = "\u200b"
+
+
+def _tables() -> tuple[np.ndarray, ...]:
+    """Of each character of the basic plane: its class, its lower case (digits become 0), its shape (X, x, d or itself), whether it joins digits."""
+    kind, lower, shape, joins = np.full(65536, _OTHER, np.uint8), np.arange(65536, dtype=np.uint32), np.arange(65536, dtype=np.uint32), np.zeros(65536, bool)
+    for k in range(65536):
+        c = chr(k)
+        if c.isspace():
+            kind[k] = _SPACE
+        elif c.isdecimal():
+            kind[k], lower[k], shape[k] = _DIGIT, ord("0"), ord("d")
+        elif c.isalnum():
+            kind[k] = _LETTER
+            low = c.lower()
+            if len(low) == 1:
+                lower[k] = ord(low)
+            shape[k] = ord("X") if c.isupper() else ord("x") if c.islower() else k
+        joins[k] = c in " \u00a0().-/+"
+    return kind, lower, shape, joins
+
+
+_table: tuple[np.ndarray, ...] | None = None
 
 
 def _mix(*cols) -> np.ndarray:
@@ -88,49 +63,95 @@ def _mix(*cols) -> np.ndarray:
     return h
 
 
-def _bounds(pattern: re.Pattern, text: str, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """First token of each match, the token after it, and the matches, of those that hold a token."""
-    found = [(m.start(), m.end(), m.group()) for m in pattern.finditer(text)]
-    i, j = np.searchsorted(begin, [f[0] for f in found]), np.searchsorted(begin, [f[1] for f in found])
-    ok = np.nonzero(j > i)[0]
-    return i[ok].astype(np.int64), j[ok].astype(np.int64), [found[k][2] for k in ok]
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint32(1), np.full(max(n, 1), 0x01000193, np.uint32)], dtype=np.uint32)
 
 
-def _paint(n: int, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers inside the spans, and each span's value for them."""
+def _paint(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the spans [i, j), and which span each is of."""
     ln = j - i
-    return np.repeat(i - np.r_[0, np.cumsum(ln)[:-1]] if len(ln) else i, ln) + np.arange(ln.sum()), np.repeat(values, ln)
+    span = np.repeat(np.arange(len(i)), ln)
+    return np.arange(ln.sum()) + (i - np.r_[0, np.cumsum(ln)[:-1]])[span] if len(i) else np.zeros(0, np.int64), span
+
+
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Spans that look like e-mail addresses, written out or spaced ones included."""
+    out = []
+    flat = text.replace(_ZERO_WIDTH, " ") if _ZERO_WIDTH in text else text
+    for m in _AT.finditer(flat):
+        d = _DOMAIN.match(flat, m.end())
+        if d is None:
+            continue
+        j = m.start()
+        while j and flat[j - 1] != "\n" and flat[j - 1].isspace():
+            j -= 1
+        k = j
+        while k and not flat[k - 1].isspace():
+            k -= 1
+        if k < j:
+            out.append((k, d.end()))
+    return out
 
 
 def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(bucket numbers, an array for each feature type; begins and ends within the text; tokens of each text).
 
-    The texts are read as one, joined by line ends, which no token or pattern crosses.
+    Tokens are runs of letters (apostrophes between letters included), runs of digits, and single other characters. The
+    texts are read as one array of code points, joined by line ends, which no token or pattern crosses; words, affixes
+    and shapes enter by polynomial hashes over that array, so no Python object is made for a token.
     """
-    global _words
-    if len(_words.ids) > _LIMIT:
-        _words = _Words()
-        _runs.clear()
+    global _table
+    if _table is None:
+        _table = _tables()
+    kind_t, lower_t, shape_t, joins_t = _table
     whole = "\n".join(texts)
-    size = np.array([len(t) for t in texts], np.int64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     offset = np.r_[0, np.cumsum(size + 1)[:-1]]
-    words = _TOKEN.findall(whole)
-    n = len(words)
+    cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    far = cp > 65535
+    small = np.where(far, 0, cp)
+    kind = np.where(far, _OTHER, kind_t[small]).astype(np.uint8)
+    if len(cp) > 2:
+        tick = np.nonzero((cp == 39) | (cp == 0x2019))[0]
+        tick = tick[(tick > 0) & (tick < len(cp) - 1)]
+        kind[tick[(kind[tick - 1] == _LETTER) & (kind[tick + 1] == _LETTER)]] = _LETTER
+    solid = kind != _SPACE
+    starts = solid & ((kind == _OTHER) | np.r_[True, kind[1:] != kind[:-1]])
+    ends = solid & ((kind == _OTHER) | np.r_[kind[1:] != kind[:-1], True])
+    begin, end = np.nonzero(starts)[0], np.nonzero(ends)[0] + 1
+    n = len(begin)
     if not n:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    begin = np.fromiter((m.start() for m in _TOKEN.finditer(whole)), np.int64, n)
-    end = begin + np.fromiter(map(len, words), np.int64, n)
     owner = np.searchsorted(offset, begin, "right") - 1
     lengths = np.bincount(owner, minlength=len(texts))
     start = np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
     stop = start + np.repeat(lengths, lengths)
-    numbers = _words.number(words)
-    attr = np.array(_words.rows, np.uint32)[numbers]
-    low, shape, pre, suf, suf2, size_ = (np.ascontiguousarray(attr[:, k]) for k in range(6))
+    # Hashes of each token from its characters.
+    at_char = np.nonzero(solid)[0]
+    token = np.cumsum(starts)[at_char] - 1
+    first_char = np.searchsorted(at_char, begin)
+    pos, rest = at_char - begin[token], end[token] - 1 - at_char
+    width = end - begin
+    power = _powers(int(width.max()))
+    low_c, shape_c = np.where(far, cp, lower_t[small])[at_char], np.where(far, cp, shape_t[small])[at_char]
+
+    def poly(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, first_char, dtype=np.uint32)
+
+    forward = low_c * power[pos]
+    backward = low_c * power[np.minimum(rest, 3)]
+    zero = np.uint32(0)
+    low = poly(forward) + width.astype(np.uint32) * np.uint32(0x9E3779B1)
+    pre, suf, suf2 = poly(np.where(pos < 3, forward, zero)), poly(np.where(rest < 3, backward, zero)), poly(np.where(rest < 2, backward, zero))
+    again = (pos > 1) & ((shape_c == 88) | (shape_c == 120))
+    again[2:] &= (shape_c[2:] == shape_c[1:-1]) & (shape_c[2:] == shape_c[:-2])
+    kept = np.cumsum(~again) - 1
+    shape = poly(np.where(again, zero, shape_c * power[kept - kept[first_char][token]])) * np.uint32(0x85EBCA6B)
+    size_ = np.minimum(width, 12).astype(np.uint32)
     here = np.arange(n)
-    lines = np.fromiter((m.start() for m in _LINE.finditer(whole)), np.int64)
     last_end = np.r_[0, end[:-1]]
-    broken = np.searchsorted(lines, begin) > np.searchsorted(lines, last_end)
+    line = np.cumsum(cp == 10)
+    broken = line[np.maximum(begin - 1, 0)] > np.where(last_end > 0, line[last_end - 1], 0)
     space = np.where(here == start, 1, np.where(broken, 2, np.where(begin > last_end, 1, 0))).astype(np.uint32)
     inside = {k: (here + k >= start) & (here + k < stop) for k in (-3, -2, -1, 1, 2, 3)}
 
@@ -144,27 +165,30 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
         out[~inside[k]] = 7
         return out
 
-    def pick(col: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        return np.where((pos >= start) & (pos < stop), col[np.clip(pos, 0, n - 1)], np.uint32(7))
+    def pick(col: np.ndarray, where: np.ndarray) -> np.ndarray:
+        return np.where((where >= start) & (where < stop), col[np.clip(where, 0, n - 1)], np.uint32(7))
 
-    # Runs of digits: the shape of the run, its first and last token.
+    # Runs of digits, joined by up to three blanks, dots and the like, with a plus or bracket before: shape, first and last token.
     run, first, last = np.zeros(n, np.uint32), here.copy(), here.copy()
-    i, j, found = _bounds(_RUN, whole, begin)
-    ids = np.zeros(len(found), np.uint32)
-    for k, m in enumerate(found):
-        key = _DIGIT.sub("0", m)
-        h = _runs.get(key)
-        if h is None:
-            h = _runs[key] = _hash("run" + key.replace("\u00a0", " "))
-        ids[k] = h
-    pos, val = _paint(n, i, j, ids)
-    run[pos] = val
-    first[pos] = _paint(n, i, j, i)[1]
-    last[pos] = _paint(n, i, j, j - 1)[1]
+    d = np.nonzero(kind[begin] == _DIGIT)[0]
+    if len(d):
+        odd = np.cumsum(np.where(far, True, ~joins_t[small]))
+        joined = (begin[d[1:]] - end[d[:-1]] <= 3) & (odd[begin[d[1:]] - 1] == odd[end[d[:-1]] - 1])
+        i, j = d[np.r_[True, ~joined]], d[np.r_[~joined, True]] + 1
+        lead = np.maximum(i - 1, 0)
+        i = np.where((i > 0) & (end[lead] == begin[i]) & np.isin(cp[begin[lead]], (40, 43)), lead, i)
+        chars, span = _paint(begin[i], end[j - 1])
+        c = np.where(far, cp, lower_t[small])[chars]
+        value = np.where(c == 0xA0, np.uint32(32), c) * _powers(int((end[j - 1] - begin[i]).max()))[chars - begin[i][span]]
+        ids = np.add.reduceat(value, np.searchsorted(span, np.arange(len(i))), dtype=np.uint32) | np.uint32(1)
+        where, span = _paint(i, j)
+        run[where], first[where], last[where] = ids[span], i[span], j[span] - 1
     mail = np.zeros(n, np.uint32)
-    i, j, _ = _bounds(_WRITTEN, whole.replace("\u200b", " ") if "\u200b" in whole else whole, begin)
-    mail[_paint(n, i, j, i)[0]] = 1
-    mail[i] = 2
+    found = _addresses(whole)
+    if found:
+        i, j = (np.searchsorted(begin, [f[k] for f in found]) for k in (0, 1))
+        mail[_paint(i, j)[0]] = 1
+        mail[i] = 2
     before = {k: at(low, -k) for k in (1, 2, 3)}
     after = {k: at(low, k) for k in (1, 2, 3)}
     sh_b, sh_a, sh_b2, sh_a2 = at(shape, -1), at(shape, 1), at(shape, -2), at(shape, 2)

@@ -142,3 +142,27 @@ def test_mentions_and_redaction(spark):
     assert red[1].startswith("Pilot on duty was [NAME], reachable on [PHONE]. Passport [IDNO] was") and red[1].endswith("Send the cloud to [EMAIL] once the merge is done.")
     assert red[2] is None and red[3] == "" and red[4] == docs[3][1]
     assert pii.mentions(df.limit(0)).count() == 0
+
+
+def test_cutting_the_chain_changes_nothing():
+    m = pii.model()
+    f, b, e, n = pii.features([t for t, _ in labelled.table(200, seed=5)])
+    emis = np.zeros((len(b), len(pii.LABELS)), np.float32)
+    for c in f:
+        emis += m.weights[c]
+    assert (crf.viterbi(m, emis, n) == crf.viterbi(m, emis, n, margin=np.inf)).all()
+    assert crf.outside(emis, crf.CUT_MARGIN).any()
+
+
+def test_tokens_and_awkward_texts():
+    import re
+
+    pattern = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\S")
+    texts = ["O'Brien's 12-3 _x\U0001f681é²", "", " \n\t", "'", "a", "1", "'a'", "x" * 5000, "12 345  6", "​a@​b.c", "١٢ αβγ ß ŉ"]
+    f, b, e, n = pii.features(texts)
+    assert len(f[0]) == len(b) == n.sum()
+    for t, bb, ee in zip(texts, np.split(b, np.cumsum(n)[:-1]), np.split(e, np.cumsum(n)[:-1])):
+        assert [t[i:j] for i, j in zip(bb, ee)] == pattern.findall(t)
+    one, *_ = pii.features(["Call Anna on 555 1234.", "Call Anna on 555 1234."])
+    assert all((c[: len(c) // 2] == c[len(c) // 2 :]).all() for c in one)
+    assert pii.decode([], pii.model()) == [] and pii.decode(["", " "], pii.model()) == [[], []]
