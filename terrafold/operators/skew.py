@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hash buckets in which hot keys are looked for; what reaches the driver is one number for each.
 BUCKETS = 4096
 
 
+def bucket_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def hot_buckets(df: DataFrame, keys: list[str], rows: int) -> list[int]:
+    """Hash buckets of the keys that hold `rows` more than twice the mean: only there can a key be hot."""
+    sizes = df.groupBy(bucket_of(keys).alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+    mean = sum(r["n"] for r in sizes) / BUCKETS
+    return [r["_b"] for r in sizes if r["n"] > rows + 2 * mean]
+
+
+def spread_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000) -> DataFrame:
+    """The join with every key counted and hot ones split."""
+    hot = build.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_split)
+    return _spread(probe, build, keys, hot, rows_per_split)
+
+
 def _spread(probe: DataFrame, build: DataFrame, keys: list[str], hot: DataFrame, rows_per_split: int) -> DataFrame:
     """The join in which each key of `hot` (keys, _n rows) is cut into splits: build rows go to one, probe rows to all."""
     h = hot.select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
@@ -19,32 +34,24 @@ def _spread(probe: DataFrame, build: DataFrame, keys: list[str], hot: DataFrame,
     return p.join(b, [*keys, "_salt"]).drop("_salt")
 
 
-def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000, counts: DataFrame | None = None, reduce_hot: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000, counts: DataFrame | None = None) -> DataFrame:
     """Inner equi-join in which the build rows of a hot key are spread over several splits.
 
     Hot keys are found from the build side's row counts in BUCKETS hash buckets (pre-aggregated map-side, so next to
     nothing is shuffled); only in buckets that stand out are keys counted one by one. Rows of other buckets join plainly;
     in hot buckets each build row goes to one split of its key and probe rows to all, so each pair still meets exactly
     once. Null keys never match. counts: keys and _n, the build side's rows of each key, where they are known already.
-    reduce_hot: applied to the build rows of hot buckets first, for instance to merge equal ones. The build side is read
-    up to three times; cut it before if it is costly.
+    The build side is read up to three times; cut it before if it is costly.
     """
     if counts is not None:
         hot = counts.where(F.col("_n") > rows_per_split)
         return probe.join(build, keys) if hot.isEmpty() else _spread(probe, build, keys, hot, rows_per_split)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    sizes = build.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
-    mean = sum(r["n"] for r in sizes) / BUCKETS
-    hot_buckets = [r["_b"] for r in sizes if r["n"] > rows_per_split + 2 * mean]
-    if not hot_buckets:
+    hot = hot_buckets(build, keys, rows_per_split)
+    if not hot:
         return probe.join(build, keys)
-    is_hot = bucket.isin(hot_buckets)
-    dense = build.where(is_hot)
-    if reduce_hot is not None:
-        dense = reduce_hot(dense)
-    hot = dense.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_split)
+    is_hot = bucket_of(keys).isin(hot)
     cold = probe.where(~is_hot).join(build.where(~is_hot), keys)
-    return cold.unionByName(_spread(probe.where(is_hot), dense, keys, hot, rows_per_split))
+    return cold.unionByName(spread_join(probe.where(is_hot), build.where(is_hot), keys, rows_per_split))
 
 
 class GroupSpread:
@@ -56,10 +63,7 @@ class GroupSpread:
 
     def __init__(self, rows: DataFrame, key: str, spread_by: str, rows_per_part: int = 50_000, copies: int = 64):
         self.key, self.spread_by, self.copies = key, spread_by, copies
-        self.bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        sizes = rows.groupBy(self.bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
-        mean = sum(r["n"] for r in sizes) / BUCKETS
-        self.hot = [r["_b"] for r in sizes if r["n"] > rows_per_part + 2 * mean]
+        self.bucket, self.hot = bucket_of([key]), hot_buckets(rows, [key], rows_per_part)
 
     def place(self, rows: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64(self.spread_by), F.lit(self.copies)).cast("int")

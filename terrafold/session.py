@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "terrafold", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and single machines; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,6 +23,25 @@ def local_session(app: str = "terrafold", cores: str = "*", shuffle_partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the workers, once a context, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_terrafold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="terrafold-src-"), "terrafold_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._terrafold_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
