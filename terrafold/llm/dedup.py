@@ -2,7 +2,7 @@
 
 A point's tokens are the cells (x, y, z, confidence) that its reach touches. Any accepted point that it repeats has its
 home cell among them, so the rare prefix that history must be indexed by is a single token, the home cell: the cells
-are several reaches wide, nearly all hold a point or none, and hot ones are merged by equal points and split in the join. The index keeps these
+are several reaches wide, nearly all hold a point or none, and hot ones are merged by equal points, tried by representatives and split in the join. The index keeps these
 postings partitioned by token; a new batch probes its tokens, the confidence cuts candidates like a length filter, and
 the exact distance verifies them. Accepted points are appended as further postings; old ones are neither read in full
 per batch nor written again.
@@ -21,11 +21,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from terrafold.operators.skew import salted_join
+from terrafold.operators.skew import bucket_of, hot_buckets, salted_join, spread_join
 from terrafold.session import cut
 
 POINT = ["ord", "x", "y", "z", "conf"]
+#: Postings of a cell from which it is hot, and how many of a clique cell are tried first there.
+HOT_POSTINGS, REPRESENTATIVES = 5000, 16
 
 
 @dataclass(frozen=True)
@@ -87,25 +90,47 @@ def postings(points: DataFrame, r: Reach) -> DataFrame:
     return points.withColumn("token", home_token(r)).select("token", *[F.col(c).alias(f"k_{c}") for c in POINT])
 
 
+def _clique(r: Reach, prefix: str = ""):
+    """Number of a cell so small that any two points in it repeat each other."""
+    side = r.radius / math.sqrt(3) * (1 - 1e-9)
+    return F.xxhash64(*[_floor(f"{prefix}{c}", side) for c in ("x", "y", "z")], _floor(f"{prefix}conf", r.conf * (1 - 1e-9)))
+
+
 def _merge_equal(index: DataFrame) -> DataFrame:
     """Equal points as one posting under the first ord."""
     same = ["token", "k_x", "k_y", "k_z", "k_conf"]
     return index.groupBy(*same).agg(F.min("k_ord").alias("k_ord")).select("token", *[f"k_{c}" for c in POINT])
 
 
-def probe(points: DataFrame, index: DataFrame, r: Reach, merge: bool = True) -> DataFrame:
-    """(ord, k_ord) of each point and each posting within reach; a pair meets in one token only, the posting's home.
+def probe_pairs(points: DataFrame, index: DataFrame, r: Reach) -> DataFrame:
+    """(ord, k_ord) of each point and each posting within reach; a pair meets in one token only, the posting's home."""
+    p = probe_tokens(points.select(*POINT), r).select("token", *[F.col(c).alias(f"p_{c}") for c in POINT])
+    return salted_join(p, index, ["token"]).where(_within("p_", "k_", r)).select(F.col("p_ord").alias("ord"), "k_ord")
 
-    With merge, equal postings in hot cells are one, under their first ord: a history of copies costs what one costs.
+
+def probe(points: DataFrame, index: DataFrame, r: Reach) -> DataFrame:
+    """ord and the first k_ord found of each point with a posting within reach.
+
+    Cells with few postings are compared in full. In hot ones equal postings are merged and REPRESENTATIVES of each clique
+    cell are tried first: they decide nearly all of a group of copies, however jittered. Only points that none of them
+    decides are compared with every posting, split over tasks; so nothing is missed.
     """
-    p = probe_tokens(points.select(*POINT), r)
-    hit = salted_join(p.select("token", *[F.col(c).alias(f"p_{c}") for c in POINT]), index, ["token"], reduce_hot=_merge_equal if merge else None)
-    return hit.where(_within("p_", "k_", r)).select(F.col("p_ord").alias("ord"), "k_ord")
+    p = probe_tokens(points.select(*POINT), r).select("token", *[F.col(c).alias(f"p_{c}") for c in POINT])
+    hot = hot_buckets(index, ["token"], HOT_POSTINGS)
 
+    def decided(pairs: DataFrame) -> DataFrame:
+        return pairs.where(_within("p_", "k_", r)).groupBy(F.col("p_ord").alias("ord")).agg(F.min("k_ord").alias("k_ord"))
 
-def _clique(r: Reach):
-    side = r.radius / math.sqrt(3) * (1 - 1e-9)
-    return F.xxhash64(*[_floor(c, side) for c in ("x", "y", "z")], _floor("conf", r.conf * (1 - 1e-9)))
+    if not hot:
+        return decided(p.join(index, "token"))
+    is_hot = bucket_of(["token"]).isin(hot)
+    dense, near = cut(_merge_equal(index.where(is_hot))), cut(p.where(is_hot))
+    rank = F.row_number().over(Window.partitionBy("token", _clique(r, "k_")).orderBy("k_ord"))
+    few = dense.withColumn("_r", rank).where(F.col("_r") <= REPRESENTATIVES).drop("_r")
+    first = cut(decided(spread_join(near, few, ["token"], HOT_POSTINGS)))
+    rest = near.join(first.select(F.col("ord").alias("p_ord")), "p_ord", "left_anti")
+    found = first.unionByName(decided(spread_join(rest, dense, ["token"], HOT_POSTINGS))).unionByName(decided(p.where(~is_hot).join(index.where(~is_hot), "token")))
+    return found.groupBy("ord").agg(F.min("k_ord").alias("k_ord"))
 
 
 def resolve_batch(points: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +141,7 @@ def resolve_batch(points: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
         # xxhash64 of a cell could join two cells in one group; that only delays a row to a later round.
         leaders = open_.groupBy(_clique(r)).agg(F.min(F.struct(*POINT)).alias("p")).select("p.*")
         # Who stands in the reach of a leader, the leader itself included: pairs of numbers, on which the rest of the round works.
-        pairs = cut(probe(leaders, postings(open_, r), r, merge=False).select(F.col("ord").alias("lead"), F.col("k_ord").alias("other")))
+        pairs = cut(probe_pairs(leaders, postings(open_, r), r).select(F.col("ord").alias("lead"), F.col("k_ord").alias("other")))
         seen = pairs.groupBy("lead").agg(F.min("other").alias("first"))
         taken = seen.where(F.col("first") == F.col("lead")).select(F.col("lead").alias("ord"))
         follow = pairs.where(F.col("other") > F.col("lead")).withColumnRenamed("lead", "ord").join(taken, "ord", "left_semi")
@@ -138,12 +163,12 @@ def resolve_batch(points: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
 def accept(batch: DataFrame, index: DataFrame, r: Reach = Reach()) -> tuple[DataFrame, DataFrame]:
     """Checks rows (ord, x, y, z, conf, ...) against an index of postings and among themselves, by ascending ord.
 
-    Returns (newly accepted points, repeats): repeats has kept_ord and dup_ord, one row for each repeat, with the first
-    accepted ord in reach that decided it. Rows with a null or non-finite field are neither. Equal ord counts once; an
+    Returns (newly accepted points, repeats): repeats has kept_ord and dup_ord, one row for each repeat, with an accepted
+    ord in its reach, the first of those that were compared. Rows with a null or non-finite field are neither. Equal ord counts once; an
     empty batch gives two empty tables; further columns are ignored.
     """
     points = cut(clean_points(batch))
-    known = cut(probe(points, index, r).groupBy("ord").agg(F.min("k_ord").alias("k_ord")))
+    known = cut(probe(points, index, r))
     fresh = cut(points.join(known, "ord", "left_anti"))
     taken, dup = resolve_batch(fresh, r)
     return fresh.join(taken, "ord", "left_semi"), known.select(F.col("k_ord").alias("kept_ord"), F.col("ord").alias("dup_ord")).unionByName(dup)
