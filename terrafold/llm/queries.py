@@ -75,4 +75,18 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects, "p6_packed": p6_packed, "p6_fills": p6_fills, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
-ORACLE: dict[str, str] = {}
+#: Components by spreading the least ord along links, over the whole table.
+ORACLE: dict[str, str] = {
+    "p4_found": """
+WITH RECURSIVE p AS (SELECT DISTINCT target_id, ord, x, y, z FROM segments WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),
+r AS (SELECT target_id, greatest(0.02 * sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)), 1e-12) AS reach FROM p GROUP BY target_id),
+c AS (SELECT target_id, ord, x, y, z, reach, floor(x / reach)::BIGINT AS i, floor(y / reach)::BIGINT AS j, floor(z / reach)::BIGINT AS k FROM p JOIN r USING (target_id)),
+n AS (SELECT c.*, i + di AS ni, j + dj AS nj, k + dk AS nk FROM c, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj), (VALUES (-1), (0), (1)) d(dk)),
+e AS MATERIALIZED (SELECT n.target_id, n.ord AS a, c.ord AS b FROM n JOIN c ON n.target_id = c.target_id AND ni = c.i AND nj = c.j AND nk = c.k AND n.ord <> c.ord WHERE sqrt(pow(n.x - c.x, 2) + pow(n.y - c.y, 2) + pow(n.z - c.z, 2)) <= n.reach),
+lab(target_id, ord, head) USING KEY (target_id, ord) AS (
+  SELECT target_id, ord, ord FROM p
+  UNION
+  SELECT e.target_id, e.b, min(lab.head) FROM lab JOIN e ON e.target_id = lab.target_id AND e.a = lab.ord JOIN recurring.lab AS cur ON cur.target_id = e.target_id AND cur.ord = e.b WHERE lab.head < cur.head GROUP BY e.target_id, e.b)
+SELECT target_id, head AS head_ord, ord FROM lab QUALIFY count(*) OVER (PARTITION BY target_id, head) >= 20
+""",
+}
