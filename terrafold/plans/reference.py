@@ -73,7 +73,7 @@ def voxel_keys(spark, d):
 
 
 def _fold_sql(steps: int) -> str:
-    """The fold as nested queries over sources 0..steps-1, cells 2 m wide."""
+    """The fold as nested queries over maps 0..steps-1, cells 2 m wide. Every row of the site belongs to one of the maps, by its source."""
     q = "SELECT 0 AS step, ord, x + 0.37 AS x, y + 0.37 AS y, z + 0.37 AS z, conf, source FROM s WHERE source = 0"
     merged = ""
     for k in range(steps):
@@ -82,11 +82,12 @@ def _fold_sql(steps: int) -> str:
         merged += f""", m{k} AS (
   SELECT floor(x / 2) AS vx, floor(y / 2) AS vy, floor(z / 2) AS vz, sum(conf * x) / CASE WHEN sum(conf) > 0 THEN sum(conf) ELSE 1 END AS x, sum(conf * y) / CASE WHEN sum(conf) > 0 THEN sum(conf) ELSE 1 END AS y,
     sum(conf * z) / CASE WHEN sum(conf) > 0 THEN sum(conf) ELSE 1 END AS z, greatest(0, max(conf)) AS conf, arg_max(source, (conf, step, ord, source)) AS source FROM ({q}) GROUP BY 1, 2, 3)"""
-    return f"WITH s AS (SELECT * FROM site WHERE source IS NOT NULL){merged} SELECT round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, conf, source FROM m{steps - 1}"
+    return f"WITH s AS (SELECT * REPLACE (least(coalesce(source, 0) // 3, {steps - 1}) AS source) FROM site WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND isfinite(conf)){merged} SELECT round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, conf, source FROM m{steps - 1}"
 
 
 def _fold(spark, d, steps=3):
     s = table(spark, d, "site").withColumns({c: F.col(c) + 0.37 for c in ("x", "y", "z")})
+    s = s.withColumn("source", F.least(F.floor(F.coalesce("source", F.lit(0)) / 3), F.lit(steps - 1)).cast("long"))
     return voxel.grow_all([s.where(F.col("source") == k) for k in range(steps)], 2.0)
 
 
@@ -339,16 +340,23 @@ def drop_long_edges(spark, d):
     return mesh.drop_long(mesh.triangles(_mesh_grid(spark, d), ["vec_id"]), ["vec_id"], 1.3).groupBy("vec_id").agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT vec_id, "row" AS rw, col, v * 10 AS z, v > -0.15 AS k FROM ({_GRID})),
+q AS (SELECT a.vec_id, a.rw, a.col, a.k AND b.k AND c.k AS t0, a.k AND c.k AND e.k AS t1 FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.rw = b.rw AND b.col = a.col + 1 JOIN g c ON a.vec_id = c.vec_id AND c.rw = a.rw + 1 AND c.col = a.col + 1 JOIN g e ON a.vec_id = e.vec_id AND e.rw = a.rw + 1 AND e.col = a.col),
+u AS (SELECT vec_id, rw, col FROM q WHERE t0 OR t1 UNION SELECT vec_id, rw, col + 1 FROM q WHERE t0 UNION SELECT vec_id, rw + 1, col + 1 FROM q WHERE t0 OR t1 UNION SELECT vec_id, rw + 1, col FROM q WHERE t1)
+SELECT DISTINCT vec_id, col::DOUBLE AS x, rw::DOUBLE AS y, z FROM u JOIN g USING (vec_id, rw, col)""")
 def mesh_vertices(spark, d):
     return mesh.vertices(mesh.triangles(_mesh_grid(spark, d), ["vec_id"]), ["vec_id"])
 
 
-@query()
+@query(f"""WITH z AS (SELECT map_id, 0.1 * sqrt(pow(quantile_cont(cx, 0.95) - quantile_cont(cx, 0.05), 2) + pow(quantile_cont(cy, 0.95) - quantile_cont(cy, 0.05), 2) + pow(quantile_cont(cz, 0.95) - quantile_cont(cz, 0.05), 2)) AS size FROM {_CAM} WHERE isfinite(cx) AND isfinite(cy) AND isfinite(cz) GROUP BY map_id),
+k AS (SELECT * FROM (VALUES (0, 0, 0, 0.0), (1, -1, -1, 1.5), (2, 1, -1, 1.5), (3, 1, 1, 1.5), (4, -1, 1, 1.5)) v(vertex, a, b, c)),
+w AS (SELECT map_id, vertex, r, t, a::DOUBLE * size AS a, b::DOUBLE * size AS b, c::DOUBLE * size AS c FROM {_FIRST_GEOREF} JOIN z USING (map_id), k)
+SELECT map_id, vertex, round(-(r[1][1] * t[1] + r[2][1] * t[2] + r[3][1] * t[3]) + r[1][1] * a + r[2][1] * b + r[3][1] * c, 6) + 0.0 AS vx, round(-(r[1][2] * t[1] + r[2][2] * t[2] + r[3][2] * t[3]) + r[1][2] * a + r[2][2] * b + r[3][2] * c, 6) + 0.0 AS vy,
+  round(-(r[1][3] * t[1] + r[2][3] * t[2] + r[3][3] * t[3]) + r[1][3] * a + r[2][3] * b + r[3][3] * c, 6) + 0.0 AS vz FROM w""")
 def camera_frustums(spark, d):
     g = _georefs(spark, d).withColumns(points.camera_pose(F.col("r"), F.col("t")))
     size = points.frustum_size(_cameras(spark, d).select("map_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), "map_id")
-    return rounded(points.frustums(g.join(size, "map_id"), "size"), 6, "vx", "vy", "vz").select("map_id", "vertex", "vx", "vy", "vz")
+    return points.frustums(g.join(size, "map_id"), "size").select("map_id", "vertex", *[(F.round(c, 6) + 0.0).alias(c) for c in ("vx", "vy", "vz")])
 
 
 @query(f"SELECT map_id, round(0.1 * sqrt(pow(quantile_cont(cx, 0.95) - quantile_cont(cx, 0.05), 2) + pow(quantile_cont(cy, 0.95) - quantile_cont(cy, 0.05), 2) + pow(quantile_cont(cz, 0.95) - quantile_cont(cz, 0.05), 2)), 6) AS size FROM {_CAM} WHERE isfinite(cx) AND isfinite(cy) AND isfinite(cz) GROUP BY map_id")
@@ -356,11 +364,12 @@ def frustum_size(spark, d):
     return rounded(points.frustum_size(_cameras(spark, d).select("map_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), "map_id"), 6, "size")
 
 
-@query()
+@query(f"""SELECT map_id, frame, round(-(r[1][1] * cx + r[1][2] * cy + r[1][3] * cz + t[1]), 6) + 0.0 AS x, round(-(r[2][1] * cx + r[2][2] * cy + r[2][3] * cz + t[2]), 6) + 0.0 AS y, round(r[3][1] * cx + r[3][2] * cy + r[3][3] * cz + t[3], 6) + 0.0 AS z
+FROM {_CAM} JOIN {_FIRST_GEOREF} USING (map_id)""")
 def scene_alignment(spark, d):
     g = _georefs(spark, d).select("map_id", "r", "t")
     xyz = points.scene_alignment(F.col("cx"), F.col("cy"), F.col("cz"), F.col("r"), F.col("t"))
-    return _cameras(spark, d).join(g, "map_id").select("map_id", "frame", *[F.round(c, 6).alias(a) for a, c in zip("xyz", xyz)])
+    return _cameras(spark, d).join(g, "map_id").select("map_id", "frame", *[(F.round(c, 6) + 0.0).alias(a) for a, c in zip("xyz", xyz)])
 
 
 # --- planning --------------------------------------------------------------------------------------------------------
@@ -509,10 +518,10 @@ def mask_pixels(spark, d):
     return _grid(spark, d).groupBy("vec_id").agg(F.count_if(F.col("v") > 0.1).alias("pixels"))
 
 
-@query("""WITH t AS (SELECT lower(trim(query)) AS query, ord, target_id FROM segments WHERE target_id <= 5), p AS (SELECT query, min(target_id) AS pos FROM t GROUP BY query)
+@query("""WITH t AS (SELECT lower(trim(query)) AS query, ord, target_id FROM segments WHERE target_id IS NOT NULL), p AS (SELECT query, min(target_id) AS pos FROM t GROUP BY query)
 SELECT t.query, p.pos, t.ord, t.target_id FROM t JOIN p USING (query) WHERE t.query <> 'vehicle' UNION ALL SELECT 'vehicle', coalesce((SELECT max(pos) FROM p WHERE query <> 'vehicle'), -1) + 1, ord, target_id FROM t WHERE target_id = 1""")
 def segment_upsert(spark, d):
-    t = table(spark, d, "segments").where("target_id <= 5").select(F.lower(segments.trim_query(F.col("query"))).alias("query"), "ord", "target_id", "x", "y", "z")
+    t = table(spark, d, "segments").where("target_id IS NOT NULL").select(F.lower(segments.trim_query(F.col("query"))).alias("query"), "ord", "target_id", "x", "y", "z")
     p = t.groupBy("query").agg(F.min("target_id").alias("pos"))
     all_ = t.join(p, "query")
     new = t.where("target_id = 1")
@@ -615,7 +624,10 @@ def keep_every_frame(spark, d):
     return keyframes.select_keyframes(_events(spark, d), threshold=0.0).where("kept").groupBy("stream").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS stream, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value FROM events),
+k AS (SELECT stream, us, seq, value AS anchor, true AS kept FROM e WHERE seq = 1
+  UNION ALL SELECT e.stream, e.us, e.seq, CASE WHEN abs(e.value - k.anchor) > 40 THEN e.value ELSE k.anchor END, abs(e.value - k.anchor) > 40 FROM k JOIN e ON e.stream = k.stream AND e.seq = k.seq + 1)
+SELECT stream, us AS micros FROM k WHERE kept""")
 def keyframes_stream(spark, d):
     """The stream form over the events' file, drained once into a table."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
