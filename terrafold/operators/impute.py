@@ -202,6 +202,7 @@ def fill_keyframes(cameras: DataFrame, passes: int = PASSES) -> DataFrame:
     empty result; further columns of the input are ignored.
     """
     kf, spread = keyframes(cameras)
+    kf = kf.persist()
     x = with_map_reference(kf, spread)
     y = spread.join(x, map_models(x))
     expect = {t: sum((F.col(f"{t}_b{i}") * F.col(c) for i, c in ((1, "_cx"), (2, "_cy"), (3, "_cz"))), F.col(f"{t}_b0")) for t in ("e", "n", "u")}
@@ -211,6 +212,7 @@ def fill_keyframes(cameras: DataFrame, passes: int = PASSES) -> DataFrame:
         *[expect[t].alias(f"x{t}") for t in ("e", "n", "u")], *[(F.col(t) - expect[t]).alias(f"r{t}") for t in ("e", "n", "u")], cat.alias("cat"),
     ).persist()
     model = fit_mixture(y, passes)
+    kf.unpersist()  # y holds all that is needed from here on
     schema = "map_id string, frame int, lat double, lon double, alt double, fix string, lat_filled boolean, lon_filled boolean, alt_filled boolean, fix_filled boolean"
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -66,11 +66,14 @@ class GroupSpread:
         self.bucket, self.hot = bucket_of([key]), hot_buckets(rows, [key], rows_per_part)
 
     def place(self, rows: DataFrame) -> DataFrame:
+        if not self.hot:  # a constant salt would be folded away and hide the partitioning from what follows
+            return rows.withColumn("_salt", F.lit(0)).repartition(self.key)
         part = F.pmod(F.xxhash64(self.spread_by), F.lit(self.copies)).cast("int")
-        salt = F.when(self.bucket.isin(self.hot), part).otherwise(0) if self.hot else F.lit(0)
-        return rows.withColumn("_salt", salt).repartition(self.key, "_salt")
+        return rows.withColumn("_salt", F.when(self.bucket.isin(self.hot), part).otherwise(0)).repartition(self.key, "_salt")
 
     def join(self, placed: DataFrame, stats: DataFrame) -> DataFrame:
         """placed rows with the statistics (one row a group) of their group; groups without statistics drop out."""
-        top = F.when(self.bucket.isin(self.hot), self.copies - 1).otherwise(0) if self.hot else F.lit(0)
+        if not self.hot:
+            return placed.join(stats, self.key)
+        top = F.when(self.bucket.isin(self.hot), self.copies - 1).otherwise(0)
         return placed.join(stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), top))), [self.key, "_salt"])
