@@ -206,10 +206,10 @@ def objects(segments: DataFrame, reach: float = REACH, least: int = LEAST_POINTS
     Points with a null or non-finite coordinate, and rows without target_id or ord, are left out; repeated rows count
     once; a target whose points all coincide is one object if large enough; an empty table gives no rows.
     """
-    points = cut(placed_points(segments, reach))
+    points = placed_points(segments, reach).persist()  # stays placed by target: what follows needs no further shuffle of it until the end
     kept, cells = outline(points)
-    kept = cut(kept)
-    found = cut(kept.groupBy("target_id").applyInPandas(_cluster, _LABELS))
+    kept = kept.persist()
+    found = kept.groupBy("target_id").applyInPandas(_cluster, _LABELS).persist()
     labels = found.where(F.col("other").isNull())
     pairs = found.where(F.col("other").isNotNull()).select("target_id", "cell", "other")
     if not pairs.isEmpty():
