@@ -33,8 +33,8 @@ _HALF = [o for o in itertools.product(range(-2, 3), repeat=3) if o > (0, 0, 0)]
 _DIRECTIONS = [o for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
 
 
-def placed_points(segments: DataFrame, reach: float = REACH) -> DataFrame:
-    """target_id, ord, x, y, z, reach (metres of that target) and cell of each distinct point with finite coordinates."""
+def placed_points(segments: DataFrame, reach: float = REACH) -> tuple[DataFrame, bool]:
+    """(points, whether a target is hot). Points: target_id, ord, x, y, z, reach (metres of that target) and cell of each distinct point with finite coordinates."""
     inf = float("inf")
     ok = F.col("target_id").isNotNull() & F.col("ord").isNotNull()
     for c in ("x", "y", "z"):
@@ -49,16 +49,28 @@ def placed_points(segments: DataFrame, reach: float = REACH) -> DataFrame:
     side = F.when(F.col("reach") > 0, F.col("reach") * ((1 - 1e-9) / math.sqrt(3))).otherwise(1.0)
     i, j, k = (F.floor((F.col(c) - F.col(f"lo_{c}")) / side) for c in ("x", "y", "z"))
     cell = F.shiftleft(i, 2 * _BITS).bitwiseOR(F.shiftleft(j, _BITS)).bitwiseOR(k)
-    return p.select("target_id", "ord", "x", "y", "z", "reach", cell.alias("cell"))
+    return p.select("target_id", "ord", "x", "y", "z", "reach", cell.alias("cell")), bool(spread.hot)
 
 
-def outline(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the bounded points that stand for each cell, the cells with their counts): see the module's text."""
+def outline(points: DataFrame, hot: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(the bounded points that stand for each cell, the cells with their counts): see the module's text.
+
+    Without hot targets a cell's count comes from a window over the points as they lie; else from a map-side combined
+    aggregate that is joined, so that no task sees all points of a hot cell.
+    """
     cells = points.groupBy("target_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("head"), F.min("reach").alias("reach"))
     w = Window.partitionBy("target_id", "cell").orderBy("ord")
-    few = points.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= KEEP).select("target_id", "cell", "x", "y", "z", "rn")
-    few = few.join(cells, ["target_id", "cell"])
+    few = points.withColumn("rn", F.row_number().over(w))
+    if hot:
+        few = few.where(F.col("rn") <= KEEP).drop("reach", "ord").join(cells, ["target_id", "cell"])
+    else:
+        all_ = Window.partitionBy("target_id", "cell").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        few = few.withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("head", F.min("ord").over(all_))
+    cols = ["target_id", "cell", "n", "head", "reach", "x", "y", "z"]
+    few = few.where(F.col("n") <= KEEP).select(*cols)
     dense = cells.where(F.col("n") > KEEP)
+    if dense.isEmpty():
+        return few, cells
     rows = salted_join(dense, points.drop("reach"), ["target_id", "cell"], counts=cells.select("target_id", "cell", F.col("n").alias("_n")))
     ends = []
     for d in _DIRECTIONS:
@@ -67,8 +79,7 @@ def outline(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     outer = rows.groupBy("target_id", "cell").agg(F.min("n").alias("n"), F.min("head").alias("head"), F.min("reach").alias("reach"), *[e.alias(f"e{i}") for i, e in enumerate(ends)])
     outer = outer.select("target_id", "cell", "n", "head", "reach", F.explode(F.array_distinct(F.array(*[f"e{i}" for i in range(len(ends))]))).alias("ord"))
     outer = outer.join(points.select("target_id", "ord", "x", "y", "z"), ["target_id", "ord"])
-    cols = ["target_id", "cell", "n", "head", "reach", "x", "y", "z"]
-    return few.where(F.col("n") <= KEEP).select(*cols).unionByName(outer.select(*cols)), cells
+    return few.unionByName(outer.select(*cols)), cells
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,8 +217,9 @@ def objects(segments: DataFrame, reach: float = REACH, least: int = LEAST_POINTS
     Points with a null or non-finite coordinate, and rows without target_id or ord, are left out; repeated rows count
     once; a target whose points all coincide is one object if large enough; an empty table gives no rows.
     """
-    points = placed_points(segments, reach).persist()  # stays placed by target: what follows needs no further shuffle of it until the end
-    kept, cells = outline(points)
+    points, hot = placed_points(segments, reach)
+    points = points.persist()  # stays placed by target: what follows needs no further shuffle of it until the end
+    kept, cells = outline(points, hot)
     kept = kept.persist()
     found = kept.groupBy("target_id").applyInPandas(_cluster, _LABELS).persist()
     labels = found.where(F.col("other").isNull())
