@@ -633,11 +633,7 @@ def keyframes_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if os.path.isdir(f"{d}/events.parquet") else f"{d}/events.parq[u]et")
     f = src.select(F.col("user_id").alias("stream"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("value").cast("double").alias("value"), F.lit(100).alias("n_features"), F.lit(None).cast("string").alias("control"))
-    name = f"keyframes_{abs(hash(d)) % 10**9}_{os.getpid()}"
-    q = keyframes.stream_keyframes(f).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    q.stop()
-    return spark.table(name).where("kept").select("stream", F.col("seq").alias("micros"))
+    return keyframes.drain(keyframes.stream_keyframes(f).where("kept").select("stream", F.col("seq").alias("micros")))
 
 
 @query("SELECT stream, count(*) AS total, round(avg(displacement), 6) AS mean_px, max(displacement) AS max_px, min(displacement) AS min_px, round(100.0 * count(*) FILTER (WHERE displacement > 40) / count(*), 6) AS rate FROM frames GROUP BY stream")

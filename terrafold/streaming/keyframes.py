@@ -10,6 +10,7 @@ The state is keyed by stream; arrival order is given by `seq`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.session import ensure_checkpoint_dir
+
 # Displacement threshold in px, features below which tracking is lost, keyframes of a batch.
 THRESHOLD, LEAST_FEATURES, BATCH = 40.0, 10, 25
 
@@ -147,3 +150,17 @@ def replies(selected: DataFrame) -> DataFrame:
 def start(selected: DataFrame, handle, checkpoint: str, **trigger):
     """Hands each micro-batch's closed batches to handle(df, id); an error of one is the handler's to return, the stream goes on."""
     return selected.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(handle).start()
+
+
+def drain(selected: DataFrame) -> DataFrame:
+    """All rows that the source holds now, once the stream has taken them in, however long that is; a stream that fails raises.
+
+    They are written by the executors to a Parquet table in the checkpoint folder, so nothing is gathered on the driver.
+    """
+    spark = selected.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/drained-{uuid.uuid4().hex}"
+    out = f"{at}/rows"
+    spark.createDataFrame([], selected.schema).write.parquet(out)  # a source without rows writes none
+    selected.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(selected.schema).parquet(out)

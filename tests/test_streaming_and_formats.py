@@ -49,6 +49,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in out} == want
 
 
+def test_drained_stream_is_whole_however_long_it_takes(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    from terrafold.plans import reference
+
+    wait = StreamingQuery.awaitTermination
+    # As if the stream were not finished when a limit is over.
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: False if timeout is not None else wait(self))
+    (tmp_path / "some").mkdir()
+    (tmp_path / "none").mkdir()
+    e = spark.range(400).selectExpr("id AS event_id", "id % 4 AS user_id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "50.0D * id AS value")
+    e.write.parquet(str(tmp_path / "some" / "events.parquet"))
+    e.limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert reference.keyframes_stream(spark, str(tmp_path / "some")).count() == 400
+    assert reference.keyframes_stream(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_gps_csv(spark, tmp_path):
     p = tmp_path / "g.csv"
     p.write_text("latitude,longitude,altitude\n1.5,2.5,3.5\n,2.5,3.5\n1.0,2.0,\n")
