@@ -6,20 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.points import numbered
+from terrafold.session import cut
+
+SOURCE, TARGET = ("cx", "cy", "cz"), ("e", "n", "u")
 LEAST_PAIRS = 3
 ICP_ROUNDS, ICP_STOP = 30, 1e-6
+#: Rows of a large group that are searched together.
+TILE = 1024
 
 
-def moments(pairs: DataFrame, group: str) -> DataFrame:
+def moments(pairs: DataFrame, group: str, *more: Column) -> DataFrame:
     """n, means, source variance and the nine cross-covariances of (cx, cy, cz) to (e, n_, u) for groups with at least 3 pairs."""
-    a, b = ("cx", "cy", "cz"), ("e", "n", "u")
+    a, b = SOURCE, TARGET
     p = pairs.where(" AND ".join(f"{c} IS NOT NULL" for c in (*a, *b)))
     aggs = [F.count(F.lit(1)).alias("pairs"), *[F.avg(c).alias(f"m_{c}") for c in (*a, *b)], (F.var_pop("cx") + F.var_pop("cy") + F.var_pop("cz")).alias("var_src")]
     aggs += [F.covar_pop(y, x).alias(f"h_{y}_{x}") for y in b for x in a]
-    return p.groupBy(group).agg(*aggs).where(F.col("pairs") >= LEAST_PAIRS)
+    return p.groupBy(group).agg(*aggs, *more).where(F.col("pairs") >= LEAST_PAIRS)
 
 
 def solve(h: np.ndarray, ms: np.ndarray, md: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,6 +39,12 @@ def solve(h: np.ndarray, ms: np.ndarray, md: np.ndarray, var: np.ndarray) -> tup
     return scale, r, md - scale[:, None] * (r @ ms[:, :, None])[:, :, 0]
 
 
+def _solved(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`solve` for rows of `moments`."""
+    h = m[[f"h_{y}_{x}" for y in TARGET for x in SOURCE]].to_numpy(float).reshape(-1, 3, 3)
+    return solve(h, m[[f"m_{x}" for x in SOURCE]].to_numpy(float), m[[f"m_{y}" for y in TARGET]].to_numpy(float), m.var_src.to_numpy(float))
+
+
 _FLAT = ", ".join([f"r{i}{j} double" for i in range(3) for j in range(3)] + [f"t{i} double" for i in range(3)])
 
 
@@ -51,8 +63,7 @@ def fit_sim3(pairs: DataFrame, group: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = b[[f"h_{y}_{x}" for y in ("e", "n", "u") for x in ("cx", "cy", "cz")]].to_numpy(float).reshape(-1, 3, 3)
-            s, r, t = solve(h, b[["m_cx", "m_cy", "m_cz"]].to_numpy(float), b[["m_e", "m_n", "m_u"]].to_numpy(float), b.var_src.to_numpy(float))
+            s, r, t = _solved(b)
             yield pd.DataFrame({group: b[group].to_numpy(), "s": s, **_flat(r, t)})
 
     return _nested(m.mapInPandas(run, f"`{group}` {kind}, s double, {_FLAT}"), group, "s")
@@ -71,10 +82,13 @@ def rmse(pairs: DataFrame, fits: DataFrame, group: str) -> DataFrame:
 def icp(pairs: DataFrame, group: str, rounds: int = ICP_ROUNDS, largest: int = 20_000) -> DataFrame:
     """Refines each track by nearest-point iterations: group, s, r, t, rmse (measured before the last fit), rounds.
 
-    A track is tens of keyframes, so one task takes one map; a group beyond `largest` rows keeps its direct fit (rounds 0).
+    A track is tens of keyframes, so one task takes one map; the rounds of a group beyond `largest` rows, the same ones,
+    are spread over the cluster (`_icp_spread`). What reaches the driver is one fit for each group beyond `largest`, and
+    one box for each TILE rows of those.
     """
-    size = pairs.groupBy(group).count()
-    small = pairs.join(size.where(F.col("count") <= largest), group, "left_semi")
+    pairs = pairs.where(F.col(group).isNotNull())
+    hot = [r[group] for r in pairs.groupBy(group).count().where(F.col("count") > largest).collect()]
+    small = pairs.where(~F.col(group).isin(hot)) if hot else pairs
     kind = dict(pairs.dtypes)[group]
     schema = f"`{group}` {kind}, s double, {_FLAT}, rmse double, rounds int"
 
@@ -103,9 +117,101 @@ def icp(pairs: DataFrame, group: str, rounds: int = ICP_ROUNDS, largest: int = 2
         return pd.DataFrame({group: g[group].iloc[:1].to_numpy(), "s": [s], **_flat(r[None], t[None]), "rmse": [err], "rounds": np.array([done], np.int32)})
 
     refined = _nested(small.groupBy(group).applyInPandas(one, schema), group, "s", "rmse", "rounds")
-    large = pairs.join(size.where(F.col("count") > largest), group, "left_semi")
-    direct = fit_sim3(large, group)
-    return refined.unionByName(direct.join(rmse(large, direct, group).drop("pairs"), group).withColumn("rounds", F.lit(0)))
+    if not hot:
+        return refined
+    spread = _icp_spread(pairs.where(F.col(group).isin(hot)), group, rounds)
+    return refined.unionByName(_nested(pairs.sparkSession.createDataFrame(spread, schema), group, "s", "rmse", "rounds"))
+
+
+def _tiled(pairs: DataFrame, group: str) -> DataFrame:
+    """The finite pairs with a number (_id) along a Z-order curve through (e, n, u) in their group; _tile: TILE rows that follow each other."""
+    inf = float("inf")
+    p = pairs.select(group, *[F.col(c).cast("double").alias(c) for c in (*SOURCE, *TARGET)]).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in (*SOURCE, *TARGET)))
+    for c in (*SOURCE, *TARGET):
+        p = p.where(F.abs(c) < inf)
+    box = p.groupBy(group).agg(*[F.min(c).alias(f"_{c}") for c in TARGET], F.greatest(*[F.max(c) - F.min(c) for c in TARGET]).alias("_side"))
+    p = p.join(F.broadcast(box), group)
+    code = F.lit(0).cast("long")
+    for axis, c in enumerate(TARGET):
+        at = F.when(F.col("_side") > 0, F.floor((F.col(c) - F.col(f"_{c}")) / F.col("_side") * 65535)).otherwise(0).cast("long")
+        p = p.withColumn(f"_at{axis}", at)
+        for bit in range(16):
+            code = code + F.shiftleft(F.shiftright(F.col(f"_at{axis}"), bit).bitwiseAND(F.lit(1)), 3 * bit + axis)
+    p = p.withColumn("_code", code).select(group, "_code", *SOURCE, *TARGET)
+    return cut(numbered(p, [group, "_code", *TARGET, *SOURCE], "_id").select(group, "_id", F.floor(F.col("_id") / TILE).alias("_tile"), *SOURCE, *TARGET))
+
+
+def _nearest_pairs(tiled: DataFrame, group: str, fits: dict, boxes: dict) -> DataFrame:
+    """For each row of a group in `fits`, moved by its fit, the nearest (e, n, u) of its group: group, cx, cy, cz, e, n, u, d2.
+
+    A moved row goes to the tiles whose box is no farther than its own pair or the far corner of any box, so none is missed.
+    Tiles are read in order, the points of a tile before the rows moved to it: a task holds one tile and one batch.
+    """
+    kind = dict(tiled.dtypes)[group]
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, x in b.groupby(group):
+                if g not in fits:
+                    continue
+                (s, r, t), (first, tiles, lo, hi) = fits[g], boxes[g]
+                p, q = x[list(SOURCE)].to_numpy(float), x[list(TARGET)].to_numpy(float)
+                ids, moved = x["_id"].to_numpy(), s * p @ r.T + t
+                made = lambda k, src, i, at: pd.DataFrame({"k": k, "src": src, "_id": ids[i], group: g, **dict(zip("xyz", at[i].T)), **dict(zip(SOURCE, p[i].T))})  # noqa: B023, E731
+                yield made(first + np.searchsorted(tiles, x["_tile"].to_numpy()), 0, np.arange(len(x)), q)
+                step = max(1, 500_000 // len(tiles))
+                for a in range(0, len(x), step):
+                    m = moved[a : a + step, None]
+                    near = (np.maximum(np.maximum(lo[None] - m, m - hi[None]), 0) ** 2).sum(2)
+                    far = (np.maximum(np.abs(m - lo[None]), np.abs(m - hi[None])) ** 2).sum(2).min(1)
+                    own = ((m[:, 0] - q[a : a + step]) ** 2).sum(1)
+                    i, k = np.nonzero(near <= (np.minimum(own, far) * (1 + 1e-9))[:, None])
+                    yield made(first + k, 1, a + i, moved)
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, np.zeros((0, 3))
+        for b in batches:
+            for k, x in b.groupby("k", sort=True):
+                if k != now:
+                    now, held = k, np.zeros((0, 3))
+                held = np.concatenate([held, x.loc[x.src == 0, ["x", "y", "z"]].to_numpy(float)])
+                x = x[x.src == 1]
+                m = x[["x", "y", "z"]].to_numpy(float)
+                for a in range(0, len(m), 500):
+                    d2 = ((m[a : a + 500, None] - held[None]) ** 2).sum(2)
+                    i = d2.argmin(1)
+                    y = x.iloc[a : a + 500]
+                    yield pd.DataFrame({"_id": y["_id"].to_numpy(), group: y[group].to_numpy(), "d2": d2[np.arange(len(i)), i], **dict(zip(TARGET, held[i].T)), **{c: y[c].to_numpy() for c in SOURCE}})
+
+    doubles = ", ".join(f"{c} double" for c in SOURCE)
+    sent = tiled.mapInPandas(route, f"k long, src int, _id long, `{group}` {kind}, x double, y double, z double, {doubles}")
+    found = sent.repartition("k").sortWithinPartitions("k", "src").mapInPandas(probe, f"_id long, `{group}` {kind}, d2 double, {', '.join(f'{c} double' for c in TARGET)}, {doubles}")
+    return found.groupBy("_id").agg(F.min(F.struct("d2", *TARGET, *SOURCE, group)).alias("m")).select("m.*")
+
+
+def _icp_spread(pairs: DataFrame, group: str, rounds: int) -> list[tuple]:
+    """The rounds of `icp` for large groups, all at once, as rows of its schema. Rounds keep no rows: each starts from the tiles and the last fits."""
+    tiled = _tiled(pairs, group)
+    boxes = {}
+    b = tiled.groupBy(group, "_tile").agg(*[F.min(c).alias(f"lo_{c}") for c in TARGET], *[F.max(c).alias(f"hi_{c}") for c in TARGET]).orderBy(group, "_tile").toPandas()
+    for g, x in b.groupby(group):
+        boxes[g] = (int(x.index[0]), x["_tile"].to_numpy(), x[[f"lo_{c}" for c in TARGET]].to_numpy(float), x[[f"hi_{c}" for c in TARGET]].to_numpy(float))
+
+    def fit(m: pd.DataFrame) -> dict:
+        return {g: f for g, *f in zip(m[group].tolist(), *_solved(m))}
+
+    fits = fit(moments(tiled, group).toPandas())
+    last, out = dict.fromkeys(fits, np.inf), {}
+    for done in range(1, rounds + 1):
+        m = moments(_nearest_pairs(tiled, group, fits, boxes), group, F.sqrt(F.avg("d2")).alias("_rmse")).toPandas()
+        err = dict(zip(m[group].tolist(), m["_rmse"].tolist()))
+        fits = fit(m)
+        out |= {g: (g, float(s), *map(float, r.ravel()), *map(float, t), err[g], done) for g, (s, r, t) in fits.items()}
+        fits = {g: f for g, f in fits.items() if not abs(last[g] - err[g]) < ICP_STOP}
+        last = err
+        if not fits:
+            break
+    return list(out.values())
 
 
 def even_resample(n: DataFrame, group: str, k: str, total: str) -> DataFrame:

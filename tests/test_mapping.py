@@ -133,6 +133,20 @@ def test_sim3_recovered(spark):
     assert align.icp(df, "map_id").first()["rmse"] < 1e-6
 
 
+def test_icp_of_large_groups_equals_that_of_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(m, *map(float, a), *map(float, 2.0 * a + rng.normal(0, wide, 3))) for m, k, wide in (("line", 400, 3.0), ("cloud", 300, 0.5), ("few", 40, 1.0)) for a in rng.normal(0, 1, (k, 3)) * ((50, 1, 0.1) if m == "line" else 5)]
+    rows += [("cloud", 1.0, 1.0, 1.0, 2.0, 2.0, float("nan")), ("cloud", None, 1.0, 1.0, 2.0, 2.0, 2.0), (None, *rows[0][1:])]
+    df = spark.createDataFrame(rows, "map_id string, cx double, cy double, cz double, e double, n double, u double")
+    monkeypatch.setattr(align, "TILE", 32, raising=False)
+    want, got = ({r["map_id"]: r for r in align.icp(df, "map_id", largest=k).collect()} for k in (20_000, 100))
+    assert set(got) == set(want) == {"line", "cloud", "few"} and all(want[m]["rounds"] > 1 for m in want)
+    for m, w in want.items():
+        assert got[m]["rounds"] == w["rounds"]
+        for c in ("s", "r", "t", "rmse"):
+            assert np.allclose(got[m][c], w[c], rtol=1e-9, atol=1e-9)
+
+
 def test_sim3_mirrored_keeps_unsigned_scale(spark):
     df, _ = _track(spark, mirror=True)
     r = align.fit_sim3(df, "map_id").first()
