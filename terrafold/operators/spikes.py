@@ -1,7 +1,8 @@
 """Implausible readings of positions, judged per stream against that stream's own movement.
 
 1. Frames are cut into chunks of `chunk` frame numbers with a margin of `margin` frames on either side, so no stream,
-   however hot, is held by one task and every run that matters lies whole in some chunk.
+   however hot, is held by one task. Runs of equal readings that reach a chunk's border are joined with those of the
+   chunks next to it before they are judged, however long they are.
 2. Step lengths between neighbouring frames go into mergeable quantile sketches (counts in logarithmic bins, relative
    error `SKETCH_GAMMA` - 1), kept by stream and hour of day and merged to the stream; partial counts combine map-side.
 3. The fences are the expanded interquartile fence and a multiple of the 95th percentile, the wider of the two; the
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrafold.session import cut
+
 SKETCH_GAMMA = 1.05
 #: Fence: upper quartile plus so many interquartile ranges, and at least so many times the 95th percentile.
 FENCE_IQR, FENCE_P95 = 8.0, 3.5
@@ -32,8 +35,8 @@ HOUR_STEPS, HOUR_WIDENS = 64, 1.5
 #: Altitudes outside are no altitudes of a craft.
 ALT_RANGE = (-1000.0, 20000.0)
 METRES_PER_DEGREE = 111_195.08
-#: Frozen runs: least lengths, the odds of a chance run per stream, displacement in px (and as a share of the stream's median) that counts as moving on.
-RUN_ALL, RUN_ALT, RUN_ODDS, MOVING_PX, MOVING_SHARE = 6, 7, 0.01, 8.0, 0.3
+#: Frozen runs: least lengths, the odds at which chance makes a run that long (for each run, so that a stream's length does not matter), displacement in px (and as a share of the stream's median) that counts as moving on.
+RUN_ALL, RUN_ALT, RUN_ODDS, MOVING_PX, MOVING_SHARE = 6, 7, 2.5e-5, 8.0, 0.3
 
 COLUMNS = ["stream", "frame_id", "ts", "displacement", "latitude", "longitude", "altitude"]
 
@@ -157,8 +160,8 @@ def _runs(eq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.bincount(start, minlength=len(eq))[start]
 
 
-def judge(g: pd.DataFrame) -> np.ndarray:
-    """Flags of one chunk's frames (sorted, one row a frame_id), with the stream's fences in each row."""
+def judge(g: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+    """Flags of one chunk's frames (sorted, one row a frame_id), with the stream's fences in each row, and its border runs (EDGES)."""
     lat, lon, alt = (g[c].to_numpy(float) for c in ("latitude", "longitude", "altitude"))
     fid, sec, dis = g.frame_id.to_numpy(), g.us.to_numpy() / 1e6, g.displacement.to_numpy(float)
     r = g.iloc[0]
@@ -177,24 +180,79 @@ def judge(g: pd.DataFrame) -> np.ndarray:
     if ok.sum() >= 3:
         hit = _excursions(alt[ok][:, None], fid[ok], sec[ok], max(r.fence_z, FLOOR_Z), r.far_z)
         flag[np.nonzero(ok)[0][hit]] = True
+    core = np.nonzero(g.core.to_numpy(bool))[0]
+    if not len(core):
+        return flag, []
+    lat, lon, alt, dis, fid = lat[core], lon[core], alt[core], dis[core], fid[core]
     moves = r.moves if r.moves == r.moves and r.moves is not None else 0.0
+    moving = max(MOVING_PX, MOVING_SHARE * moves)
     still = min(max(float(r.still), 1e-4), 0.95)
-    least_alt = max(RUN_ALT, 1 + int(np.ceil(np.log(max(r.n, 2) / RUN_ODDS) / -np.log(still))))
+    least_alt = max(RUN_ALT, 1 + int(np.ceil(np.log(1 / RUN_ODDS) / -np.log(still))))
     same_alt = np.r_[False, alt[1:] == alt[:-1]]
     same_all = same_alt & np.r_[False, (lat[1:] == lat[:-1]) & (lon[1:] == lon[:-1])]
-    for eq, least in ((same_all, RUN_ALL), (same_alt, least_alt)):
+    edges = []
+    for kind, (eq, least) in enumerate(((same_all, RUN_ALL), (same_alt, least_alt))):
         start, length = _runs(eq)
+        for s in {0, int(start[-1])}:
+            e = s + length[s]
+            d = dis[s + 1 : e]
+            d = d[np.isfinite(d)]
+            up, low = d[d >= moving], d[d < moving]
+            edges.append((r.stream, r.chunk, kind, s, s == 0, e == len(eq), lat[s], lon[s], alt[s], fid[s:e], dis[s], len(d), len(up), low.max() if len(low) else None, up.min() if len(up) else None, least, moving))
         for s in np.unique(start[length >= least]):
-            d = dis[s + 1 : s + length[s]]
+            e = s + length[s]
+            if s == 0 or e == len(eq):
+                continue
+            d = dis[s + 1 : e]
             d = d[np.isfinite(d)]
-            if len(d) and np.median(d) >= max(MOVING_PX, MOVING_SHARE * moves):
-                flag[s + 1 : s + length[s]] = True
-    return flag
+            if len(d) and np.median(d) >= moving:
+                flag[core[s + 1 : e]] = True
+    return flag, edges
+
+
+#: The first and the last run of equal readings (kind 0: all three, 1: altitude) of a chunk: place and value, frame_ids, displacement
+#: of the first frame, and of the others how many are known, how many show motion, the largest that does not, the smallest that does.
+EDGES = "stream long, chunk long, kind int, at int, head boolean, tail boolean, latitude double, longitude double, altitude double, ids array<long>, d0 double, known long, up long, below double, above double, least int, moving double"
+_EDGES = [c.split()[0] for c in EDGES.split(", ")]
+
+
+def border_runs(edges: DataFrame) -> DataFrame:
+    """Frames (stream, frame_id) of frozen runs that reach a chunk's border, the runs of neighbouring chunks joined first.
+
+    The median displacement of a joined run is compared from counts, exactly: the two middle ones matter only if half of them show motion.
+    """
+    w = Window.partitionBy("stream", "kind").orderBy("chunk", "at")
+    before = lambda c: F.lag(c).over(w)
+    equal = lambda c: (F.col(c) == before(c)) & ~F.isnan(c)
+    linked = F.col("head") & before("tail") & equal("altitude") & ((F.col("kind") == 1) | (equal("latitude") & equal("longitude")))
+    e = edges.drop("ids").withColumn("linked", F.coalesce(linked, F.lit(False)))
+    e = e.withColumn("run", F.sum((~F.col("linked")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = F.when(F.col("linked") & F.col("d0").isNotNull() & ~F.isnan("d0") & (F.abs("d0") < float("inf")), F.col("d0"))
+    size = edges.select("stream", "kind", "chunk", "at", F.size("ids").alias("size"))
+    e = e.withColumn("d", d).join(size, ["stream", "kind", "chunk", "at"])
+    runs = e.groupBy("stream", "kind", "run").agg(
+        F.sum("size").alias("length"),
+        F.max("least").alias("least"),
+        F.max("moving").alias("moving"),
+        F.sum(F.col("known") + F.when(F.col("d").isNotNull(), 1).otherwise(0)).alias("known"),
+        F.sum(F.col("up") + F.when(F.col("d") >= F.col("moving"), 1).otherwise(0)).alias("up"),
+        F.max(F.greatest("below", F.when(F.col("d") < F.col("moving"), F.col("d")))).alias("below"),
+        F.min(F.least("above", F.when(F.col("d") >= F.col("moving"), F.col("d")))).alias("above"),
+    )
+    middle = (2 * F.col("up") == F.col("known")) & ((F.col("below") + F.col("above")) / 2 >= F.col("moving"))
+    frozen = runs.where((F.col("length") >= F.col("least")) & (F.col("known") > 0) & ((2 * F.col("up") > F.col("known")) | middle)).select("stream", "kind", "run")
+    parts = e.select("stream", "kind", "chunk", "at", "run", "linked").join(frozen, ["stream", "kind", "run"], "left_semi")
+    ids = F.when(F.col("linked"), F.col("ids")).otherwise(F.slice("ids", F.lit(2), F.size("ids")))
+    return edges.select("stream", "kind", "chunk", "at", "ids").join(parts, ["stream", "kind", "chunk", "at"]).select("stream", F.explode(ids).alias("frame_id"))
 
 
 def _judge_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Judges chunk after chunk of a partition sorted by (stream, chunk, frame_id); a chunk may span two batches."""
 
+    def whole(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.reindex(columns=["frame_id", *_EDGES]).astype(object)
+        return x.where(x.notna(), None)
+
     def done(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(x):
             return
@@ -202,8 +260,9 @@ def _judge_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         x = x[np.r_[True, (key[1:] != key[:-1]).any(1)]]
         key = x[["stream", "chunk"]].to_numpy()
         cut = np.r_[0, np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1, len(x)]
-        flags = np.concatenate([judge(x.iloc[a:b]) for a, b in zip(cut[:-1], cut[1:])])
-        yield x.loc[flags & x.core.to_numpy(bool), ["stream", "frame_id"]]
+        flags, edges = zip(*[judge(x.iloc[a:b]) for a, b in zip(cut[:-1], cut[1:])])
+        yield x.loc[np.concatenate(flags) & x.core.to_numpy(bool), ["stream", "frame_id"]].pipe(whole)
+        yield pd.DataFrame([e for part in edges for e in part], columns=_EDGES).pipe(whole)
 
     rest = pd.DataFrame()
     for b in batches:
@@ -226,4 +285,6 @@ def implausible_frames(frames: DataFrame, chunk: int = 4096, margin: int = 128)
     stats = fences(step_sketches(c))
     by_chunk = c.select("stream", "chunk").distinct().join(stats, "stream")
     joined = c.join(by_chunk, ["stream", "chunk"]).sortWithinPartitions("stream", "chunk", "frame_id")
-    return joined.mapInPandas(_judge_partitions, "stream long, frame_id long").distinct()
+    out = cut(joined.mapInPandas(_judge_partitions, f"frame_id long, {EDGES}"))
+    inside = out.where("frame_id IS NOT NULL").select("stream", "frame_id")
+    return inside.unionByName(border_runs(out.where("frame_id IS NULL").drop("frame_id"))).distinct()

@@ -110,6 +110,32 @@ def test_spikes_runs_and_impossible_readings(spark):
     assert found(spark, rows[::-1] + rows[:90], chunk=64, margin=40) == {(1, k) for k in want}
 
 
+def test_frozen_run_is_judged_alike_in_short_and_long_streams(spark):
+    for n in (400, 8000):
+        rows = flight(3, n)
+        for k in range(n):
+            rows[k][7] = 300.0 + 0.5 * ((k // 2) % 2)
+        for k in range(101, 120):
+            rows[k][7] = 300.7
+        assert found(spark, rows) == {(3, k) for k in range(102, 120)}
+
+
+def test_frozen_run_across_chunks_is_whole(spark):
+    for begin, end in ((44, 84), (40, 250), (64, 128)):
+        rows = flight(4, 600)
+        for k in range(600):
+            rows[k][7] = 300.0 + 0.5 * ((k // 3) % 2)
+        for k in range(begin, end):
+            rows[k][7] = 300.7
+            rows[k][3] = None if k % 7 == 0 else 20.0
+        want = {(4, k) for k in range(begin + 1, end)}
+        assert found(spark, rows) == want and found(spark, rows, chunk=64, margin=8) == want
+        for k in range(begin + 1, end):
+            rows[k][3] = 20.0 if (k - begin) % 2 else 7.0  # the middle of the two kinds is 13.5 or 7
+        whole = found(spark, rows)
+        assert found(spark, rows, chunk=64, margin=8) == whole == found(spark, rows, chunk=16, margin=8)
+
+
 def test_pause_with_new_place_is_no_case(spark):
     import datetime as dt
 
