@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 NEG = -1e4
-#: Lead of label 0, in log score, from which Viterbi takes a token as outside: more than the learned transitions on both of its sides can weigh (about 3.4).
+#: A lead of label 0, in log score, that is clear but proves nothing by itself; see `certain`.
 CUT_MARGIN = 6.0
 
 
@@ -115,19 +115,45 @@ def outside(emissions: np.ndarray, margin: float) -> np.ndarray:
     return emissions[:, 0] - emissions[:, 1:].max(1) > margin
 
 
-def viterbi(model: Model, emissions: np.ndarray, lengths: np.ndarray, cells: int = 400_000, margin: float = CUT_MARGIN) -> np.ndarray:
+def certain(model: Model, emissions: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Tokens that every best path gives label 0. last: the token ends its sequence.
+
+    A path with another label j here is beaten by the one with 0 if 0 leads j by more than the transitions on both sides
+    can favour j. Where the next label is I-x it becomes B-x, so that its lead over B-x and the transition after it count too.
+    """
+    tr, st, names = model.transitions.astype(float), model.start.astype(float), model.labels
+    legal = np.array(allowed(names)[0]) == 0
+    begins = np.array([not b.startswith("I-") for b in names])
+    sure = np.ones(len(emissions), bool)
+    for j in range(1, len(names)):
+        before = (tr[:, j] - tr[:, 0])[legal[:, j]].max()
+        if begins[j]:
+            before = max(before, st[j] - st[0])
+        need = np.full(len(emissions), before + max(0.0, (tr[j] - tr[0])[begins].max()))
+        inner, outer = (names.index(f"{p}-{names[j][2:]}") if f"{p}-{names[j][2:]}" in names else None for p in "IB")
+        if inner is not None:
+            after = max(0.0, (tr[inner] - tr[outer])[legal[inner]].max()) if outer is not None else np.inf
+            onward = before + (tr[j, inner] - tr[0, outer] if outer is not None else 0.0) + after
+            lead = np.r_[emissions[1:, inner] - emissions[1:, outer if outer is not None else inner], np.zeros(min(1, len(emissions)))]
+            need = np.where(last, need, np.maximum(need, onward + lead))
+        sure &= emissions[:, 0] - emissions[:, j] > need + 1e-3
+    return sure
+
+
+def viterbi(model: Model, emissions: np.ndarray, lengths: np.ndarray, cells: int = 400_000, margin: float | None = None) -> np.ndarray:
     """Best label of each token.
 
-    Where label 0 leads by the margin the token is taken as label 0 and the chain is cut there; the pieces between are
-    decoded exactly, in batches of similar length, at most `cells` padded tokens at once. An infinite margin cuts nothing.
+    Where a token is certain to have label 0 the chain is cut; the pieces between are decoded exactly, in batches of
+    similar length, at most `cells` padded tokens at once. With a margin it is cut where label 0 leads by it instead,
+    which proves nothing; an infinite one cuts nothing.
     """
     n = len(emissions)
     out = np.zeros(n, np.int64)
     if not n:
         return out
-    sure = outside(emissions, margin)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     new = np.r_[True, doc[1:] != doc[:-1]]
+    sure = certain(model, emissions, np.r_[new[1:], True]) if margin is None else outside(emissions, margin)
     opens = ~sure & (new | np.r_[True, sure[:-1]])
     closes = ~sure & (np.r_[new[1:], True] | np.r_[sure[1:], True])
     begin, end = np.nonzero(opens)[0], np.nonzero(closes)[0] + 1

@@ -154,6 +154,24 @@ def test_cutting_the_chain_changes_nothing():
     assert crf.outside(emis, crf.CUT_MARGIN).any()
 
 
+def test_cut_is_exact_where_the_next_token_hangs_on_it():
+    labels = ["O", "B-x", "I-x", "B-y", "I-y"]
+    pen_t, pen_s = crf.allowed(labels)
+    m = crf.Model(labels, np.zeros((1, 5), np.float32), pen_t.astype(np.float32), pen_s.astype(np.float32))
+    e = np.array([[0, 9, 0, 0, 0], [7, -1, 0, 0, 0], [0, 0, 20, 0, 0], [9, 0, 0, 0, 0]], np.float32)
+    assert crf.viterbi(m, e, np.array([4])).tolist() == [1, 2, 2, 0] == crf.viterbi(m, e, np.array([4]), margin=np.inf).tolist()
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 40, 300)
+    cut = 0
+    for wide in (1, 4, 12):
+        m.transitions = (pen_t + rng.normal(0, 1.5, (5, 5))).astype(np.float32)
+        m.start = (pen_s + rng.normal(0, 1.5, 5)).astype(np.float32)
+        e = (rng.normal(0, wide, (n.sum(), 5)) + np.array([wide, 0, 0, 0, 0])).astype(np.float32)
+        assert (crf.viterbi(m, e, n) == crf.viterbi(m, e, n, margin=np.inf)).all()
+        cut += crf.certain(m, e, np.zeros(len(e), bool)).sum()
+    assert cut > 100
+
+
 def test_tokens_and_awkward_texts():
     import re
 
