@@ -6,7 +6,7 @@
 2. Step lengths between neighbouring frames go into mergeable quantile sketches (counts in logarithmic bins, relative
    error `SKETCH_GAMMA` - 1), kept by stream and hour of day and merged to the stream; partial counts combine map-side.
 3. The fences are the expanded interquartile fence and a multiple of the 95th percentile, the wider of the two; the
-   hour's own sketch is used in place of the stream's where it is wider.
+   liveliest hour's sketch widens the stream's fence, for all hours alike. No frame is judged by its own hour.
 4. A reading is flagged where it is no position on this planet, where it and at most `MAX_AWAY` neighbours leave the
    path by more than the fence and come back to it, or where it repeats exactly (zero variance) for longer than the
    stream's resolution explains while the image moves on.
