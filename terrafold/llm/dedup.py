@@ -4,8 +4,8 @@ A point's tokens are the cells (x, y, z, confidence) that its reach touches. Any
 home cell among them, so the rare prefix that history must be indexed by is a single token, the home cell: the cells
 are several reaches wide, nearly all hold a point or none, and hot ones are merged by equal points, tried by representatives and split in the join. The index keeps these
 postings partitioned by token; a new batch probes its tokens, the confidence cuts candidates like a length filter, and
-the exact distance verifies them. Accepted points are appended as further postings; old ones are neither read in full
-per batch nor written again.
+the exact distance verifies them. Accepted points are appended as further postings; old ones are not written
+again, but a batch that touches every token bucket reads all of them.
 
 Within the batch rows are taken by ascending ord: a row is accepted exactly if no accepted row before it is within
 reach. This takes rounds: the first open row of each clique cell (any two
