@@ -13,11 +13,16 @@ def bucket_of(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(df: DataFrame, keys: list[str], rows: int) -> list[int]:
-    """Hash buckets of the keys that hold `rows` more than twice the mean: only there can a key be hot."""
+def bucket_sizes(df: DataFrame, keys: list[str], rows: int) -> dict[int, int]:
+    """Rows of the hash buckets of the keys that hold `rows` more than twice the mean: only there can a key be hot."""
     sizes = df.groupBy(bucket_of(keys).alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
     mean = sum(r["n"] for r in sizes) / BUCKETS
-    return [r["_b"] for r in sizes if r["n"] > rows + 2 * mean]
+    return {r["_b"]: r["n"] for r in sizes if r["n"] > rows + 2 * mean}
+
+
+def hot_buckets(df: DataFrame, keys: list[str], rows: int) -> list[int]:
+    """The numbers of those buckets."""
+    return sorted(bucket_sizes(df, keys, rows))
 
 
 def spread_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_split: int = 5000) -> DataFrame:
@@ -57,13 +62,17 @@ def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], rows_per_sp
 class GroupSpread:
     """Keeps rows and per-group statistics joinable on (key, _salt), with the rows of hot groups spread over `copies` parts.
 
-    Hot groups are found as in salted_join, from one map-side combined count. `place` partitions rows by (key, _salt) once;
-    grouping by further columns that `spread_by` fixes, and joining statistics, then needs no further shuffle of the rows.
+    Hot groups are found as in salted_join, from one map-side combined count; there are as many copies as the largest bucket
+    fills parts of `rows_per_part`, though no more than a few for each shuffle partition. `place` partitions rows by (key, _salt)
+    once; grouping by further columns that `spread_by` fixes, and joining statistics, then needs no further shuffle of the rows.
     """
 
-    def __init__(self, rows: DataFrame, key: str, spread_by: str, rows_per_part: int = 50_000, copies: int = 64):
-        self.key, self.spread_by, self.copies = key, spread_by, copies
-        self.bucket, self.hot = bucket_of([key]), hot_buckets(rows, [key], rows_per_part)
+    def __init__(self, rows: DataFrame, key: str, spread_by: str, rows_per_part: int = 50_000):
+        self.key, self.spread_by = key, spread_by
+        sizes = bucket_sizes(rows, [key], rows_per_part)
+        self.bucket, self.hot = bucket_of([key]), sorted(sizes)
+        most = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.copies = min(most, -(-max(sizes.values(), default=1) // rows_per_part))
 
     def place(self, rows: DataFrame) -> DataFrame:
         if not self.hot:  # a constant salt would be folded away and hide the partitioning from what follows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +45,15 @@ def ship(spark: SparkSession) -> None:
     sc._terrafold_shipped = True
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder named in spark.checkpoint.dir; only where none is set (tests) a temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir, in use from here on. Where none is set, a local session gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrafold-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="terrafold-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,6 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage like `cut`, as a Parquet table in the shared folder: later reads take only the columns they need."""
+    at = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """For work that is heavy for each row: a table read as fewer partitions than there are cores is spread over them; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

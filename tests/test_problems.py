@@ -56,14 +56,69 @@ def test_fill_awkward_inputs(spark):
     assert impute.fill_keyframes(spark.createDataFrame([], CAM)).count() == 0
 
 
-def test_sums_of_the_mixture_rise():
+def test_statistics_of_gaps_are_the_conditional_ones():
+    """Sums over rows with gaps equal those over many draws of the gaps from the model itself."""
     rng = np.random.default_rng(0)
-    r = rng.normal(size=(500, 3))
-    r[:100, 1] = np.nan
-    c = rng.integers(-1, 4, 500)
-    m = {"pi": np.full(3, 1 / 3), "mu": np.zeros((3, 3)), "sigma": np.stack([np.eye(3) * 4.0**k for k in range(3)]), "theta": np.full((3, 4), 0.25)}
-    w, fill = impute._responsibilities(r, c, m)
-    assert np.allclose(w.sum(1), 1) and np.isfinite(fill).all() and np.allclose(impute._sums(r, c, m).reshape(3, -1)[:, 0].sum(), 500)
+    cov = np.array([[2.0, 1.5, 0.0], [1.5, 3.0, 0.5], [0.0, 0.5, 1.0]])
+    m = {"pi": np.array([1.0]), "mu": np.array([[1.0, -1.0, 0.5]]), "sigma": cov[None], "theta": np.full((1, 4), 0.25)}
+    whole = rng.multivariate_normal(m["mu"][0], cov, 200_000)
+    holed = whole.copy()
+    holed[:100_000, 1] = np.nan
+    holed[:50_000, 2] = np.nan
+    n, mean, second = (lambda s: (s[0], s[1:4], s[4:13].reshape(3, 3)))(impute._sums(holed, np.full(len(holed), -1), m)[:-1].reshape(1, -1)[0])
+    assert n == len(whole) and np.allclose(mean / n, whole.mean(0), atol=0.02) and np.allclose(second / n, whole.T @ whole / n, atol=0.05)
+
+
+def test_likelihood_rises_until_it_stands(spark):
+    rng = np.random.default_rng(1)
+    small = rng.random(1500) < 0.7
+    r = rng.multivariate_normal([0, 0, 0], [[1, 0.8, 0], [0.8, 1, 0], [0, 0, 4]], 1500) * np.where(small, 0.02, 1.5)[:, None]
+    c = np.where(small, 0, 3)
+    r[rng.random(r.shape) < 0.2] = np.nan
+    c[rng.random(len(c)) < 0.2] = -1
+    rows = [(*[None if v != v else float(v) for v in x], int(k)) for x, k in zip(r, c)]
+    m, seen = impute.fit_mixture(spark.createDataFrame(rows, "re double, rn double, ru double, cat int"), gain=1e-5)
+    assert len(seen) < impute.MOST_PASSES and all(b >= a - 1e-6 * abs(a) for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0]
+    top = np.argmax(m["pi"])
+    assert m["theta"][top, 0] > 0.9 and m["sigma"][top, 0, 0] < 0.01  # the tight residuals are the best fix type's
+    empty = impute.fit_mixture(spark.createDataFrame([], "re double, rn double, ru double, cat int"))
+    assert empty[1] == [] and np.isfinite(empty[0]["sigma"]).all()
+
+
+def test_mixture_beats_the_map_alone_on_held_out_values(spark):
+    """Errors of east and north go together, and fix types differ in size: what is there tells what is not."""
+    rng = np.random.default_rng(2)
+    rows, held = [], {}
+    for m in range(40):
+        for k, (_, frame, x, y, z, (lat, lon, alt), _) in enumerate(track(f"m{m}", 30, 100 + m)):
+            bad = rng.random() < 0.4
+            e = rng.normal() * (4.0 if bad else 0.05)
+            lat, lon, fix = lat + (e + rng.normal() * 0.02) / 111_195, lon + e / 111_195 / np.cos(np.radians(lat)), "single" if bad else "rtk_fixed"
+            if k % 6 == 1:
+                held[(f"m{m}", frame)] = (lat, fix)
+                rows.append((f"m{m}", frame, x, y, z, (None, float(lon), alt), None))
+            else:
+                rows.append((f"m{m}", frame, x, y, z, (float(lat), float(lon), alt), fix))
+    df = spark.createDataFrame(rows, CAM)
+    err, right = {}, {}
+    for mixture in (False, True):
+        out = {(r["map_id"], r["frame"]): r for r in impute.fill_keyframes(df, mixture).collect()}
+        err[mixture] = float(np.mean([(out[k]["lat"] - lat) ** 2 for k, (lat, _) in held.items()])) ** 0.5
+        right[mixture] = float(np.mean([out[k]["fix"] == fix for k, (_, fix) in held.items()]))
+    assert err[True] < 0.6 * err[False] and right[True] > right[False] + 0.1
+
+
+def test_fill_of_a_hot_map(spark, monkeypatch):
+    """The rows of a hot map are spread; nothing else changes."""
+    from terrafold.operators import skew
+
+    rows = spark.createDataFrame([r for k in range(3) for r in track(f"m{k}", 60 if k else 400, k)], CAM)
+    rows = rows.withColumn("gps", F.when(F.col("frame") % 7 != 3, F.col("gps")))
+    want = sorted(tuple(r) for r in impute.fill_keyframes(rows).select("map_id", "frame", F.round("lat", 9), "lat_filled", "fix").collect())
+    inner = skew.GroupSpread.__init__
+    monkeypatch.setattr(skew.GroupSpread, "__init__", lambda self, rows, key, by, n=50: inner(self, rows, key, by, 50))
+    assert skew.GroupSpread(rows, "map_id", "frame").hot
+    assert sorted(tuple(r) for r in impute.fill_keyframes(rows).select("map_id", "frame", F.round("lat", 9), "lat_filled", "fix").collect()) == want
 
 
 FRAMES = "stream long, frame_id long, ts timestamp_ntz, displacement double, n_features int, latitude double, longitude double, altitude double, arrived timestamp_ntz"
