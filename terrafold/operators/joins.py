@@ -9,7 +9,8 @@ from terrafold.operators.points import numbered
 from terrafold.operators.skew import salted_join
 from terrafold.session import cut
 
-ROUNDS = 64
+#: Doublings of the search radius, enough for any spread of doubles in use; what is left after them is an error.
+ROUNDS, CELL_ROWS = 128, 256
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], how: str = "inner") -> DataFrame:
@@ -23,7 +24,8 @@ def nearest(src: DataFrame, dst: DataFrame, start: float | None = None) -> DataF
     """For each src row (id, x, y, z) the closest dst row: id, dst_id, dist; the lowest dst id wins ties.
 
     Exact: dst is hashed to cells as wide as the search radius and looked up with its 26 neighbours; whoever has no
-    neighbour within the radius is tried again with a doubled one. The radius starts near the mean spacing of dst. Rows with a
+    neighbour within the radius is tried again with a doubled one. Equal dst positions count once. The radius starts near the
+    mean spacing of dst, or smaller where that would put more than CELL_ROWS of them in a cell. Rows with a
     null or non-finite coordinate take no part; an empty dst gives no rows.
     """
     inf = float("inf")
@@ -36,7 +38,13 @@ def nearest(src: DataFrame, dst: DataFrame, start: float | None = None) -> DataF
     if not span["n"]:
         return a.select("id", F.lit(None).cast(dict(dst.dtypes)["id"]).alias("dst_id"), F.lit(None).cast("double").alias("dist")).where(F.lit(False))
     longest = max(span["x"], span["y"], span["z"])
+    b = cut(b.groupBy(*[(F.col(f"_{c}") + 0.0).alias(f"_{c}") for c in "xyz"]).agg(F.min("dst_id").alias("dst_id")))
     radius = start or max(longest / max(1.0, span["n"] ** (1 / 3)), 1e-9)
+    while start is None and radius > longest * 1e-12:
+        most = b.groupBy(*[F.floor(F.col(f"_{c}") / radius) for c in "xyz"]).count().agg(F.max("count")).first()[0]
+        if most <= CELL_ROWS:
+            break
+        radius /= 4
     out = None
     for _ in range(ROUNDS):
         home = b
@@ -52,6 +60,8 @@ def nearest(src: DataFrame, dst: DataFrame, start: float | None = None) -> DataF
         if a.isEmpty():
             break
         radius *= 2
+    else:
+        raise ArithmeticError(f"no neighbour within {radius} for some rows")
     return out
 
 

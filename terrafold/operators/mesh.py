@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.quantiles import percentiles
+
 # Fixed value: a triangle's longest edge must be below so many medians.
 EDGE_FACTOR = 5.0
 
@@ -28,7 +30,7 @@ def triangles(grid: DataFrame, keys: list[str], kept: str | None = "kept") -> Da
 
 def drop_long(faces: DataFrame, keys: list[str], factor: float = EDGE_FACTOR) -> DataFrame:
     """Faces whose longest edge is below `factor` medians of their group's longest edges."""
-    m = faces.groupBy(*keys).agg(F.percentile("longest", 0.5).alias("_m"))
+    m = percentiles(faces, keys, {"_m": ("longest", 0.5)})
     return faces.join(m, keys).where(F.col("longest") < factor * F.col("_m")).drop("_m")
 
 

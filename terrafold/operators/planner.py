@@ -80,7 +80,12 @@ def look_at(dx, dy, dz):
 
 
 def waypoints(views: DataFrame, origin: DataFrame, group: str) -> DataFrame:
-    """Adds latitude, longitude and altitude of each viewpoint; origin has the group, lat0, lon0, alt0."""
+    """Adds latitude, longitude and altitude of each viewpoint (lat, lon, alt) and of the cell's centre it looks at (target_lat, target_lon, target_alt).
+
+    origin has the group, lat0, lon0, alt0; groups without an origin drop out.
+    """
     v = views.join(origin, group)
-    lat, lon, alt = geo.enu_to_geodetic(F.col("px"), F.col("py"), F.col("pz"), F.col("lat0"), F.col("lon0"), F.col("alt0"))
-    return v.withColumns({"lat": lat, "lon": lon, "alt": alt}).drop("lat0", "lon0", "alt0")
+    for prefix, at in (("", "p"), ("target_", "m")):
+        names = [f"{prefix}{c}" for c in ("lat", "lon", "alt")]
+        v = v.withColumns(dict(zip(names, geo.enu_to_geodetic(*[F.col(f"{at}{c}") for c in "xyz"], F.col("lat0"), F.col("lon0"), F.col("alt0")))))
+    return v.drop("lat0", "lon0", "alt0")

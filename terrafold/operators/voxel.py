@@ -35,7 +35,8 @@ def voxel_merge(points: DataFrame, size: float = VOXEL, keys: tuple[str, ...] =
     w = F.sum("conf")
     by = F.when(w > 0, w).otherwise(1.0)
     mean = [(F.sum(F.col("conf") * F.col(c)) / by).alias(c) for c in ("x", "y", "z")]
-    colour = [F.least(F.greatest(F.sum(F.col("conf") * F.col(c)) / by, F.lit(0.0)), F.lit(255.0)).cast("int").alias(c) for c in ("r", "g", "b")]
+    # A hair more before the cut to whole numbers, so that equal colours stay what they are in whatever order they are summed.
+    colour = [F.least(F.greatest(F.sum(F.col("conf") * F.col(c)) / by + 1e-9, F.lit(0.0)), F.lit(255.0)).cast("int").alias(c) for c in ("r", "g", "b")]
     best = F.max_by("source", F.struct("conf", "ord", "source")).alias("source")
     return points.where(ok).groupBy(*keys, *voxel_key(size)).agg(*mean, *colour, F.greatest(F.lit(0.0), F.max("conf")).alias("conf"), best, F.count(F.lit(1)).alias("n"))
 

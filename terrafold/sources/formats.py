@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.operators.quantiles import percentiles
+
 GPS = "latitude double, longitude double, altitude double"
 TRANSFORM = "scale double, rotation array<array<double>>, translation array<double>, origin struct<latitude: double, longitude: double, altitude: double>"
 # The wire's layouts. A frame is a big-endian length, the image, then three big-endian doubles; a reply is three native doubles, a big-endian length and the payload.
@@ -52,21 +54,44 @@ def read_transform(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transform_json(georefs: DataFrame) -> DataFrame:
-    origin = F.struct(F.col("lat0").alias("latitude"), F.col("lon0").alias("longitude"), F.col("alt0").alias("altitude"))
+    """map_id and the georeference as JSON; a missing altitude of the origin is 0."""
+    origin = F.struct(F.col("lat0").alias("latitude"), F.col("lon0").alias("longitude"), F.coalesce("alt0", F.lit(0.0)).alias("altitude"))
     return georefs.select("map_id", F.to_json(F.struct(F.col("s").alias("scale"), F.col("r").alias("rotation"), F.col("t").alias("translation"), origin.alias("origin"))).alias("json"))
 
 
+def parse_transform(texts: DataFrame) -> DataFrame:
+    """Georeferences of such texts (map_id, json): map_id, s, r, t, lat0, lon0, alt0."""
+    j = texts.select("map_id", F.from_json("json", TRANSFORM).alias("j"))
+    return j.select("map_id", F.col("j.scale").alias("s"), F.col("j.rotation").alias("r"), F.col("j.translation").alias("t"), F.col("j.origin.latitude").alias("lat0"), F.col("j.origin.longitude").alias("lon0"), F.col("j.origin.altitude").alias("alt0"))
+
+
 def coordinates(lon: Column, lat: Column, alt: Column) -> Column:
     """lon,lat,alt with 9, 9 and 3 decimals."""
     return F.format_string("%.9f,%.9f,%.3f", lon, lat, F.coalesce(alt, F.lit(0.0)))
 
 
+def _kml(name: str, body: Column, styles: str = "") -> Column:
+    return F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n  <Document>\n    <name>{name}</name>\n{styles}'), body, F.lit("\n  </Document>\n</kml>\n"))
+
+
+def _point(at: Column) -> Column:
+    """Heights count from the ellipsoid, so viewers do not clamp points to the ground."""
+    return F.concat(F.lit("<Point><altitudeMode>absolute</altitudeMode><coordinates>"), at, F.lit("</coordinates></Point>"))
+
+
+def _lines(df: DataFrame, group: str, order: str, line: Column, sep: str, name: str) -> DataFrame:
+    """The lines of each group in order, joined: a map's cameras, or the tens of waypoints of a plan."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("m"))))
+    return df.groupBy(group).agg(F.array_join(F.transform(items, lambda s: s["m"]), sep).alias(name))
+
+
 def camera_kml(cameras: DataFrame, group: str, order: str) -> DataFrame:
-    """One KML text a group with a placemark for each position (lat, lon, alt), in order."""
-    mark = F.concat(F.lit("<Placemark><name>"), F.col(order).cast("string"), F.lit("</name><Point><coordinates>"), coordinates(F.col("lon"), F.col("lat"), F.col("alt")), F.lit("</coordinates></Point></Placemark>"))
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), mark.alias("m"))))
-    body = F.array_join(F.transform(items, lambda s: s["m"]), "\n")
-    return cameras.groupBy(group).agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>\n'), body, F.lit("\n</Document></kml>")).alias("kml"))
+    """One KML text a group with a placemark frame_000, frame_001, ... for each position (lat, lon, alt), in order. Groups without positions have no row."""
+    from pyspark.sql.window import Window
+
+    c = cameras.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    mark = F.concat(F.format_string("    <Placemark><name>frame_%03d</name>", F.col("_i")), _point(coordinates(F.col("lon"), F.col("lat"), F.col("alt"))), F.lit("</Placemark>"))
+    return _lines(c, group, "_i", mark, "\n", "_marks").select(group, _kml("camera_poses", F.col("_marks")).alias("kml"))
 
 
 def ring_order(points: DataFrame, group: str, key: str) -> DataFrame:
@@ -82,15 +107,16 @@ def ring_order(points: DataFrame, group: str, key: str) -> DataFrame:
 
 
 def plan_kml(waypoints: DataFrame, group: str, order: str) -> DataFrame:
-    """The plan's KML: an area polygon from three waypoints on, then a pin v0, v1, ... for each. Groups without waypoints have no row."""
-    pin = F.concat(F.lit("<Placemark><name>v"), F.col("pos").cast("string"), F.lit("</name><Point><coordinates>"), coordinates(F.col("lon"), F.col("lat"), F.col("alt")), F.lit("</coordinates></Point></Placemark>"))
+    """The plan's KML: from three waypoints on their area, the ring at the waypoints' own heights, then a pin v0, v1, ... for each. Groups without waypoints have no row."""
     from pyspark.sql.window import Window
 
-    p = waypoints.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
-    pins = p.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", pin.alias("m")))), lambda s: s["m"]), "\n").alias("pins"), F.count(F.lit(1)).alias("_n"))
-    ring = ring_order(waypoints, group, order).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", coordinates(F.col("lon"), F.col("lat"), F.col("alt")).alias("m")))), lambda s: s["m"]), " ").alias("ring"))
-    area = F.when(F.col("_n") >= 3, F.concat(F.lit("<Placemark><name>area</name><Polygon><outerBoundaryIs><LinearRing><coordinates>"), F.col("ring"), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>\n"))).otherwise("")
-    return pins.join(ring, group).select(group, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>\n'), area, F.col("pins"), F.lit("\n</Document></kml>")).alias("kml"))
+    at = coordinates(F.col("lon"), F.col("lat"), F.col("alt"))
+    p = waypoints.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    pin = F.concat(F.format_string("    <Placemark><name>v%d</name>", F.col("_i")), _point(at), F.lit("</Placemark>"))
+    pins = _lines(p, group, "_i", pin, "\n", "_pins").join(p.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    ring = _lines(ring_order(waypoints, group, order), group, "pos", at, " ", "_ring")
+    area = F.concat(F.lit("    <Placemark><name>nfn_flight_area</name><Polygon><altitudeMode>absolute</altitudeMode><outerBoundaryIs><LinearRing><coordinates>"), F.col("_ring"), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>\n"))
+    return pins.join(ring, group).select(group, _kml("next_flight", F.concat(F.when(F.col("_n") >= 3, area).otherwise(""), F.col("_pins"))).alias("kml"))
 
 
 def parse_plan_kml(df: DataFrame, group: str) -> DataFrame:
@@ -100,21 +126,41 @@ def parse_plan_kml(df: DataFrame, group: str) -> DataFrame:
     return df.select(group, F.posexplode(parts).alias("pos", "p")).select(group, F.col("pos").cast("long").alias("pos"), *[F.col(f"p.{n}").cast("double").alias(n) for n in ("lat", "lon", "alt")])
 
 
+def _geojson(lon: Column, lat: Column, alt: Column, layer: str, model: str, description: str, more: list[Column]) -> Column:
+    """A FeatureCollection of one point; fields without a value stay, as null."""
+    geometry = F.struct(F.lit("Point").alias("type"), F.array(lon.cast("double"), lat.cast("double"), alt.cast("double")).alias("coordinates"))
+    text = {"layer": layer, "model": model, "description": description, "altitude_mode": "absolute"}
+    props = F.struct(*[F.lit(v).alias(k) for k, v in text.items()], *more)
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))
+    return F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")), {"ignoreNullFields": "false"})
+
+
 def map_geojson(maps: DataFrame) -> DataFrame:
-    """A Feature for each map (map_id, lat0, lon0, alt0, s, mean_conf, median_conf)."""
-    geometry = F.struct(F.lit("Point").alias("type"), F.array("lon0", "lat0", F.coalesce("alt0", F.lit(0.0))).alias("coordinates"))
-    props = F.struct("map_id", F.col("s").alias("scale"), "mean_conf", "median_conf")
-    return maps.select("map_id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))).alias("geojson"))
-
-
-def site_geojson(site: DataFrame, site_maps: DataFrame, origin: tuple[float, float, float]) -> DataFrame:
-    """One Feature of the site: origin, counts, mean and median conf, map ids in order. site_maps (source, map_id) is a catalogue, one short row a map."""
-    s = site.agg(F.count(F.lit(1)).alias("num_points"), F.avg("conf").alias("mean_conf"), F.percentile("conf", 0.5).alias("median_conf"))
-    ids = site_maps.agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "map_id"))), lambda x: x["map_id"]).alias("map_ids"))
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(*[F.lit(float(v)) for v in (origin[1], origin[0], origin[2])]).alias("coordinates"))
-    both = s.withColumn("_k", F.lit(1)).join(ids.withColumn("_k", F.lit(1)), "_k")
-    props = F.struct("num_points", F.size("map_ids").alias("num_maps"), "mean_conf", "median_conf", "map_ids")
-    return both.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))).alias("geojson"))
+    """Where each map's (0, 0, 0) lies on Earth: map_id and geojson. maps: map_id, lat0, lon0, alt0, s, mean_confidence, median_confidence; a missing altitude is 0."""
+    more = [F.col("s").alias("scale"), F.col("mean_confidence"), F.col("median_confidence")]
+    return maps.select("map_id", _geojson(F.col("lon0"), F.col("lat0"), F.coalesce("alt0", F.lit(0.0)), "scene_origin", "scene_geo.glb", "model local (0,0,0); the first keyframe's GPS fix", more).alias("geojson"))
+
+
+def site_geojson(site: DataFrame, site_maps: DataFrame, origin: tuple[float, float, float | None]) -> DataFrame:
+    """Where the site's (0, 0, 0) lies on Earth, with its counts, mean and median confidence and map ids in order. site_maps (source, map_id) is a catalogue, one short row a map."""
+    one = site.select("conf", F.lit(1).alias("_k"))
+    s = one.groupBy("_k").agg(F.count(F.lit(1)).alias("num_points"), F.avg("conf").alias("mean_confidence")).join(percentiles(one, ["_k"], {"median_confidence": ("conf", 0.5)}), "_k")
+    ids = site_maps.agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "map_id"))), lambda x: x["map_id"]).alias("map_ids")).withColumn("_k", F.lit(1))
+    more = [F.size("map_ids").alias("num_maps"), F.col("num_points"), F.col("mean_confidence"), F.col("median_confidence"), F.col("map_ids")]
+    lat, lon, alt = (F.lit(None if v is None else float(v)) for v in origin)
+    return s.join(ids, "_k").select(_geojson(lon, lat, F.coalesce(alt, F.lit(0.0)), "site_origin", "site.glb", "model local (0,0,0); the first merged map's origin", more).alias("geojson"))
+
+
+GEOJSON = """struct<type: string, features: array<struct<type: string, geometry: struct<type: string, coordinates: array<double>>, properties: struct<layer: string, model: string, description: string,
+altitude_mode: string, scale: double, num_maps: long, num_points: long, mean_confidence: double, median_confidence: double, map_ids: array<string>>>>>"""
+
+
+def parse_geojson(texts: DataFrame, column: str = "geojson") -> DataFrame:
+    """The first feature's fields of such texts beside the other columns: layer, model, altitude_mode, lon, lat, alt, scale, num_maps, num_points, mean_confidence, median_confidence, map_ids; null where a text has none."""
+    f = F.from_json(F.col(column), GEOJSON)["features"][0]
+    at, p = f["geometry"]["coordinates"], f["properties"]
+    names = ("layer", "model", "altitude_mode", "scale", "num_maps", "num_points", "mean_confidence", "median_confidence", "map_ids")
+    return texts.select(*[c for c in texts.columns if c != column], *[at[k].alias(n) for k, n in enumerate(("lon", "lat", "alt"))], *[p[n].alias(n) for n in names])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Keyframe selection and count-based batches, over a table and over a stream, with the same step function.
 
-A frame is compared with the last anchor: the stream's first frame anchors and is kept; later frames are kept, and
-anchor, if they moved by more than the threshold (strictly), or if too few features can be tracked. A frame whose position value is null
-can't be tracked: it is rejected, but the anchor is lost, so the next frame that can anchors anew. Kept frames close a batch every
+A frame is compared with the last anchor. Without an anchor a frame anchors, and is kept, if it shows LEAST_FEATURES
+features; else it is rejected and there still is none. With one, a frame that moved by more than the threshold (strictly),
+or in which fewer than LEAST_FEATURES of the anchor's features are found again, becomes the new anchor, under the same
+condition: with too few features of its own it is rejected and the anchor is gone. A frame without a position value could not be
+compared: it is rejected and nothing changes. A null feature count is no reason to reject. Kept frames close a batch every
 `batch_size`. Control rows (control = flush, clear, on, off) are part of the stream, so a replay gives the same result:
 flush closes a partial batch, clear discards it, off keeps every frame untouched by the tracker, and on after off anchors anew.
 The state is keyed by stream; arrival order is given by `seq`.
@@ -24,7 +26,8 @@ from terrafold.session import ensure_checkpoint_dir
 # Displacement threshold in px, features below which tracking is lost, keyframes of a batch.
 THRESHOLD, LEAST_FEATURES, BATCH = 40.0, 10, 25
 
-OUT = "stream long, seq long, kept boolean, batch long, position int, flushed boolean"
+#: A row out for each row in; open: frames in the unfinished batch after it.
+OUT = "stream long, seq long, kept boolean, batch long, position int, flushed boolean, open int, control boolean"
 STATE = "anchor double, anchored boolean, active boolean, batch long, open int, received long, kept long"
 
 
@@ -47,16 +50,19 @@ class Tracker:
             self.kept += 1
             return True
         if value is None or value != value:
-            self.anchored = False
             return False
-        keep = not self.anchored or (features is not None and features < LEAST_FEATURES) or abs(value - self.anchor) > threshold
-        if keep:
-            self.anchor, self.anchored = float(value), True
-            self.kept += 1
-        return keep
+        few = features is not None and features == features and features < LEAST_FEATURES
+        if self.anchored and not few and not abs(value - self.anchor) > threshold:
+            return False
+        self.anchored = not few
+        if few:
+            return False
+        self.anchor = float(value)
+        self.kept += 1
+        return True
 
     def row(self, stream, seq, value, features, control, threshold: float, size: int):
-        """The output row of one input row: (stream, seq, kept, batch, position, flushed); control rows are never kept."""
+        """The output row of one input row, as in OUT; control rows are never kept."""
         if isinstance(control, str) and control:
             flushed, at = False, self.batch
             if control == "flush" and self.open:
@@ -69,15 +75,15 @@ class Tracker:
                 self.active = True
             elif control == "off":
                 self.active = False
-            return stream, seq, False, at if flushed else None, None, flushed
+            return stream, seq, False, at if flushed else None, None, flushed, self.open, True
         if not self.step(value, features, threshold):
-            return stream, seq, False, None, None, False
+            return stream, seq, False, None, None, False, self.open, False
         at, pos = self.batch, self.open
         self.open += 1
         full = self.open >= size
         if full:
             self.batch, self.open = self.batch + 1, 0
-        return stream, seq, True, at, pos, full
+        return stream, seq, True, at, pos, full, self.open, False
 
 
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
@@ -85,7 +91,20 @@ _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 def _frame(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_COLUMNS)
-    return out.astype({"kept": bool, "flushed": bool}).assign(batch=out.batch.astype("Int64"), position=out.position.astype("Int32"))
+    return out.astype({"kept": bool, "flushed": bool, "control": bool, "open": "int32"}).assign(batch=out.batch.astype("Int64"), position=out.position.astype("Int32"))
+
+
+def frame_steps(frames: DataFrame) -> DataFrame:
+    """Streamed frames (stream, frame_id, displacement in px since the frame before, n_features) as rows to select from: stream, seq, value, n_features, control.
+
+    value is the motion summed up so far, in thousandths of a px, so that sums are exact; null where the frame's displacement is null or not
+    finite. Frames sent again count once (the least values where they differ); frames come in the order of frame_id, whenever they arrived.
+    """
+    d = F.col("displacement")
+    milli = F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")), F.round(d * 1000).cast("long"))
+    f = frames.where(F.col("stream").isNotNull() & F.col("frame_id").isNotNull()).groupBy("stream", F.col("frame_id").alias("seq")).agg(F.min(milli).alias("_d"), F.min("n_features").alias("n_features"))
+    so_far = F.sum("_d").over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return f.select("stream", "seq", F.when(F.col("_d").isNotNull(), so_far).cast("double").alias("value"), "n_features", F.lit(None).cast("string").alias("control"))
 
 
 def select_keyframes(frames: DataFrame, threshold: float = THRESHOLD, batch_size: int = BATCH) -> DataFrame:
@@ -130,8 +149,8 @@ def tumbling_batches(kept: DataFrame, size: int = BATCH) -> DataFrame:
 
 
 def batch_status(selected: DataFrame, size: int = BATCH) -> DataFrame:
-    """Per stream: frames received and kept, full batches, frames of the open batch, capacity."""
-    s = selected.groupBy("stream").agg(F.count_if(F.col("kept") | (F.col("batch").isNull() & ~F.col("flushed"))).alias("received"), F.count_if("kept").alias("kept"), F.count_if("flushed").alias("closed"))
+    """Per stream: frames received and kept, batches closed, frames collected in the open batch, capacity, and the latest closed batch (null before the first)."""
+    s = selected.groupBy("stream").agg(F.count_if(~F.col("control")).alias("received"), F.count_if("kept").alias("kept"), F.count_if("flushed").alias("closed"), F.max_by("open", "seq").alias("collected"), F.max(F.when(F.col("flushed"), F.col("batch"))).alias("latest"))
     return s.withColumn("capacity", F.lit(size))
 
 
@@ -144,7 +163,17 @@ def closed_batches(selected: DataFrame) -> DataFrame:
 def replies(selected: DataFrame) -> DataFrame:
     """The reply to each frame: 1 kept, 0 skipped, with running counts of kept and received frames."""
     w = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return selected.select("stream", "seq", F.when(F.col("kept"), 1.0).otherwise(0.0).alias("status"), F.sum(F.col("kept").cast("int")).over(w).alias("kept_so_far"), F.count(F.lit(1)).over(w).alias("received"))
+    return selected.where(~F.col("control")).select("stream", "seq", F.when(F.col("kept"), 1.0).otherwise(0.0).alias("status"), F.sum(F.col("kept").cast("int")).over(w).alias("kept_so_far"), F.count(F.lit(1)).over(w).alias("received"))
+
+
+def batch_index(kept: DataFrame, moved: str | None = None) -> DataFrame:
+    """File names of a batch's frames (stream, batch, position): name, and place, the frame's place in the batch's list.
+
+    moved names a boolean column: a frame whose file could not be moved keeps its number, so names skip it, but the list closes up.
+    """
+    x = kept if moved is None else kept.where(F.coalesce(F.col(moved), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("stream", "batch").orderBy("position")) - 1
+    return x.withColumn("place", place.cast("long")).withColumn("name", F.format_string("frame_%06d.jpg", F.col("position").cast("long")))
 
 
 def start(selected: DataFrame, handle, checkpoint: str, **trigger):

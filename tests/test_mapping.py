@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import align, geo, joins, mesh, planner, points, segments, skew, voxel
+from terrafold.operators import align, geo, joins, mesh, planner, points, quantiles, segments, skew, voxel
 
 SITE = "ord long, x double, y double, z double, r int, g int, b int, conf double, source long"
 
@@ -84,6 +84,64 @@ def test_normals_of_a_tilted_plane(spark):
     assert np.allclose([n["nx"], n["ny"], n["nz"]], want, atol=1e-6)
 
 
+def test_frustums_and_alignment_by_hand(spark):
+    """Extrinsic: a quarter turn about z and a shift; the numbers are worked out on paper."""
+    r, t = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [1.0, 2.0, 3.0]
+    cam = spark.createDataFrame([(r, t, 2.0)], "r array<array<double>>, t array<double>, size double").withColumns(points.camera_pose(F.col("r"), F.col("t")))
+    v = {x["vertex"]: (x["vx"], x["vy"], x["vz"]) for x in points.frustums(cam, "size").collect()}
+    assert v[0] == (-2.0, 1.0, -3.0)  # -R^T t
+    assert v[1] == pytest.approx((-2.0 + 0.75, 1.0 - 1.0, -3.0 + 2.0)) and v[3] == pytest.approx((-2.0 - 0.75, 1.0 + 1.0, -1.0))
+    f = points.frustum_faces(spark.createDataFrame([(1, 3)], "i long, n long"), "i", "n").orderBy("face").collect()
+    assert [(x["a"], x["b"], x["c"]) for x in f] == [(5, 6, 7), (5, 7, 8), (5, 8, 9), (5, 9, 6)] and (f[0]["red"], f[0]["green"], f[0]["blue"]) == (0, 255, 0)
+    a = cam.select(*points.scene_alignment(F.lit(4.0), F.lit(5.0), F.lit(6.0), F.col("r"), F.col("t"))).first()
+    assert tuple(a) == (-7.0, 5.0, 3.0)  # d = (-4 - 1, -5 - 2, 6 - 3), then R^T d
+
+
+def test_report_and_stats_count_kept_rows_only(spark):
+    rows = [pt(k, k, 0, 0, k + 1, 0) for k in range(10)] + [pt(10, float("nan"), 0, 0, 50, 0), pt(11, 0, 0, 0, 0, 1), pt(12, 0, 0, 0, 3, None)]
+    r = {x["source"]: x for x in points.confidence_report(site(spark, rows), "source").collect()}
+    kept = [v for v in range(1, 11) if v >= np.percentile([*range(1, 11), 50], 10)]
+    assert (r[0]["total"], r[0]["high"]) == (11, len(kept)) and r[0]["mean_conf"] == pytest.approx(np.mean(kept)) and r[0]["std_conf"] == pytest.approx(np.std(kept))
+    assert (r[1]["total"], r[1]["high"], r[1]["mean_conf"], r[1]["coverage"]) == (1, 0, 0.0, 0.0) and r[None]["high"] == 1
+    s = {x["source"]: x for x in points.confidence_stats(site(spark, rows), "source").collect()}
+    assert s[0]["median_confidence"] == np.median(kept) and s[1]["mean_confidence"] is None and s[1]["num_points"] == 0
+    whole = points.confidence_stats(site(spark, rows), "source", None).where("source = 1").first()
+    assert whole["mean_confidence"] == 0.0
+    assert points.confidence_report(site(spark, []), "source").count() == 0 and points.confidence_stats(site(spark, []), "source").count() == 0
+
+
+def test_percentiles_of_hot_groups_equal_the_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v), float(w)) for g, n in (("hot", 3000), ("few", 3), (None, 400)) for v, w in zip(rng.integers(0, 40, n) / 4, rng.normal(size=n))]
+    rows += [("hot", None, 1.0), ("void", None, None), ("hot", float("nan"), -0.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").withColumn("_p", F.lit(5))
+    wanted = {"a": ("v", 0.1), "b": ("v", 0.5), "c": ("w", 0.05), "d": ("w", 1.0)}
+    plain = {r["g"]: tuple(r) for r in quantiles.percentiles(df, ["g"], wanted).collect()}
+    monkeypatch.setattr(quantiles, "HOT_ROWS", 100)
+    got = {r["g"]: tuple(r) for r in quantiles.percentiles(df, ["g"], wanted).collect()}
+    assert set(got) == set(plain) == {"hot", "few", None, "void"}
+    for g, want in plain.items():
+        assert got[g][0] == want[0] and all((a is None and b is None) or a == pytest.approx(b, rel=1e-12) for a, b in zip(got[g][1:], want[1:]))
+
+
+def test_nearest_of_clustered_points(spark):
+    rng = np.random.default_rng(11)
+    b = np.concatenate([rng.normal(0, 1e-3, (900, 3)), np.full((50, 3), 0.5), [[1e6, 0, 0]]])
+    a = np.concatenate([rng.normal(0, 1e-3, (100, 3)), [[9e5, 1, 1]]])
+    mk = lambda m: spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(m)], "id long, x double, y double, z double")
+    got = {r["id"]: r["dst_id"] for r in joins.nearest(mk(a), mk(b)).collect()}
+    assert got == {k: int(((p - b) ** 2).sum(1).argmin()) for k, p in enumerate(a)}
+
+
+def test_segments_by_score_offsets_and_counts(spark):
+    i = spark.createDataFrame([(1, 0.5), (2, 0.51), (3, None), (4, float("nan"))], "k int, score double")
+    assert [r["k"] for r in segments.above_score(i).collect()] == [2]
+    counts = spark.createDataFrame([("a", 0, 2), ("b", 1, 0), ("c", 2, 70_000)], "query string, pos long, n long")
+    assert [(r["pos"], r["start"]) for r in segments.running_offsets(counts, "pos", "n").orderBy("pos").collect()] == [(0, 0), (1, 2), (2, 2)]
+    got = segments.split_points(spark.range(70_010).withColumnRenamed("id", "ord"), counts).groupBy("query").agg(F.count(F.lit(1)), F.min("ord"), F.max("ord")).collect()
+    assert {tuple(r) for r in got} == {("a", 2, 0, 1), ("c", 70_000, 2, 70_001)}
+
+
 def test_look_at_is_a_rotation(spark):
     df = spark.createDataFrame([(0.3, -0.4, -2.0), (0.0, 0.0, -1.0)], "x double, y double, z double")
     for r in df.select(planner.look_at(F.col("x"), F.col("y"), F.col("z")).alias("r"), "x", "y", "z").collect():
@@ -208,7 +266,7 @@ def test_salted_join_meets_each_pair_once(spark):
 
 def test_group_spread_splits_hot_groups(spark):
     rows = spark.createDataFrame([("a", k) for k in range(4000)] + [("b", 1)], "g string, k long")
-    sp = skew.GroupSpread(rows, "g", "k", rows_per_part=500, copies=8)
+    sp = skew.GroupSpread(rows, "g", "k", rows_per_part=500)
     placed = sp.place(rows)
     assert sp.hot and placed.where("g = 'a'").select("_salt").distinct().count() == 8
     j = sp.join(placed, rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))

@@ -6,12 +6,14 @@ import struct
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.database import Database
 from terrafold.functions import registry
 from terrafold.operators import voxel
 from terrafold.sources import formats
 from terrafold.streaming import keyframes as kf
+from terrafold.streaming import stats
 
 ROWS = "stream long, seq long, value double, n_features int, control string"
 
@@ -20,12 +22,47 @@ def run(spark, rows, **kw):
     return kf.select_keyframes(spark.createDataFrame(rows, ROWS), **kw).orderBy("stream", "seq").collect()
 
 
-def test_threshold_is_strict_and_features_reanchor(spark):
-    got = run(spark, [(1, 0, 0.0, 100, None), (1, 1, 40.0, 100, None), (1, 2, 40.1, 100, None), (1, 3, 50.0, 5, None), (1, 4, None, 100, None), (1, 5, 51.0, 100, None)])
-    assert [r["kept"] for r in got] == [True, False, True, True, False, True]
+def test_threshold_is_strict_and_few_features_lose_the_anchor(spark):
+    rows = [(1, 0, 0.0, 100), (1, 1, 40.0, 100), (1, 2, 40.1, 100), (1, 3, 50.0, 5), (1, 4, None, 100), (1, 5, 51.0, 100), (1, 6, None, 100), (1, 7, 91.0, None), (1, 8, 91.5, 10)]
+    got = run(spark, [(*r, None) for r in rows])
+    assert [r["kept"] for r in got] == [True, False, True, False, False, True, False, False, True]
+    # A stream that never shows enough features never anchors.
+    assert not any(r["kept"] for r in run(spark, [(1, k, 100.0 * k, 9, None) for k in range(4)]))
+    # Moving far enough with too few features: rejected, and the next frame that can anchors, however little it moved.
+    assert [r["kept"] for r in run(spark, [(1, 0, 0.0, 50, None), (1, 1, 90.0, 3, None), (1, 2, 1.0, 50, None), (1, 3, 2.0, 50, None)])] == [True, False, True, False]
     assert all(r["kept"] for r in run(spark, [(1, k, 0.0, 100, None) for k in range(5)], threshold=0))
 
 
+def test_frames_become_exact_steps(spark):
+    frames = "stream long, frame_id long, displacement double, n_features int, extra int"
+    rows = [(1, 2, 20.0, 50, 0), (1, 0, 12.3, 50, 0), (1, 1, None, 50, 0), (1, 2, 20.0, 50, 1), (1, 3, float("nan"), 50, 0), (1, 4, 0.1, None, 0), (None, 1, 1.0, 1, 0), (1, None, 1.0, 1, 0)]
+    got = kf.frame_steps(spark.createDataFrame(rows, frames)).orderBy("seq").collect()
+    assert [(r["seq"], r["value"]) for r in got] == [(0, 12300.0), (1, None), (2, 32300.0), (3, None), (4, 32400.0)]
+    # Exactly 40 px since the anchor is not more than 40.
+    rows = [(1, k, v, 50, 0) for k, v in enumerate((5.0, 13.4, 13.3, 13.3, 0.001))]
+    assert [r["kept"] for r in kf.select_keyframes(kf.frame_steps(spark.createDataFrame(rows, frames)), 40_000.0).orderBy("seq").collect()] == [True, False, False, False, True]
+
+
+def test_status_counts_the_open_batch(spark):
+    rows = [(1, k, 100.0 * k, 100, None) for k in range(7)] + [(2, 0, 0.0, 100, None), (2, 1, None, None, "clear"), (3, 0, None, 100, None)]
+    got = {r["stream"]: r for r in kf.batch_status(kf.select_keyframes(spark.createDataFrame(rows, ROWS), batch_size=3), 3).collect()}
+    assert (got[1]["received"], got[1]["kept"], got[1]["closed"], got[1]["collected"], got[1]["latest"]) == (7, 7, 2, 1, 1)
+    assert (got[2]["received"], got[2]["kept"], got[2]["collected"], got[2]["latest"]) == (1, 1, 0, None) and got[3]["kept"] == 0
+    moved = kf.batch_index(spark.createDataFrame([(1, 0, 0, True), (1, 0, 1, False), (1, 0, 2, True)], "stream long, batch long, position int, ok boolean"), "ok").orderBy("place").collect()
+    assert [(r["name"], r["place"]) for r in moved] == [("frame_000000.jpg", 0), ("frame_000002.jpg", 1)]
+
+
+def test_bounded_history_is_that_of_adding_one_by_one(spark):
+    held = []
+    for n in range(2600):
+        held.append(n)
+        if len(held) > stats.HISTORY:
+            held = held[-stats.KEEP :]
+        if n + 1 in (1, 999, 1000, 1001, 1500, 1501, 1502, 2600):
+            rows = spark.range(n + 1).select(F.lit(1).alias("g"), F.col("id").alias("o"))
+            assert sorted(r["o"] for r in stats.bounded_history(rows, "g", "o").collect()) == held
+
+
 def test_batches_flush_clear_and_toggle(spark):
     rows = [(1, k, 100.0 * k, 100, None) for k in range(26)] + [(1, 26, None, None, "flush"), (1, 27, None, None, "flush")]
     got = run(spark, rows)
@@ -88,6 +125,7 @@ def test_plan_kml(spark):
     w = spark.createDataFrame([("p", k, lat, lon, 10.0) for k, (lat, lon) in enumerate([(0.0, 0.0), (1.0, 1.0), (0.0, 1.0), (1.0, 0.0)])] + [("two", 0, 1.0, 1.0, None), ("two", 1, 2.0, 2.0, 3.0)], "g string, k int, lat double, lon double, alt double")
     kml = formats.plan_kml(w, "g", "k")
     texts = {r["g"]: r["kml"] for r in kml.collect()}
+    assert texts["p"].count("<altitudeMode>absolute</altitudeMode>") == 5 and "<name>nfn_flight_area</name>" in texts["p"] and "<name>v3</name>" in texts["p"]
     assert "Polygon" in texts["p"] and "Polygon" not in texts["two"] and "1.000000000,1.000000000,0.000" in texts["two"]
     assert formats.parse_plan_kml(kml, "g").where("g = 'p'").count() == 4
     ring = [(r["lat"], r["lon"]) for r in formats.ring_order(w.where("g = 'p'"), "g", "k").orderBy("pos").collect()]
@@ -155,12 +193,15 @@ def test_registry(spark):
 
 
 def test_geojson(spark):
-    m = spark.createDataFrame([("m", 45.0, 10.0, None, 2.0, 1.0, None)], "map_id string, lat0 double, lon0 double, alt0 double, s double, mean_conf double, median_conf double")
+    m = spark.createDataFrame([("m", 45.0, 10.0, None, 2.0, 1.0, None)], "map_id string, lat0 double, lon0 double, alt0 double, s double, mean_confidence double, median_confidence double")
     j = json.loads(formats.map_geojson(m).first()["geojson"])
-    assert j["geometry"]["coordinates"] == [10.0, 45.0, 0.0] and j["properties"]["scale"] == 2.0
-    s = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1, 1, 1, 4.0, 0)], voxel_schema())
-    j = json.loads(formats.site_geojson(s, spark.createDataFrame([(1, "b"), (0, "a")], "source long, map_id string"), (1.0, 2.0, 3.0)).first()["geojson"])
-    assert j["properties"]["map_ids"] == ["a", "b"] and j["properties"]["num_points"] == 1
+    f = j["features"][0]
+    assert j["type"] == "FeatureCollection" and f["geometry"] == {"type": "Point", "coordinates": [10.0, 45.0, 0.0]}
+    assert f["properties"] == {"layer": "scene_origin", "model": "scene_geo.glb", "description": "model local (0,0,0); the first keyframe's GPS fix", "altitude_mode": "absolute", "scale": 2.0, "mean_confidence": 1.0, "median_confidence": None}
+    s = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1, 1, 1, 4.0, 0), (1, 0.0, 0.0, 0.0, 1, 1, 1, 5.0, 0)], voxel_schema())
+    p = json.loads(formats.site_geojson(s, spark.createDataFrame([(1, "b"), (0, "a")], "source long, map_id string"), (1.0, 2.0, None)).first()["geojson"])["features"][0]
+    assert p["geometry"]["coordinates"] == [2.0, 1.0, 0.0] and p["properties"]["map_ids"] == ["a", "b"]
+    assert (p["properties"]["num_points"], p["properties"]["num_maps"], p["properties"]["median_confidence"], p["properties"]["model"]) == (2, 2, 4.5, "site.glb")
 
 
 def voxel_schema():
