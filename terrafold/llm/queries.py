@@ -62,7 +62,7 @@ def p7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share each source really gets."""
     sizes = cut(tokens.document_sizes(table(spark, sf_dir, "documents")))
-    return mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))[1].withColumn("actual_share", F.round("actual_share", 6))
+    return mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))[1].withColumns({"actual_share": F.round("actual_share", 6), "due_tokens": F.round("due_tokens", 3)})
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

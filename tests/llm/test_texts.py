@@ -88,6 +88,37 @@ def test_mix_keeps_shares_and_repeats(spark):
     assert abs(share - 0.5 / 0.9) < 0.02
 
 
+def shortfalls(uses, shares):
+    """Per source: tokens short of what is due, and its smallest document that could have been used once more."""
+    rows = uses.collect()
+    short = {}
+    for r in shares.collect():
+        if r["due_tokens"]:
+            left = [u["n_tokens"] for u in rows if u["source"] == r["source"] and u["times_used"] < r["max_repeats"]]
+            short[r["source"]] = (r["due_tokens"] - r["used_tokens"], min(left, default=float("inf")))
+    return short
+
+
+def test_mix_fills_what_a_straddling_document_leaves(spark):
+    """One huge document of each source would leave out all that follows it."""
+    rng = np.random.default_rng(5)
+    rows = [(k, "abc"[k % 3], int(rng.integers(3, 40))) for k in range(900)] + [(1000 + k, "abc"[k % 3], 4000 + k) for k in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 3)], T)
+    for seed in range(6):
+        uses, shares = mixing.mixed(d, t, seed=seed)
+        for short, least in shortfalls(uses, shares).values():
+            assert -1e-6 < short < least
+        assert uses.where("(source <> 'c' AND times_used > 1) OR times_used > 3").count() == 0 and uses.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_mix_shares_of_the_documents(spark, data):
+    size = tokens.document_sizes(spark.read.parquet(f"{data}/documents.parquet")).persist()
+    for budget in (None, 3000):
+        for short, least in shortfalls(*mixing.mixed(size, spark.read.parquet(f"{data}/mix_targets.parquet"), budget)).values():
+            assert -1e-6 < short < least
+
+
 def test_mix_budget_and_empty(spark):
     d = spark.createDataFrame([(k, "a" if k % 2 else "b", 10) for k in range(2000)], "doc_id long, source string, n_tokens long")
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], T)
