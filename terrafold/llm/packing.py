@@ -23,64 +23,99 @@ MAX_CONTAINERS = 1000
 def differencing(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Window of each item (0..m-1) and the load of each window, by m-way largest differencing.
 
-    A partial partition keeps its filled slots only, by descending surplus over its emptiest one; slots hold linked lists of items.
+    The two partial partitions with the largest differences are merged, the largest windows of one on the smallest of the
+    other, until one is left. Single items come in descending order, which allows two shortcuts that change no merge: items that
+    meet only each other stand side by side, up to m of them at once; and a partition that meets one item after the
+    other takes each in its smallest window, from a heap of windows. What is left to do window by window are merges of whole
+    partitions, about n / m of them.
     """
     n = len(sizes)
     if m == 1 or n == 0:
         return np.zeros(n, np.int64), np.array([sizes.sum()] if m == 1 else [0] * m, np.int64)
     order = np.argsort(-sizes, kind="stable")
-    nxt, tail = np.full(n, -1), np.arange(n)
-    part = {int(i): (np.array([sizes[i]]), np.array([i])) for i in order}
-    heap = [(-int(sizes[i]), int(k), int(i)) for k, i in enumerate(order)]
-    heapq.heapify(heap)
-    tick = n
-    while len(heap) > 1:
-        _, _, p = heapq.heappop(heap)
-        _, _, q = heapq.heappop(heap)
-        (va, sa), (vb, sb) = part.pop(p), part.pop(q)
-        if len(va) < len(vb):
-            va, sa, vb, sb = vb, sb, va, sa
-        free = m - len(va)
-        if len(vb) <= free:
-            fresh_v, fresh_s = vb, sb
-        else:  # the largest of b take the free slots, the others meet a from its smallest slot upwards
-            over = len(vb) - free
-            fresh_v, fresh_s = vb[:free], sb[:free]
-            va, at = va.copy(), sa[len(sa) - over :][::-1]
-            va[len(va) - over :] += vb[free:][::-1]
-            # The smallest slot of a meets the largest remaining one of b, and so on upwards.
-            nxt[tail[at]] = sb[free:]
-            tail[at] = tail[sb[free:]]
-        v, s = np.concatenate([va, fresh_v]), np.concatenate([sa, fresh_s])
-        o = np.argsort(-v, kind="stable")
-        v, s = v[o], s[o]
-        if len(v) == m and v[-1]:
-            v = v - v[-1]
-        part[p] = (v, s)
-        heapq.heappush(heap, (-int(v[0] - (v[-1] if len(v) == m else 0)), tick, p))
+    s = sizes[order].astype(np.int64)
+    ints = s.tolist()
+    nxt, tail = [-1] * n, list(range(n))  # the items of a window, as a linked list from its first
+
+    def link(a: int, b: int) -> int:
+        """The list a with the list b behind it; -1 is an empty one."""
+        if a < 0 or b < 0:
+            return max(a, b)
+        nxt[tail[a]], tail[a] = b, tail[b]
+        return a
+
+    def difference(v: np.ndarray) -> int:
+        return int(v[0] - v[-1])
+
+    # Partitions: m loads over their smallest, descending, and the first item of each window; the heap has them by difference.
+    parts: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    at = tick = 0
+    while at < n or len(parts) > 1:
+        top = -parts[0][0] if parts else -1
+        if at < n and ints[at] >= top:  # singles meet: they fill windows of a new partition, as long as no other partition is due
+            k = min(n - at, m)
+            if parts:
+                k = max(1, min(k, int(np.searchsorted(-s[at : at + k], -top, side="right"))))
+            v, first = np.zeros(m, np.int64), np.full(m, -1)
+            v[:k], first[:k] = s[at : at + k], np.arange(at, at + k)
+            at += k
+            heapq.heappush(parts, (-difference(v), tick, v - v[-1], first))
+            tick += 1
+            continue
+        _, _, v, first = heapq.heappop(parts)
+        other = -parts[0][0] if parts else -1
+        if at < n and ints[at] >= other:  # a partition meets one single after the other
+            slots = list(zip(v[::-1].tolist(), range(m)))  # ascending: a heap already
+            heads, most = first[::-1].tolist(), int(v[0])
+            while at < n and ints[at] >= other and most - slots[0][0] >= ints[at]:
+                low, k = slots[0]
+                heads[k] = link(heads[k], at)
+                heapq.heapreplace(slots, (low + ints[at], k))
+                most = max(most, low + ints[at])
+                at += 1
+                if most - slots[0][0] < other:
+                    break
+            slots.sort(reverse=True)
+            v, first = np.array([x for x, _ in slots]), np.array([heads[k] for _, k in slots])
+        else:
+            _, _, w, second = heapq.heappop(parts)
+            v = v + w[::-1]
+            first = np.array([link(a, b) for a, b in zip(first.tolist(), second[::-1].tolist())])
+            o = np.argsort(-v, kind="stable")
+            v, first = v[o], first[o]
+        heapq.heappush(parts, (-difference(v), tick, v - v[-1], first))
         tick += 1
     window, load = np.zeros(n, np.int64), np.zeros(m, np.int64)
-    for w, s in enumerate(part[heap[0][2]][1]):
-        while s >= 0:
-            window[s] = w
-            load[w] += sizes[s]
-            s = nxt[s]
+    for w, item in enumerate(parts[0][3].tolist()):
+        while item >= 0:
+            window[order[item]] = w
+            load[w] += ints[item]
+            item = nxt[item]
     return window, load
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item so that no window exceeds the capacity; the number of windows starts at its lower bound."""
+    """Window of each item so that no window exceeds the capacity; the number of windows starts at its lower bound.
+
+    Items as large as the capacity have windows of their own and take no part.
+    """
     if not len(sizes):
         return np.zeros(0, np.int64)
     if sizes.max() > capacity:
         raise ValueError("an item exceeds the capacity")
-    m = max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()), 1)
+    full = sizes == capacity
+    out, rest = np.zeros(len(sizes), np.int64), sizes[~full]
+    out[full] = np.arange(full.sum())
+    if not len(rest):
+        return out
+    m = max(-(-int(rest.sum()) // capacity), int((2 * rest > capacity).sum()), 1)
     while True:
-        window, load = differencing(sizes, m)
+        window, load = differencing(rest, m)
         over = np.maximum(load - capacity, 0).sum()
         if not over:
-            return window
-        m = min(len(sizes), m + max(1, -(-int(over) // (2 * capacity))))
+            out[~full] = window + full.sum()
+            return out
+        m = min(len(rest), m + max(1, -(-int(over) // (2 * capacity))))
 
 
 def packed(sizes: DataFrame, containers: list[tuple[str, int]], windows: int = WINDOWS) -> DataFrame:

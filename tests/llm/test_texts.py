@@ -39,6 +39,33 @@ def test_differencing_balances():
     assert abs(load[0] - load[1]) <= 2
 
 
+def plain_differencing(sizes, m):
+    """Differencing one merge after the other, without shortcuts: the loads."""
+    import heapq
+
+    heap = [(-int(v), k, [int(v)] + [0] * (m - 1)) for k, v in enumerate(sorted(sizes, reverse=True))]
+    heapq.heapify(heap)
+    tick = len(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        v = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        v = [x - v[-1] for x in v]
+        heapq.heappush(heap, (v[-1] - v[0], tick, v))
+        tick += 1
+    return heap[0][2]
+
+
+def test_differencing_equals_the_plain_one():
+    """Distinct sizes of many magnitudes leave no ties to break: the loads must be the same, window by window."""
+    rng = np.random.default_rng(6)
+    for m in (2, 3, 5, 8, 30):
+        for n in (1, m - 1, m, m + 1, 4 * m, 200):
+            for s in (rng.choice(10**9, n, replace=False) + 1, (10 ** rng.uniform(0, 12, n)).astype(np.int64) * 1000 + np.arange(n) + 1):
+                w, load = packing.differencing(s, m)
+                assert (np.bincount(w, minlength=m) >= 0).all() and sorted((np.bincount(w, s, m)).astype(np.int64).tolist()) == sorted(load.tolist())
+                assert sorted((load - load.min()).tolist()) == sorted(plain_differencing(s, m))
+
+
 def test_pack_never_exceeds():
     rng = np.random.default_rng(1)
     for cap in (1, 10, 256):
