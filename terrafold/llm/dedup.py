@@ -1,13 +1,16 @@
 """Duplicates of new points against everything accepted before, through an incremental inverted index.
 
-A point's tokens are the cells (x, y, z, confidence) that its reach touches. Any accepted point that it repeats has its
-home cell among them, so the rare prefix that history must be indexed by is a single token, the home cell: the cells
-are several reaches wide, nearly all hold a point or none, and hot ones are merged by equal points, tried by representatives and split in the join. The index keeps these
-postings partitioned by token; a new batch probes its tokens, the confidence cuts candidates like a length filter, and
-the exact distance verifies them. Accepted points are appended as further postings; old ones are not written
-again, but a batch that touches every token bucket reads all of them.
-
-Within the batch rows are taken by ascending ord: a row is accepted exactly if no accepted row before it is within
+A point's tokens are the cells that its reach touches. Any accepted point that it repeats has its home cell among them, so
+the rare prefix that history must be indexed by is a single token, the home cell: cells are several reaches wide, and nearly
+all hold a point or none. A posting also carries its band of confidence, by which the join filters candidates before any
+distance is taken, as texts are filtered by length; distance and confidence then verify.
+
+Tokens are numbered along a Z-order curve, and the index keeps its postings sorted by token, in files whose row groups state the
+range they hold. A batch reads the row groups of the ranges that its own tokens span, however long the history is, and
+appends what it accepts as a generation of its own; generations of one level are merged when there are FAN of them, so a
+posting is written again a logarithmic number of times. A batch offered again replaces its generation and gives the same answer.
+
+Within a batch rows are taken by ascending ord: a row is accepted exactly if no accepted row before it is within
 reach. This takes rounds: the first open row of each clique cell (any two
 points of such a cell repeat each other) meets the open rows around it once; it is accepted if none before it is in
 reach, and rows after an accepted one in its reach are repeats of it. A round's pairs number open rows times
@@ -19,16 +22,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrafold.operators.skew import bucket_of, hot_buckets, salted_join, spread_join
-from terrafold.session import cut
+from terrafold.session import cut, delete_folder, list_folder
 
 POINT = ["ord", "x", "y", "z", "conf"]
 #: Postings of a cell from which it is hot, and how many of a clique cell are tried first there.
 HOT_POSTINGS, REPRESENTATIVES = 5000, 16
+#: Ranges of tokens that a batch is looked up by; generations of a level that are merged into one of the next; bytes of an index file's row group.
+RANGES, FAN, ROW_GROUP = 64, 8, 1 << 20
+KEYS = ["token", "band"]
 
 
 @dataclass(frozen=True)
@@ -58,25 +64,33 @@ def finite_points(df: DataFrame) -> DataFrame:
 
 
 def clean_points(df: DataFrame) -> DataFrame:
-    """finite_points with each ord once: equal ord is the same row, the least values stay."""
-    best = finite_points(df).groupBy("ord").agg(F.min(F.struct(*POINT[1:])).alias("p"))
-    return best.select("ord", "p.*")
+    """finite_points with each ord once: equal ord is the same row (the least of each value stays where they differ)."""
+    return finite_points(df).groupBy("ord").agg(*[F.min(c).alias(c) for c in POINT[1:]])
 
 
 def _floor(c: str, size: float, shift: float = 0.0):
     return F.floor((F.col(c) + shift) / size)
 
 
-def home_token(r: Reach):
-    return F.xxhash64(*[_floor(c, r.cell) for c in ("x", "y", "z")], _floor("conf", r.conf_cell))
+def _spread_bits(v: Column) -> Column:
+    """The low 21 bits with two zero bits after each, seven at a time from a table of what seven bits become."""
+    table = F.array(*[F.lit(sum((n >> b & 1) << 3 * b for b in range(7))).cast("long") for n in range(128)])
+    seven = [F.get(table, F.shiftright(v, at).bitwiseAND(F.lit(127)).cast("int")) for at in (0, 7, 14)]
+    return seven[0].bitwiseOR(F.shiftleft(seven[1], 21)).bitwiseOR(F.shiftleft(seven[2], 42))
+
+
+def z_order(i: Column, j: Column, k: Column) -> Column:
+    """Number of a cell along a Z-order curve of 2^21 cells a side; cells farther apart than that share numbers, which costs candidates only."""
+    x, y, z = (_spread_bits(F.pmod(c + (1 << 20), F.lit(1 << 21)).cast("long")) for c in (i, j, k))
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
 
 
 def probe_tokens(df: DataFrame, r: Reach) -> DataFrame:
-    """One row for each cell that the point's reach touches; the bounds are widened by a hair against rounding."""
+    """One row for each cell and band that the point's reach touches; the bounds are widened by a hair against rounding."""
     e = 1.0 + 1e-9
-    for c, size, reach in (("x", r.cell, r.radius * e), ("y", r.cell, r.radius * e), ("z", r.cell, r.radius * e), ("conf", r.conf_cell, r.conf * e)):
-        df = df.withColumn(f"_{c}", F.explode(F.sequence(_floor(c, size, -reach), _floor(c, size, reach))))
-    return df.withColumn("token", F.xxhash64("_x", "_y", "_z", "_conf")).drop("_x", "_y", "_z", "_conf")
+    for c, size, reach, name in (("x", r.cell, r.radius * e, "_x"), ("y", r.cell, r.radius * e, "_y"), ("z", r.cell, r.radius * e, "_z"), ("conf", r.conf_cell, r.conf * e, "band")):
+        df = df.withColumn(name, F.explode(F.sequence(_floor(c, size, -reach), _floor(c, size, reach))))
+    return df.withColumn("token", z_order(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z")
 
 
 def _within(a: str, b: str, r: Reach):
@@ -86,8 +100,9 @@ def _within(a: str, b: str, r: Reach):
 
 
 def postings(points: DataFrame, r: Reach) -> DataFrame:
-    """The postings of points: token and the point."""
-    return points.withColumn("token", home_token(r)).select("token", *[F.col(c).alias(f"k_{c}") for c in POINT])
+    """The postings of points: token, band and the point."""
+    home = z_order(*[_floor(c, r.cell) for c in ("x", "y", "z")])
+    return points.select(home.alias("token"), _floor("conf", r.conf_cell).alias("band"), *[F.col(c).alias(f"k_{c}") for c in POINT])
 
 
 def _clique(r: Reach, prefix: str = ""):
@@ -96,41 +111,47 @@ def _clique(r: Reach, prefix: str = ""):
     return F.xxhash64(*[_floor(f"{prefix}{c}", side) for c in ("x", "y", "z")], _floor(f"{prefix}conf", r.conf * (1 - 1e-9)))
 
 
-def _merge_equal(index: DataFrame) -> DataFrame:
-    """Equal points as one posting under the first ord."""
-    same = ["token", "k_x", "k_y", "k_z", "k_conf"]
-    return index.groupBy(*same).agg(F.min("k_ord").alias("k_ord")).select("token", *[f"k_{c}" for c in POINT])
+def _probes(points: DataFrame, r: Reach) -> DataFrame:
+    return probe_tokens(points.select(*POINT), r).select(*KEYS, *[F.col(c).alias(f"p_{c}") for c in POINT])
 
 
 def probe_pairs(points: DataFrame, index: DataFrame, r: Reach) -> DataFrame:
     """(ord, k_ord) of each point and each posting within reach; a pair meets in one token only, the posting's home."""
-    p = probe_tokens(points.select(*POINT), r).select("token", *[F.col(c).alias(f"p_{c}") for c in POINT])
-    return salted_join(p, index, ["token"]).where(_within("p_", "k_", r)).select(F.col("p_ord").alias("ord"), "k_ord")
+    return salted_join(_probes(points, r), index, KEYS).where(_within("p_", "k_", r)).select(F.col("p_ord").alias("ord"), "k_ord")
 
 
-def probe(points: DataFrame, index: DataFrame, r: Reach) -> DataFrame:
-    """ord and the first k_ord found of each point with a posting within reach.
+def probe(points: DataFrame, index: DataFrame, r: Reach, probes: DataFrame | None = None) -> DataFrame:
+    """ord and the least k_ord of each point with a posting within reach; probes: the points' `_probes` where they are at hand.
 
-    Cells with few postings are compared in full. In hot ones equal postings are merged and REPRESENTATIVES of each clique
-    cell are tried first: they decide nearly all of a group of copies, however jittered. Only points that none of them
-    decides are compared with every posting, split over tasks; so nothing is missed.
+    Cells with few postings are compared in full. In hot ones equal postings are merged and the first REPRESENTATIVES of each clique
+    cell are tried: a hit among them is the least of its clique, and they decide nearly all of a group of copies, however jittered.
+    Only cliques in which none of them hits are compared in full, from the next posting on and below the least found elsewhere, split
+    over tasks; so nothing is missed.
     """
-    p = probe_tokens(points.select(*POINT), r).select("token", *[F.col(c).alias(f"p_{c}") for c in POINT])
-    hot = hot_buckets(index, ["token"], HOT_POSTINGS)
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        return pairs.where(_within("p_", "k_", r)).groupBy(F.col("p_ord").alias("ord")).agg(F.min("k_ord").alias("k_ord"))
-
+    p = _probes(points, r) if probes is None else probes
+    hot = hot_buckets(index, KEYS, HOT_POSTINGS)
+    hit = F.when(_within("p_", "k_", r), F.col("k_ord"))
     if not hot:
-        return decided(p.join(index, "token"))
-    is_hot = bucket_of(["token"]).isin(hot)
-    dense, near = cut(_merge_equal(index.where(is_hot))), cut(p.where(is_hot))
-    rank = F.row_number().over(Window.partitionBy("token", _clique(r, "k_")).orderBy("k_ord"))
-    few = dense.withColumn("_r", rank).where(F.col("_r") <= REPRESENTATIVES).drop("_r")
-    first = cut(decided(spread_join(near, few, ["token"], HOT_POSTINGS)))
-    rest = near.join(first.select(F.col("ord").alias("p_ord")), "p_ord", "left_anti")
-    found = first.unionByName(decided(spread_join(rest, dense, ["token"], HOT_POSTINGS))).unionByName(decided(p.where(~is_hot).join(index.where(~is_hot), "token")))
-    return found.groupBy("ord").agg(F.min("k_ord").alias("k_ord"))
+        return p.join(index, KEYS).groupBy(F.col("p_ord").alias("ord")).agg(F.min(hit).alias("k_ord")).where("k_ord IS NOT NULL")
+    is_hot = bucket_of(KEYS).isin(hot)
+    cold = p.where(~is_hot).join(index.where(~is_hot), KEYS).groupBy(F.col("p_ord").alias("ord")).agg(F.min(hit).alias("k_ord"))
+    same = [*KEYS, "k_x", "k_y", "k_z", "k_conf"]
+    dense = index.where(is_hot).groupBy(*same).agg(F.min("k_ord").alias("k_ord")).withColumn("_c", _clique(r, "k_"))
+    w = Window.partitionBy(*KEYS, "_c").orderBy("k_ord")
+    dense = cut(dense.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("k_ord").over(w)))
+    near = cut(p.where(is_hot))
+    few = dense.where(F.col("_r") <= REPRESENTATIVES)
+    # The least hit of each clique, or else its first posting that was not tried.
+    untried = F.when(F.col("_r") == REPRESENTATIVES, F.col("_next"))
+    tried = cut(spread_join(near, few, KEYS, HOT_POSTINGS).groupBy("p_ord", *KEYS, "_c").agg(F.min(hit).alias("hit"), F.min(untried).alias("_next")))
+    best = tried.groupBy("p_ord").agg(F.min("hit").alias("hit"))
+    open_ = tried.where(F.col("hit").isNull() & F.col("_next").isNotNull()).drop("hit").join(best, "p_ord").where(F.col("hit").isNull() | (F.col("_next") < F.col("hit")))
+    rest = near.join(open_.select("p_ord", *KEYS, "_c", "hit"), ["p_ord", *KEYS])
+    later = dense.where(F.col("_r") > REPRESENTATIVES).drop("_r", "_next")
+    full = spread_join(rest, later, [*KEYS, "_c"], HOT_POSTINGS).where(F.col("hit").isNull() | (F.col("k_ord") < F.col("hit")))
+    full = full.drop("hit").groupBy("p_ord").agg(F.min(hit).alias("hit"))
+    found = best.unionByName(full).select(F.col("p_ord").alias("ord"), F.col("hit").alias("k_ord")).unionByName(cold)
+    return found.groupBy("ord").agg(F.min("k_ord").alias("k_ord")).where("k_ord IS NOT NULL")
 
 
 def resolve_batch(points: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
@@ -163,38 +184,97 @@ def resolve_batch(points: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
 def accept(batch: DataFrame, index: DataFrame, r: Reach = Reach()) -> tuple[DataFrame, DataFrame]:
     """Checks rows (ord, x, y, z, conf, ...) against an index of postings and among themselves, by ascending ord.
 
-    Returns (newly accepted points, repeats): repeats has kept_ord and dup_ord, one row for each repeat, with an accepted
-    ord in its reach, the first of those that were compared. Rows with a null or non-finite field are neither. Equal ord counts once; an
+    Returns (newly accepted points, repeats): repeats has kept_ord and dup_ord, one row for each repeat, with the least ord
+    accepted in its reach - of the index where that has one, else of the batch. Rows with a null or non-finite field are neither. Equal ord
+    counts once, and a row that the index holds under its own ord was accepted before: it is neither new nor a repeat. An
     empty batch gives two empty tables; further columns are ignored.
     """
-    points = cut(clean_points(batch))
-    known = cut(probe(points, index, r))
+    return _accept(cut(clean_points(batch)), index, r)
+
+
+def _accept(points: DataFrame, index: DataFrame, r: Reach, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    known = cut(probe(points, index, r, probes))
     fresh = cut(points.join(known, "ord", "left_anti"))
     taken, dup = resolve_batch(fresh, r)
-    return fresh.join(taken, "ord", "left_semi"), known.select(F.col("k_ord").alias("kept_ord"), F.col("ord").alias("dup_ord")).unionByName(dup)
+    new = cut(fresh.join(taken, "ord", "left_semi"))
+    dup = probe(fresh.join(dup.select(F.col("dup_ord").alias("ord")), "ord", "left_semi"), postings(new, r), r)
+    pairs = known.where(F.col("k_ord") != F.col("ord")).unionByName(dup)
+    return new, pairs.select(F.col("k_ord").alias("kept_ord"), F.col("ord").alias("dup_ord"))
 
 
 class PostingIndex:
-    """Postings in a folder, one subfolder of files a token bucket; append adds files, probing reads the buckets asked for."""
-
-    def __init__(self, spark: SparkSession, path: str, reach: Reach = Reach(), buckets: int = 64):
-        self.spark, self.path, self.reach, self.buckets = spark, path, reach, buckets
-
-    def append(self, points: DataFrame) -> None:
-        """Adds the points' postings."""
-        rows = postings(points, self.reach).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
-        rows.repartition(self.buckets, "bucket", F.pmod("k_ord", F.lit(8))).write.mode("append").partitionBy("bucket").parquet(self.path)
+    """Postings in a folder that all executors share: one subfolder a generation, named by its level and what it holds, files sorted by token."""
+
+    SCHEMA = "token long, band long, k_ord long, k_x double, k_y double, k_z double, k_conf double"
+
+    def __init__(self, spark: SparkSession, path: str, reach: Reach = Reach()):
+        self.spark, self.path, self.reach = spark, path.rstrip("/"), reach
+
+    def generations(self) -> list[str]:
+        """Finished generations; one that a merge has taken in counts no more, should a lost driver have left it."""
+        names = [n for n in list_folder(self.spark, self.path) if n.startswith("L") and "_SUCCESS" in list_folder(self.spark, f"{self.path}/{n}")]
+        merged = {m for n in names if "_SUCCESS" in list_folder(self.spark, f"{self.path}/{n}-of") for m in (x["m"] for x in self.spark.read.parquet(f"{self.path}/{n}-of").collect())}
+        return [n for n in names if not n.endswith("-of") and n not in merged]
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}")
+
+    def append(self, points: DataFrame, name: str) -> None:
+        """Adds the points' postings as the generation `name`, in place of an earlier one of that name; merges levels that are full."""
+        self._write(postings(points, self.reach), f"L0-{name}")
+        level = 0
+        while len(full := [n for n in self.generations() if n.startswith(f"L{level}-")]) >= FAN:
+            into = f"L{level + 1}-{full[0].split('-', 1)[1]}"
+            self._write(self._read(full), into)
+            self.spark.createDataFrame([(n,) for n in full], "m string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{into}-of")
+            for n in full:
+                delete_folder(self.spark, f"{self.path}/{n}")
+            level += 1
+
+    def _read(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
 
     def read(self) -> DataFrame:
-        schema = "token long, k_ord long, k_x double, k_y double, k_z double, k_conf double, bucket int"
-        return self.spark.read.schema(schema).parquet(self.path)
-
-    def offer(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Checks a batch, appends what was accepted, and returns (accepted, repeats)."""
-        tokens = probe_tokens(clean_points(batch), self.reach).select(F.pmod("token", F.lit(self.buckets)).cast("int").alias("bucket")).distinct()
-        wanted = [x["bucket"] for x in tokens.collect()]  # at most `buckets` numbers
-        index = self.read().where(F.col("bucket").isin(wanted)).drop("bucket") if wanted else self.read().where(F.lit(False)).drop("bucket")
-        taken, repeats = accept(batch, index, self.reach)
+        """All postings."""
+        return self._read(self.generations())
+
+    def around(self, probes: DataFrame, without: str | None = None) -> DataFrame:
+        """The postings in the ranges of tokens that the probes span: at most RANGES of them, each narrowed to its own tokens, so Parquet skips all other row groups."""
+        names = [n for n in self.generations() if n != f"L0-{without}"]
+        grid = probes.agg(F.percentile_approx("token", [k / RANGES for k in range(1, RANGES)], 1000)).first()[0]
+        if grid is None:
+            return self._read([])
+        part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(grid))]), lambda b: b < F.col("token")))
+        spans = probes.groupBy(part.alias("p")).agg(F.min("token").alias("lo"), F.max("token").alias("hi")).collect()  # at most RANGES rows
+        inside = F.lit(False)
+        for s in spans:
+            inside = inside | F.col("token").between(s["lo"], s["hi"])
+        return self._read(names).where(inside)
+
+    def offer(self, batch: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Checks a batch, appends what was accepted as generation `name`, and returns (accepted, repeats).
+
+        Offered again under its name, a batch does not meet what it appended itself - as long as that is not merged with later ones,
+        after which its accepted rows are known by their ord.
+        """
+        points = cut(clean_points(batch))
+        probes = cut(_probes(points, self.reach))
+        new, repeats = _accept(points, self.around(probes, name), self.reach, probes)
         repeats = cut(repeats)
-        self.append(taken)
-        return taken, repeats
+        self.append(new, name)
+        return new, repeats
+
+
+def backlog(batches: DataFrame, rows: int) -> list[tuple[int, int]]:
+    """Waiting batches (batch, ord) as ranges of ord (first, last), to be offered in turn: whole batches, as many as come to about `rows` rows, and any that overlap in ord together."""
+    per = batches.where(F.col("ord").isNotNull()).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).orderBy("lo", "hi").collect()  # a row a batch
+    out: list[list[int]] = []
+    for b in per:
+        if out and (b["lo"] <= out[-1][1] or out[-1][2] + b["n"] <= rows):
+            out[-1][1] = max(out[-1][1], b["hi"])
+            out[-1][2] += b["n"]
+        else:
+            out.append([b["lo"], b["hi"], b["n"]])
+    return [(lo, hi) for lo, hi, _ in out]

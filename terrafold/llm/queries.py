@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import cluster, dedup, mixing, packing, pii, tokens
-from terrafold.session import cut
+from terrafold.session import cut, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of the waiting batches that are offered to the index at a time.
+OFFER_ROWS = 100_000
+
+
 def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    reach = dedup.Reach()
-    index = dedup.postings(dedup.finite_points(table(spark, sf_dir, "site")), reach)
-    return dedup.accept(table(spark, sf_dir, "site_batches"), index, reach)
+    """The site is indexed once; the waiting batches are offered in turn and the index grows by what each brings."""
+    index = dedup.PostingIndex(spark, f"{ensure_checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}")
+    index.append(dedup.finite_points(table(spark, sf_dir, "site")), "site")
+    batches = table(spark, sf_dir, "site_batches")
+    new, repeats = [], []
+    for k, (lo, hi) in enumerate(dedup.backlog(batches, OFFER_ROWS)):
+        n, r = index.offer(batches.where(F.col("ord").between(lo, hi)), f"offer{k:05d}")
+        new.append(n)
+        repeats.append(r)
+    if not new:
+        return dedup.accept(batches, index.read())
+    return functools.reduce(DataFrame.unionByName, new), functools.reduce(DataFrame.unionByName, repeats)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
