@@ -73,3 +73,19 @@ def spread_out(df: DataFrame) -> DataFrame:
     """For work that is heavy for each row: a table read as fewer partitions than there are cores is spread over them; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads, sorted; none where it does not exist."""
+    at, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
