@@ -5,9 +5,10 @@ the rare prefix that history must be indexed by is a single token, the home cell
 all hold a point or none. A posting also carries its band of confidence, by which the join filters candidates before any
 distance is taken, as texts are filtered by length; distance and confidence then verify.
 
-Tokens are numbered along a Z-order curve, and the index keeps its postings sorted by token, in files whose row groups state the
-range they hold. A batch reads the row groups of the ranges that its own tokens span, however long the history is, and
-appends what it accepts as a generation of its own; generations of one level are merged when there are FAN of them, so a
+The index is a folder of bucketed tables, so a batch's probes go to the postings' buckets and no posting is shuffled again. Tokens are
+numbered along a Z-order curve and each bucket is sorted by token, in row groups that state the range they hold: a batch
+reads the row groups of the ranges that its own tokens span, however long the history is. What it accepts it
+appends as a generation of its own; generations of one level are merged when there are FAN of them, so a
 posting is written again a logarithmic number of times. A batch offered again replaces its generation and gives the same answer.
 
 Within a batch rows are taken by ascending ord: a row is accepted exactly if no accepted row before it is within
@@ -19,6 +20,8 @@ neighbouring cells, never the square of a cell.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -33,7 +36,7 @@ POINT = ["ord", "x", "y", "z", "conf"]
 #: Postings of a cell from which it is hot, and how many of a clique cell are tried first there.
 HOT_POSTINGS, REPRESENTATIVES = 5000, 16
 #: Ranges of tokens that a batch is looked up by; generations of a level that are merged into one of the next; bytes of an index file's row group.
-RANGES, FAN, ROW_GROUP = 64, 8, 1 << 20
+RANGES, FAN, ROW_GROUP = 16, 8, 1 << 20
 KEYS = ["token", "band"]
 
 
@@ -120,16 +123,15 @@ def probe_pairs(points: DataFrame, index: DataFrame, r: Reach) -> DataFrame:
     return salted_join(_probes(points, r), index, KEYS).where(_within("p_", "k_", r)).select(F.col("p_ord").alias("ord"), "k_ord")
 
 
-def probe(points: DataFrame, index: DataFrame, r: Reach, probes: DataFrame | None = None) -> DataFrame:
-    """ord and the least k_ord of each point with a posting within reach; probes: the points' `_probes` where they are at hand.
+def probe(p: DataFrame, index: DataFrame, r: Reach, hot: list[int] | None = None) -> DataFrame:
+    """ord and the least k_ord of each point (by its `_probes`) with a posting within reach; hot: the index's hot buckets, where they are known.
 
     Cells with few postings are compared in full. In hot ones equal postings are merged and the first REPRESENTATIVES of each clique
     cell are tried: a hit among them is the least of its clique, and they decide nearly all of a group of copies, however jittered.
     Only cliques in which none of them hits are compared in full, from the next posting on and below the least found elsewhere, split
     over tasks; so nothing is missed.
     """
-    p = _probes(points, r) if probes is None else probes
-    hot = hot_buckets(index, KEYS, HOT_POSTINGS)
+    hot = hot_buckets(index, KEYS, HOT_POSTINGS) if hot is None else hot
     hit = F.when(_within("p_", "k_", r), F.col("k_ord"))
     if not hot:
         return p.join(index, KEYS).groupBy(F.col("p_ord").alias("ord")).agg(F.min(hit).alias("k_ord")).where("k_ord IS NOT NULL")
@@ -189,35 +191,53 @@ def accept(batch: DataFrame, index: DataFrame, r: Reach = Reach()) -> tuple[Data
     counts once, and a row that the index holds under its own ord was accepted before: it is neither new nor a repeat. An
     empty batch gives two empty tables; further columns are ignored.
     """
-    return _accept(cut(clean_points(batch)), index, r)
+    points = cut(clean_points(batch))
+    return _accepted(points, cut(probe(_probes(points, r), index, r)), r)
 
 
-def _accept(points: DataFrame, index: DataFrame, r: Reach, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    known = cut(probe(points, index, r, probes))
+def _accepted(points: DataFrame, known: DataFrame, r: Reach) -> tuple[DataFrame, DataFrame]:
+    """`accept` for clean points of which `known` (ord, k_ord) are near the index."""
     fresh = cut(points.join(known, "ord", "left_anti"))
     taken, dup = resolve_batch(fresh, r)
     new = cut(fresh.join(taken, "ord", "left_semi"))
-    dup = probe(fresh.join(dup.select(F.col("dup_ord").alias("ord")), "ord", "left_semi"), postings(new, r), r)
-    pairs = known.where(F.col("k_ord") != F.col("ord")).unionByName(dup)
+    again = fresh.join(dup.select(F.col("dup_ord").alias("ord")), "ord", "left_semi")
+    pairs = known.where(F.col("k_ord") != F.col("ord")).unionByName(probe(_probes(again, r), postings(new, r), r))
     return new, pairs.select(F.col("k_ord").alias("kept_ord"), F.col("ord").alias("dup_ord"))
 
 
 class PostingIndex:
-    """Postings in a folder that all executors share: one subfolder a generation, named by its level and what it holds, files sorted by token."""
+    """Postings in a folder that all executors share: one bucketed table a generation, named by its level and what it holds."""
 
     SCHEMA = "token long, band long, k_ord long, k_x double, k_y double, k_z double, k_conf double"
 
-    def __init__(self, spark: SparkSession, path: str, reach: Reach = Reach()):
+    def __init__(self, spark: SparkSession, path: str, reach: Reach = Reach(), buckets: int | None = None):
+        """buckets: of each table, the session's shuffle partitions unless given; an index must be opened with the number it was made with."""
         self.spark, self.path, self.reach = spark, path.rstrip("/"), reach
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._hot: dict[str, list[int]] = {}
 
     def generations(self) -> list[str]:
         """Finished generations; one that a merge has taken in counts no more, should a lost driver have left it."""
         names = [n for n in list_folder(self.spark, self.path) if n.startswith("L") and "_SUCCESS" in list_folder(self.spark, f"{self.path}/{n}")]
-        merged = {m for n in names if "_SUCCESS" in list_folder(self.spark, f"{self.path}/{n}-of") for m in (x["m"] for x in self.spark.read.parquet(f"{self.path}/{n}-of").collect())}
+        merged = {x["m"] for n in names if n.endswith("-of") for x in self.spark.read.parquet(f"{self.path}/{n}").collect()}
         return [n for n in names if not n.endswith("-of") and n not in merged]
 
+    def _name(self, name: str) -> str:
+        return f"postings_{hashlib.md5(f'{self.path}/{name}'.encode()).hexdigest()}"  # noqa: S324 - a name
+
+    def _table(self, name: str) -> DataFrame:
+        """A generation's table, entered in the session's catalogue if another session wrote it."""
+        t = self._name(name)
+        if not self.spark.catalog.tableExists(t):
+            self.spark.sql(f"CREATE TABLE {t} ({self.SCHEMA.replace('long', 'bigint')}) USING parquet CLUSTERED BY ({', '.join(KEYS)}) SORTED BY (token) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(t)
+
     def _write(self, rows: DataFrame, name: str) -> None:
-        rows.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}")
+        t = self._name(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        w = rows.repartition(self.buckets, *KEYS).write.mode("overwrite").option("path", f"{self.path}/{name}").option("parquet.block.size", ROW_GROUP)
+        w.bucketBy(self.buckets, *KEYS).sortBy("token").saveAsTable(t)
+        self._hot.pop(name, None)
 
     def append(self, points: DataFrame, name: str) -> None:
         """Adds the points' postings as the generation `name`, in place of an earlier one of that name; merges levels that are full."""
@@ -228,30 +248,34 @@ class PostingIndex:
             self._write(self._read(full), into)
             self.spark.createDataFrame([(n,) for n in full], "m string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{into}-of")
             for n in full:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._name(n)}")
                 delete_folder(self.spark, f"{self.path}/{n}")
             level += 1
 
     def _read(self, names: list[str]) -> DataFrame:
-        if not names:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
+        return functools.reduce(DataFrame.unionByName, [self._table(n) for n in names]) if names else self.spark.createDataFrame([], self.SCHEMA)
 
     def read(self) -> DataFrame:
         """All postings."""
         return self._read(self.generations())
 
-    def around(self, probes: DataFrame, without: str | None = None) -> DataFrame:
-        """The postings in the ranges of tokens that the probes span: at most RANGES of them, each narrowed to its own tokens, so Parquet skips all other row groups."""
-        names = [n for n in self.generations() if n != f"L0-{without}"]
+    def around(self, probes: DataFrame, without: str | None = None) -> dict[str, DataFrame]:
+        """By generation, the postings in the ranges of tokens that the probes span: at most RANGES of them, each narrowed to its own tokens, so Parquet skips all other row groups."""
         grid = probes.agg(F.percentile_approx("token", [k / RANGES for k in range(1, RANGES)], 1000)).first()[0]
         if grid is None:
-            return self._read([])
+            return {}
         part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(grid))]), lambda b: b < F.col("token")))
         spans = probes.groupBy(part.alias("p")).agg(F.min("token").alias("lo"), F.max("token").alias("hi")).collect()  # at most RANGES rows
         inside = F.lit(False)
         for s in spans:
             inside = inside | F.col("token").between(s["lo"], s["hi"])
-        return self._read(names).where(inside)
+        return {n: self._table(n).where(inside) for n in self.generations() if n != f"L0-{without}"}
+
+    def hot(self, name: str) -> list[int]:
+        """Hot buckets of a generation, counted once."""
+        if name not in self._hot:
+            self._hot[name] = hot_buckets(self._table(name), KEYS, HOT_POSTINGS)
+        return self._hot[name]
 
     def offer(self, batch: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Checks a batch, appends what was accepted as generation `name`, and returns (accepted, repeats).
@@ -261,18 +285,22 @@ class PostingIndex:
         """
         points = cut(clean_points(batch))
         probes = cut(_probes(points, self.reach))
-        new, repeats = _accept(points, self.around(probes, name), self.reach, probes)
+        near = [probe(probes, rows, self.reach, self.hot(n)) for n, rows in self.around(probes, name).items()]
+        none = points.select("ord", F.col("ord").alias("k_ord")).where(F.lit(False))
+        known = functools.reduce(DataFrame.unionByName, near, none).groupBy("ord").agg(F.min("k_ord").alias("k_ord"))
+        new, repeats = _accepted(points, cut(known), self.reach)
         repeats = cut(repeats)
         self.append(new, name)
         return new, repeats
 
 
-def backlog(batches: DataFrame, rows: int) -> list[tuple[int, int]]:
-    """Waiting batches (batch, ord) as ranges of ord (first, last), to be offered in turn: whole batches, as many as come to about `rows` rows, and any that overlap in ord together."""
+def backlog(batches: DataFrame, offers: int) -> list[tuple[int, int]]:
+    """Waiting batches (batch, ord) as about `offers` ranges of ord (first, last), to be offered in turn: whole batches, and any that overlap in ord together."""
     per = batches.where(F.col("ord").isNotNull()).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).orderBy("lo", "hi").collect()  # a row a batch
+    rows = -(-sum(b["n"] for b in per) // offers)
     out: list[list[int]] = []
     for b in per:
-        if out and (b["lo"] <= out[-1][1] or out[-1][2] + b["n"] <= rows):
+        if out and (b["lo"] <= out[-1][1] or out[-1][2] + b["n"] // 2 <= rows):
             out[-1][1] = max(out[-1][1], b["hi"])
             out[-1][2] += b["n"]
         else:

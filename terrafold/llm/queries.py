@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of the waiting batches that are offered to the index at a time.
-OFFER_ROWS = 100_000
+#: Parts in which the waiting batches are offered to the index, one after the other; the result does not depend on it.
+OFFERS = 4
 
 
 def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +26,7 @@ def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index.append(dedup.finite_points(table(spark, sf_dir, "site")), "site")
     batches = table(spark, sf_dir, "site_batches")
     new, repeats = [], []
-    for k, (lo, hi) in enumerate(dedup.backlog(batches, OFFER_ROWS)):
+    for k, (lo, hi) in enumerate(dedup.backlog(batches, OFFERS)):
         n, r = index.offer(batches.where(F.col("ord").between(lo, hi)), f"offer{k:05d}")
         new.append(n)
         repeats.append(r)
@@ -91,8 +91,22 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_accepted": p2_accepted, "p4_found": p4_found, "p4_objects": p4_objects, "p6_packed": p6_packed, "p6_fills": p6_fills, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
-#: Components by spreading the least ord along links, over the whole table.
+#: Greedy acceptance: a row is settled once an accepted row before it is in reach, or all rows before it in reach are settled. Components: the least ord spreads along links.
+_GREEDY = """
+WITH RECURSIVE s AS (SELECT ord, min(x) AS x, min(y) AS y, min(z) AS z, min(conf) AS conf, min(late) AS late FROM (SELECT ord, x, y, z, conf, 0 AS late FROM site UNION ALL SELECT ord, x, y, z, conf, 1 FROM site_batches) WHERE ord IS NOT NULL AND isfinite(x) AND isfinite(y) AND isfinite(z) AND isfinite(conf) GROUP BY ord),
+c AS (SELECT *, floor(x / 0.05)::BIGINT AS i, floor(y / 0.05)::BIGINT AS j, floor(z / 0.05)::BIGINT AS k FROM s),
+n AS (SELECT c.*, i + di AS ni, j + dj AS nj, k + dk AS nk FROM c, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj), (VALUES (-1), (0), (1)) d(dk) WHERE late = 1),
+e AS MATERIALIZED (SELECT c.ord AS a, n.ord AS b FROM n JOIN c ON ni = c.i AND nj = c.j AND nk = c.k AND c.ord < n.ord WHERE abs(n.conf - c.conf) <= 1.0 AND sqrt(pow(n.x - c.x, 2) + pow(n.y - c.y, 2) + pow(n.z - c.z, 2)) <= 0.05),
+m AS MATERIALIZED (SELECT b, count(*) AS n FROM e GROUP BY b),
+lab(ord, accepted) USING KEY (ord) AS (
+  SELECT ord, true FROM s WHERE late = 0 OR ord NOT IN (SELECT b FROM m)
+  UNION
+  SELECT w.b, NOT bool_or(r.accepted) FROM (SELECT DISTINCT e.b FROM lab JOIN e ON e.a = lab.ord) w JOIN e ON e.b = w.b JOIN m ON m.b = w.b JOIN recurring.lab r ON r.ord = e.a LEFT JOIN recurring.lab me ON me.ord = w.b
+  WHERE me.ord IS NULL GROUP BY w.b, m.n HAVING bool_or(r.accepted) OR count(*) = m.n)
+"""
 ORACLE: dict[str, str] = {
+    "p2_found": _GREEDY + "SELECT min(e.a) AS kept_ord, e.b AS dup_ord FROM e JOIN lab k ON k.ord = e.a AND k.accepted JOIN lab d ON d.ord = e.b AND NOT d.accepted GROUP BY e.b",
+    "p2_accepted": _GREEDY + "SELECT s.ord, s.x, s.y, s.z, s.conf FROM s JOIN lab USING (ord) WHERE late = 1 AND accepted",
     "p4_found": """
 WITH RECURSIVE p AS (SELECT DISTINCT target_id, ord, x, y, z FROM segments WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),
 r AS (SELECT target_id, greatest(0.02 * sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)), 1e-12) AS reach FROM p GROUP BY target_id),
