@@ -20,7 +20,7 @@ from terrafold.llm import crf, labelled
 from terrafold.session import spread_out
 
 BUCKETS = 1 << 18
-LABELLED_ROWS = 2600
+LABELLED_ROWS = 7000
 LABELS = ["O", *[f"{p}-{k}" for k in labelled.KINDS for p in "BI"]]
 #: Rows decoded at once; bounds a worker's memory together with MAX_TOKENS.
 MAX_TOKENS = 150_000
@@ -245,6 +245,12 @@ def _tidy(text: str, kind: str, b: int, e: int) -> tuple[int, int] | None:
         b += 1
     while e > b and (text[e - 1].isspace() or text[e - 1] in ",;:>​"):
         e -= 1
+    # A name ends with its line, an address at the latest before an empty one.
+    gap = re.search(r"[\r\n]" if kind == "name" else r"\n\s*\n", text[b:e]) if kind in ("name", "address") else None
+    if gap:
+        e = b + gap.start()
+        while e > b and (text[e - 1].isspace() or text[e - 1] in ",;:"):
+            e -= 1
     m = text[b:e]
     digits = sum(c.isdigit() for c in m)
     if kind == "phone":
