@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,9 @@ ALT_RANGE = (-1000.0, 20000.0)
 METRES_PER_DEGREE = 111_195.08
 #: Frozen runs: least lengths, the odds at which chance makes a run that long (for each run, so that a stream's length does not matter), displacement in px (and as a share of the stream's median) that counts as moving on.
 RUN_ALL, RUN_ALT, RUN_ODDS, MOVING_PX, MOVING_SHARE = 6, 7, 2.5e-5, 8.0, 0.3
+#: The odds that a run of equal altitudes goes on come from how many of a stream's runs reach each of these lengths, and from the share of
+#: equal altitudes for as many further runs: readings repeat in bouts, so runs of a coarse resolution go on more often than that share says.
+RUN_STEPS, RUN_PRIOR = (3, 4, 5, 6), 50
 
 COLUMNS = ["stream", "frame_id", "ts", "displacement", "latitude", "longitude", "altitude"]
 
@@ -61,7 +66,10 @@ def chunked(frames: DataFrame, chunk: int, margin: int) -> DataFrame:
 
 
 def step_sketches(chunks: DataFrame) -> DataFrame:
-    """Counts of steps: stream, hour, kind (h, z, d: horizontal, vertical, displacement), bin, n. Bin null holds zeros."""
+    """Counts of steps: stream, hour, kind (h, z, d: horizontal, vertical, displacement), bin, n. Bin null holds zeros.
+
+    Kind r counts runs of equal altitudes by the lengths in RUN_STEPS that they reach, so that a frozen run, however long, counts once in each.
+    """
     w = Window.partitionBy("stream", "chunk").orderBy("frame_id")
     c = chunks.withColumn("_seen", F.lag("frame_id").over(w))
     c = c.where(F.col("_seen").isNull() | (F.col("_seen") != F.col("frame_id")))
@@ -72,8 +80,10 @@ def step_sketches(chunks: DataFrame) -> DataFrame:
     dlon = F.pmod(F.col("lo") - F.lag("lo").over(w) + 180.0, F.lit(360.0)) - 180.0
     h = F.sqrt(F.pow(F.col("la") - F.lag("la").over(w), 2) + F.pow(dlon * F.cos(F.radians("la")), 2)) * METRES_PER_DEGREE / gap
     z = F.abs(F.col("al") - F.lag("al").over(w)) / gap
-    c = c.select("stream", "chunk", "core", F.pmod(F.floor(F.col("us") / 3_600_000_000), F.lit(24)).cast("int").alias("hour"), h.alias("h"), z.alias("z"), F.col("displacement").alias("d")).where("core")
-    kinds = F.explode(F.array(F.struct(F.lit("h").alias("kind"), F.col("h").alias("v")), F.struct(F.lit("z").alias("kind"), F.col("z").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("d").alias("v"))))
+    back = {k: F.coalesce(F.col("al") == F.lag("al", k).over(w), F.lit(False)) for k in range(1, RUN_STEPS[-1] + 1)}
+    reached = F.coalesce(*[F.when(functools.reduce(operator.and_, [back[k] for k in range(1, n)]) & ~back[n], F.lit(n)) for n in RUN_STEPS])
+    c = c.select("stream", "chunk", "core", F.pmod(F.floor(F.col("us") / 3_600_000_000), F.lit(24)).cast("int").alias("hour"), h.alias("h"), z.alias("z"), F.col("displacement").alias("d"), reached.alias("r")).where("core")
+    kinds = F.explode(F.array(F.struct(F.lit("h").alias("kind"), F.col("h").alias("v")), F.struct(F.lit("z").alias("kind"), F.col("z").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("d").alias("v")), F.struct(F.lit("r").alias("kind"), F.col("r").cast("double").alias("v"))))
     s = c.select("stream", "hour", kinds.alias("k")).select("stream", "hour", "k.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
     bin_ = F.when(F.col("v") > 1e-6, F.ceil(F.log(F.col("v")) / float(np.log(SKETCH_GAMMA))).cast("int"))
     return s.groupBy("stream", "hour", "kind", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -90,15 +100,15 @@ def sketch_quantiles(sketch: DataFrame, by: list[str], quantiles: dict[str, floa
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row a stream: fence_h, fence_z, far_h, far_z (normal 95th percentiles), moves (median displacement), still (share of equal altitudes), n."""
+    """One row a stream: fence_h, fence_z, far_h, far_z (normal 95th percentiles), moves (median displacement), goes_on (odds that a run of equal altitudes goes on), n."""
     q = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
     fence = F.greatest(F.col("q75") + FENCE_IQR * (F.col("q75") - F.col("q25")), FENCE_P95 * F.col("q95"))
     whole = sketch_quantiles(sketch, ["stream", "kind"], q).withColumn("fence", fence)
-    hour = sketch_quantiles(sketch.where(F.col("kind") != "d"), ["stream", "kind", "hour"], q).withColumn("fence", fence).where(F.col("total") >= HOUR_STEPS)
+    hour = sketch_quantiles(sketch.where(F.col("kind").isin("h", "z")), ["stream", "kind", "hour"], q).withColumn("fence", fence).where(F.col("total") >= HOUR_STEPS)
     hour = hour.groupBy("stream", "kind").agg(F.max("fence").alias("hour_fence"))
     x = whole.join(hour, ["stream", "kind"], "left").withColumn("fence", F.greatest("fence", F.least(F.coalesce("hour_fence", F.lit(0.0)), HOUR_WIDENS * F.col("fence"))))
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    return x.groupBy("stream").agg(
+    out = x.groupBy("stream").agg(
         F.coalesce(pick("h", "fence"), F.lit(0.0)).alias("fence_h"),
         F.coalesce(pick("z", "fence"), F.lit(0.0)).alias("fence_z"),
         F.coalesce(pick("h", "q95"), F.lit(0.0)).alias("far_h"),
@@ -107,6 +117,11 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.coalesce(pick("z", "zeros"), F.lit(0.0)).alias("still"),
         F.coalesce(pick("z", "total"), F.lit(0)).alias("n"),
     )
+    at = {n: F.coalesce(F.sum(F.when(F.col("bin") == int(np.ceil(np.log(n) / np.log(SKETCH_GAMMA))), F.col("n"))), F.lit(0)) for n in RUN_STEPS}
+    went, could = (sum((at[n] for n in steps[1:]), at[steps[0]]) for steps in (RUN_STEPS[1:], RUN_STEPS[:-1]))
+    runs = sketch.where(F.col("kind") == "r").groupBy("stream").agg(went.alias("_went"), could.alias("_could"))
+    out = out.join(runs, "stream", "left").fillna(0, ["_went", "_could"])
+    return out.withColumn("goes_on", (F.col("_went") + RUN_PRIOR * F.col("still")) / (F.col("_could") + RUN_PRIOR)).drop("_went", "_could")
 
 
 def _excursions(a: np.ndarray, fid: np.ndarray, sec: np.ndarray, fence: float, far: float) -> np.ndarray:
@@ -186,11 +201,11 @@ def judge(g: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
     lat, lon, alt, dis, fid = lat[core], lon[core], alt[core], dis[core], fid[core]
     moves = r.moves if r.moves == r.moves and r.moves is not None else 0.0
     moving = max(MOVING_PX, MOVING_SHARE * moves)
-    still = min(max(float(r.still), 1e-4), 0.95)
-    least_alt = max(RUN_ALT, 1 + int(np.ceil(np.log(1 / RUN_ODDS) / -np.log(still))))
+    goes_on = min(max(float(r.goes_on), 1e-4), 0.95)
+    least_alt = max(RUN_ALT, 1 + int(np.ceil(np.log(1 / RUN_ODDS) / -np.log(goes_on))))
     same_alt = np.r_[False, alt[1:] == alt[:-1]]
     same_all = same_alt & np.r_[False, (lat[1:] == lat[:-1]) & (lon[1:] == lon[:-1])]
-    edges = []
+    edges, full = [], np.zeros(len(core), bool)
     for kind, (eq, least) in enumerate(((same_all, RUN_ALL), (same_alt, least_alt))):
         start, length = _runs(eq)
         for s in {0, int(start[-1])}:
@@ -203,10 +218,14 @@ def judge(g: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
             e = s + length[s]
             if s == 0 or e == len(eq):
                 continue
-            d = dis[s + 1 : e]
-            d = d[np.isfinite(d)]
-            if len(d) and np.median(d) >= moving:
-                flag[core[s + 1 : e]] = True
+            # What repeats altitude alone around a run that repeats all three is judged for itself.
+            known = np.nonzero(full[s + 1 : e])[0] + s + 1
+            for a, b in ((s, e),) if not len(known) else ((s, int(known[0])), (int(known[-1]), e)):
+                d = dis[a + 1 : b]
+                d = d[np.isfinite(d)]
+                if b - a >= least and len(d) and np.median(d) >= moving:
+                    flag[core[a + 1 : b]] = True
+                    full[a + 1 : b] |= kind == 0
     return flag, edges
 
 
