@@ -35,10 +35,10 @@ class Database:
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
 
-    def create_map(self, now: datetime | None = None) -> str:
-        """Registers a new map; ids are map_ and the time to the microsecond."""
+    def create_map(self, now: datetime | None = None, map_id: str | None = None) -> str:
+        """Registers a new map; ids are map_ and the time to the microsecond, unless one is given. Registering one again changes nothing."""
         now = now or datetime.now()  # noqa: DTZ005 - local, naive, as ids are
-        map_id = now.strftime("map_%Y%m%d_%H%M%S_%f")
+        map_id = map_id or now.strftime("map_%Y%m%d_%H%M%S_%f")
         self.spark.createDataFrame([(map_id, now, False, 0)], MAPS).coalesce(1).write.mode("append").parquet(f"{self.path}/maps")
         return map_id
 

@@ -15,7 +15,7 @@ from terrafold.operators import geo
 from terrafold.operators.points import GOLDEN_ANGLE, confidence_band, finite_xyz, is_finite
 
 # Cell size in metres, least points of a cell, viewpoints at most, band percentiles, tilt in degrees, stand-off in metres.
-CELL, LEAST, TOP, LOW, HIGH, TILT, STANDOFF = 5.0, 30, 10, 60.0, 80.0, 30.0, 10.0
+CELL, LEAST, TOP, LOW, HIGH, TILT, STANDOFF = 5.0, 30, 10, 60.0, 80.0, 35.0, 15.0
 
 
 def cells(points: DataFrame, group: str, cell: float = CELL, least: int = LEAST, low: float = LOW, high: float = HIGH) -> DataFrame:

@@ -436,7 +436,7 @@ def nfn_cells(spark, d):
 
 
 _VIEWS = f"""{_CELLS}, kk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ce, cn) - 1 AS k FROM cell), rr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, k) AS rank, (k * pi() * (3 - sqrt(5))) % (2 * pi()) AS az FROM kk),
-views AS (SELECT *, mx + 10 * sin(radians(30)) * sin(az) AS px, my + 10 * sin(radians(30)) * cos(az) AS py, mz + 10 * cos(radians(30)) AS pz FROM rr WHERE rank <= 10)"""
+views AS (SELECT *, mx + 15 * sin(radians(35)) * sin(az) AS px, my + 15 * sin(radians(35)) * cos(az) AS py, mz + 15 * cos(radians(35)) AS pz FROM rr WHERE rank <= 10)"""
 
 
 @query(f"WITH {_VIEWS} SELECT source, k, rank, n, round(degrees(az) + 3.3e-8, 6) AS azimuth_deg, round(px + 3.3e-8, 6) AS px, round(py + 3.3e-8, 6) AS py, round(pz + 3.3e-8, 6) AS pz FROM views")

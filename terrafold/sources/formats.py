@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,6 +182,97 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, schema)
 
 
+CAMERAS = "path string, frame int, r array<array<double>>, t array<double>, k array<array<double>>"
+
+
+def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """Cameras of the same files: path, frame, extrinsic as r and t, intrinsic k (null where a file has none), and the pose (px, py, pz, rotation)."""
+    from terrafold.operators.points import camera_pose
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b.path, b.content):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    e, k = z["extrinsic"] if "extrinsic" in z.files else np.zeros((0, 3, 4)), z["intrinsic"] if "intrinsic" in z.files else None
+                if len(e):
+                    yield pd.DataFrame({"path": p, "frame": np.arange(len(e), dtype=np.int32), "r": e[:, :, :3].astype(float).tolist(), "t": e[:, :, 3].astype(float).tolist(), "k": k.astype(float).tolist() if k is not None else [None] * len(e)})
+
+    c = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, CAMERAS)
+    return c.withColumns(camera_pose(F.col("r"), F.col("t")))
+
+
+def prediction_npz(points: DataFrame, cameras: DataFrame | None = None) -> DataFrame:
+    """The files that read_predictions reads: map_id, npz. points: map_id, frame, row, col, x, y, z, conf, r, g, b; cameras: map_id, frame, r, t, k.
+
+    A map is one batch of keyframes, so it is the work of one task. Pixels that a map lacks have NaN positions and no confidence.
+    """
+    left = points.select("map_id", "frame", "row", "col", "x", "y", "z", "conf", "r", "g", "b")
+    right = cameras.select("map_id", "frame", F.col("r").alias("e"), "t", "k") if cameras is not None else left.sparkSession.createDataFrame([], "map_id string, frame int, e array<array<double>>, t array<double>, k array<array<double>>")
+
+    def write(key: tuple, g: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame({"map_id": [], "npz": []})
+        f, i, j = (g[n].to_numpy(int) for n in ("frame", "row", "col"))
+        s, h, w = f.max() + 1, i.max() + 1, j.max() + 1
+        pts, conf, img = np.full((s, h, w, 3), np.nan, np.float32), np.zeros((s, h, w), np.float32), np.zeros((s, 3, h, w), np.float32)
+        pts[f, i, j], conf[f, i, j] = g[["x", "y", "z"]].to_numpy(np.float32), g.conf.to_numpy(np.float32)
+        for n, colour in enumerate("rgb"):
+            img[f, n, i, j] = (g[colour].to_numpy(np.float32) + 0.5) / 255  # truncation on reading gives the number back
+        arrays = {"world_points": pts, "world_points_conf": conf, "images": np.minimum(img, 1.0)}
+        c = c.sort_values("frame")
+        if len(c):
+            arrays["extrinsic"] = np.stack([np.column_stack([np.array(r.tolist()), t]) for r, t in zip(c.e, c.t)])
+            if c.k.notna().all():
+                arrays["intrinsic"] = np.stack([np.array(k.tolist()) for k in c.k])
+        out = io.BytesIO()
+        np.savez_compressed(out, **arrays)
+        return pd.DataFrame({"map_id": [key[0]], "npz": [out.getvalue()]})
+
+    return left.groupBy("map_id").cogroup(right.groupBy("map_id")).applyInPandas(write, "map_id string, npz binary")
+
+
+def keyframe_name(frame_id: Column, ts: Column) -> Column:
+    """File name of a kept frame: its number and the time of its arrival to the microsecond."""
+    return F.concat(F.format_string("keyframe_%06d_", frame_id), F.date_format(ts, "yyyyMMdd_HHmmss_SSSSSS"), F.lit(".jpg"))
+
+
+def png(image: np.ndarray) -> bytes:
+    """An image (h x w x 3, 0-255) as PNG."""
+    h, w, _ = image.shape
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(image, np.uint8).reshape(h, -1)], 1).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def model_inputs(points: DataFrame) -> DataFrame:
+    """The frames a model saw, from their points' colours: map_id, name (frame_000000.png, ...), image. One frame is the work of one task; missing pixels are black."""
+
+    def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        i, j = g["row"].to_numpy(int), g["col"].to_numpy(int)
+        img = np.zeros((i.max() + 1, j.max() + 1, 3), np.uint8)
+        img[i, j] = np.clip(g[["r", "g", "b"]].to_numpy(), 0, 255)
+        return pd.DataFrame({"map_id": [key[0]], "name": [f"frame_{key[1]:06d}.png"], "image": [png(img)]})
+
+    return points.select("map_id", "frame", "row", "col", "r", "g", "b").groupBy("map_id", "frame").applyInPandas(draw, "map_id string, name string, image binary")
+
+
+def write_files(files: DataFrame, name: str, content: str, folder: str) -> None:
+    """Each row's bytes as a file of its own, written by the executors under a folder that they share."""
+    import os
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, data in zip(b["n"], b["c"]):
+                at = os.path.join(folder, n)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(f"{at}.part", "wb") as f:
+                    f.write(bytes(data))
+                os.replace(f"{at}.part", at)  # a task that runs again replaces the file whole
+            yield pd.DataFrame({"k": [len(b)]})
+
+    files.select(F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(put, "k long").agg(F.sum("k")).collect()
+
+
 def list_images(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Image files (jpg, jpeg, png, bmp) sorted by path, at most `limit`."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(jpg|jpeg|png|bmp)$")).orderBy("path")
