@@ -1,7 +1,8 @@
 """Maps and the site as tables in a folder: the catalogue, the fold that grows the site, deletion, segmentation targets.
 
 Each map's rows are a partition (map_id=...) of its tables, so reading or deleting one map touches its files only. The
-site is rewritten step by step, as its fold demands; readers see the newest finished version.
+site grows map by map, as its fold demands, in tiles of whole voxels: a map reads and rewrites the tiles that its points touch, and
+no others; readers see the newest finished list of tiles.
 """
 
 from __future__ import annotations
@@ -13,24 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.operators import geo, points, segments, voxel
+from terrafold.session import cut, delete_folder, list_folder
 
 MAPS = "map_id string, created timestamp_ntz, deleted boolean, version long"
 SITE_MAPS = "source long, map_id string"
+TILES = "tile string, folder string"
 SITE = "ord long, x double, y double, z double, r int, g int, b int, conf double, source long"
 
 
 class Database:
     """Catalogue of maps and one site under `path` (a folder every executor can reach)."""
 
-    def __init__(self, spark: SparkSession, path: str, voxel_size: float = voxel.VOXEL, percentile: float = 10.0):
-        self.spark, self.path, self.voxel_size, self.percentile = spark, path.rstrip("/"), voxel_size, percentile
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _p(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def __init__(self, spark: SparkSession, path: str, voxel_size: float = voxel.VOXEL, percentile: float = 10.0, tile: int = 1024):
+        """tile: side of a site's tile in voxels; a site without voxels is one tile."""
+        self.spark, self.path, self.voxel_size, self.percentile, self.tile = spark, path.rstrip("/"), voxel_size, percentile, tile
 
     def _exists(self, name: str) -> bool:
-        return self._fs.exists(self._p(name))
+        return bool(list_folder(self.spark, f"{self.path}/{name}"))
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
@@ -59,7 +59,7 @@ class Database:
             df.withColumn("map_id", F.lit(map_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("map_id").parquet(f"{self.path}/{name}")
 
     def _versions(self, name: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._p(name)) if self._fs.exists(self._p(f"{name}/{s.getPath().getName()}/_SUCCESS"))) if self._exists(name) else []
+        return [v for v in list_folder(self.spark, f"{self.path}/{name}") if "_SUCCESS" in list_folder(self.spark, f"{self.path}/{name}/{v}")]
 
     def _write_version(self, name: str, df: DataFrame) -> None:
         """A new version beside the old ones, then the old ones go; a lost job leaves the last version readable."""
@@ -67,14 +67,42 @@ class Database:
         n = int(old[-1].split("-")[0]) + 1 if old else 0
         df.write.parquet(f"{self.path}/{name}/{n:08d}-{uuid.uuid4().hex[:8]}")
         for v in old:
-            self._fs.delete(self._p(f"{name}/{v}"), True)
+            delete_folder(self.spark, f"{self.path}/{name}/{v}")
 
     def _latest(self, name: str, schema: str) -> DataFrame:
         v = self._versions(name)
         return self._read(f"{name}/{v[-1]}" if v else f"{name}/none", schema)
 
+    def _tile_of(self, x: str = "x", y: str = "y"):  # noqa: ANN202
+        side = self.voxel_size * self.tile
+        return F.concat_ws("_", F.floor(F.col(x) / side).cast("string"), F.floor(F.col(y) / side).cast("string")) if side > 0 else F.lit("0_0")
+
+    def _tiles(self) -> dict[str, list[str]]:
+        """Folders that hold each tile's rows now: a row a tile and folder, by the newest finished list."""
+        out: dict[str, list[str]] = {}
+        for r in self._latest("site_tiles", TILES).orderBy("tile", "folder").collect():
+            out.setdefault(r["tile"], []).append(r["folder"])
+        return out
+
+    def _read_tiles(self, tiles: dict[str, list[str]]) -> DataFrame:
+        paths = [f"{self.path}/site/{f}/tile={t}" for t, folders in tiles.items() for f in folders]
+        return self.spark.read.schema(SITE).parquet(*paths) if paths else self.spark.createDataFrame([], SITE)
+
     def site(self) -> DataFrame:
-        return self._latest("site", SITE)
+        return self._read_tiles(self._tiles())
+
+    def _replace_tiles(self, rows: DataFrame, replaced: set[str]) -> None:
+        """Rows in place of the tiles `replaced`; a row that rounding moved beyond them is added to its tile. The list of tiles is written last, so readers see all or nothing."""
+        tiles, folder = self._tiles(), uuid.uuid4().hex
+        rows.withColumn("tile", self._tile_of()).repartition("tile").write.partitionBy("tile").parquet(f"{self.path}/site/{folder}")
+        fresh = [n[5:] for n in list_folder(self.spark, f"{self.path}/site/{folder}") if n.startswith("tile=")]
+        gone = [(t, f) for t in replaced for f in tiles.get(t, [])]
+        kept = {t: f for t, f in tiles.items() if t not in replaced}
+        for t in fresh:
+            kept.setdefault(t, []).append(folder)
+        self._write_version("site_tiles", self.spark.createDataFrame([(t, f) for t, folders in kept.items() for f in folders], TILES))
+        for t, f in gone:
+            delete_folder(self.spark, f"{self.path}/site/{f}/tile={t}")
 
     def site_maps(self) -> DataFrame:
         """Maps of the site by source; ids no longer in the catalogue are left out without renumbering."""
@@ -95,7 +123,10 @@ class Database:
         target = tuple(F.lit(v).cast("double") for v in origin)
         moved = geo.rebase_enu(placed, ("e", "n", "u"), (F.col("lat0"), F.col("lon0"), F.col("alt0")), target, ("x", "y", "z"))
         new = moved.withColumn("source", F.lit(len(maps)).cast("long"))
-        self._write_version("site", voxel.grow(self.site(), new.select(*voxel.SITE), self.voxel_size))
+        new = cut(new.select(*voxel.SITE))
+        touched = {r["t"] for r in new.where(points.finite_xyz()).select(self._tile_of().alias("t")).distinct().collect()}  # the tiles of one map
+        here = {t: f for t, f in self._tiles().items() if t in touched}
+        self._replace_tiles(voxel.grow(self._read_tiles(here), new, self.voxel_size), touched)
         self._write_version("site_maps", self.spark.createDataFrame([(r["source"], r["map_id"]) for r in maps] + [(len(maps), map_id)], SITE_MAPS))
         return True
 
@@ -105,7 +136,7 @@ class Database:
         at = next((r["source"] for r in maps if r["map_id"] == map_id), None)
         if at is None:
             return
-        self._write_version("site", voxel.drop_source(self.site(), at))
+        self._replace_tiles(cut(voxel.drop_source(self.site(), at)), set(self._tiles()))
         rest = [(r["source"] - (r["source"] > at), r["map_id"]) for r in maps if r["source"] != at]
         self._write_version("site_maps", self.spark.createDataFrame(rest, SITE_MAPS))
         self.clear_segments()
@@ -114,14 +145,12 @@ class Database:
         """Takes the map out of the site and the catalogue and deletes its partitions."""
         self.drop_from_site(map_id)
         self.spark.createDataFrame([(map_id, None, True, 1)], MAPS).coalesce(1).write.mode("append").parquet(f"{self.path}/maps")
-        for s in self._fs.listStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)):
-            part = f"{s.getPath().getName()}/map_id={map_id}"
-            if self._exists(part):
-                self._fs.delete(self._p(part), True)
+        for name in list_folder(self.spark, self.path):
+            delete_folder(self.spark, f"{self.path}/{name}/map_id={map_id}")
 
     def del_site(self) -> None:
-        for name in ("site", "site_maps", "segments"):
-            self._fs.delete(self._p(name), True)
+        for name in ("site_tiles", "site", "site_maps", "segments"):
+            delete_folder(self.spark, f"{self.path}/{name}")
 
     def segments(self) -> DataFrame:
         return self._latest("segments", "query string, pos long, ord long, x double, y double, z double, red int, green int, blue int")
@@ -132,7 +161,7 @@ class Database:
     def clear_segments(self) -> int:
         """Removes all targets; returns how many there were."""
         n = self.segments().select("query").distinct().count()
-        self._fs.delete(self._p("segments"), True)
+        delete_folder(self.spark, f"{self.path}/segments")
         return n
 
     def stats(self) -> dict[str, int]:

@@ -22,8 +22,8 @@ EARTH_RADIUS_M = 6_371_008.8
 REGION_GRIDS = (0.05, 0.4, 3.2, 25.6, 360.0)
 #: A region goes to the finest grid in which its box spans at most so many cells a side.
 REGION_SPAN = 4
-#: Region cells beyond this many rows are shuffled, not broadcast.
-REGION_BROADCAST_ROWS = 50_000
+#: Region cells are broadcast up to so many bytes of ring corners (each cell carries its ring), else shuffled.
+REGION_BROADCAST_BYTES = 32 << 20
 
 
 def norm_lon(lon: Column) -> Column:
@@ -156,7 +156,8 @@ def regions_of_points(points: DataFrame, regions: DataFrame) -> DataFrame:
         return p.select(F.col("id").alias("id_point"), F.lit(None).cast(dict(regions.dtypes)["id"]).alias("region_id")).where(F.lit(False))
     keys = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("lat") + 90.0) / REGION_GRIDS[g]).alias("grow"), F.floor((F.col("lon") + 180.0) / REGION_GRIDS[g]).alias("gcol")) for g in grids])
     p = p.withColumn("_c", F.explode(keys)).select("id", "lat", "lon", "_c.*")
-    if cover.limit(REGION_BROADCAST_ROWS + 1).count() <= REGION_BROADCAST_ROWS:
+    size = cover.agg(F.sum(F.size("lats") * 16 + 64)).first()[0]
+    if size <= REGION_BROADCAST_BYTES:
         j = p.join(F.broadcast(cover), ["grid", "grow", "gcol"])
     else:
         j = salted_join(p, cover, ["grid", "grow", "gcol"], 500)
@@ -168,3 +169,21 @@ def close_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     rows = points.select("id", "lat", norm_lon(F.col("lon")).alias("lon")).distinct()
     near = near_points(rows, rows, radius_m).where(F.col("id_left") < F.col("id_right"))
     return near.groupBy(F.col("id_left").alias("id_a"), F.col("id_right").alias("id_b")).agg(F.min("dist_m").alias("dist_m"))
+
+
+def position_classes(points: DataFrame) -> DataFrame:
+    """id and class_id of each point with a usable position: points of equal position form a class, under its least id; ids with several positions are in several classes."""
+    p = points.where(usable_position(F.col("lat"), F.col("lon"))).select("id", (F.col("lat") + 0.0).alias("lat"), (norm_lon(F.col("lon")) + 0.0).alias("lon")).distinct()
+    heads = p.groupBy("lat", "lon").agg(F.min("id").alias("class_id"))
+    return salted_join(heads, p, ["lat", "lon"]).select("id", "class_id", "lat", "lon")
+
+
+def close_classes(points: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): class_id, n and position of each position in use, and the pairs of classes at most radius_m apart: class_a < class_b, dist_m.
+
+    With `position_classes` they say all that `close_pairs` says, without the square of the copies of one position.
+    """
+    classes = position_classes(points).groupBy("class_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    named = classes.select(F.struct("class_id", "lat", "lon").alias("id"), "lat", "lon")
+    near = near_points(named, named, radius_m).where(F.col("id_left") < F.col("id_right"))
+    return classes, near.select(F.col("id_left.class_id").alias("class_a"), F.col("id_right.class_id").alias("class_b"), "dist_m")

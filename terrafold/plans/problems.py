@@ -50,10 +50,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each streamed position that has any: how many maps lie within the radius, how many zones contain it, and the nearest map.
-
-    Positions of one stream repeat, so equal positions are looked up once and the result is joined back.
-    """
+    """For each streamed frame whose position has any: how many maps lie within the radius, how many zones contain it, and the nearest map. A frame sent twice counts once."""
     f = table(spark, sf_dir, "frames").select("stream", "frame_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).where(proximity.usable_position(F.col("latitude"), F.col("longitude"))).dropDuplicates(["stream", "frame_id"])
     pts = f.select(F.struct("stream", "frame_id").alias("id"), "lat", "lon")
     maps = proximity.near_points(pts, _centres(spark, sf_dir), RADIUS_M).groupBy("id_left").agg(F.countDistinct("id_right").alias("n_maps"), F.min(F.struct("dist_m", "id_right")).alias("best"))
@@ -63,10 +60,30 @@ def p5_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(key["stream"].alias("stream"), key["frame_id"].alias("frame_id"), F.coalesce("n_maps", F.lit(0)).cast("long").alias("n_maps"), F.coalesce("n_zones", F.lit(0)).cast("long").alias("n_zones"), F.col("best.id_right").alias("nearest_map"), F.round("best.dist_m", 3).alias("nearest_m"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p3_fences": p3_fences, "p5_found": p5_found, "p5_frames": p5_frames}
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of centres, how many maps lie at each, and how many other positions lie within the radius."""
+    classes, pairs = proximity.close_classes(_centres(spark, sf_dir), RADIUS_M)
+    ends = pairs.select(F.col("class_a").alias("class_id")).unionByName(pairs.select(F.col("class_b").alias("class_id")))
+    links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return classes.groupBy("class_id").agg(F.sum("n").alias("maps")).join(links, "class_id", "left").fillna(0, ["links"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p3_fences": p3_fences, "p5_found": p5_found, "p5_frames": p5_frames, "p5_classes": p5_classes}
 
 #: Brute force over whole tables.
 ORACLE = {
+    "p5_classes": """
+WITH c AS (
+  SELECT DISTINCT map_id AS id, center_gps.lat AS lat, (((center_gps.lon + 180) % 360) + 360) % 360 - 180 AS lon
+  FROM maps WHERE map_id IS NOT NULL AND center_gps.lat IS NOT NULL AND center_gps.lon IS NOT NULL AND NOT isnan(center_gps.lat) AND NOT isnan(center_gps.lon)
+    AND NOT (center_gps.lat = 0 AND center_gps.lon = 0) AND abs(center_gps.lat) <= 90),
+k AS (SELECT lat, lon, min(id) AS class_id, count(*) AS n FROM c GROUP BY 1, 2),
+p AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM k a JOIN k b ON (a.class_id, a.lat, a.lon) < (b.class_id, b.lat, b.lon)
+  WHERE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 150),
+l AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+SELECT class_id, sum(n)::BIGINT AS maps, coalesce(any_value(links), 0) AS links FROM k LEFT JOIN l ON l.id = class_id GROUP BY class_id
+""",
     "p1_found": """
 WITH c AS (
   SELECT map_id, frame,

@@ -232,6 +232,18 @@ def test_hot_cell_is_complete(spark):
     assert proximity.close_pairs(df, 150.0).count() == 150 * 149 // 2
 
 
+def test_classes_say_what_pairs_say(spark):
+    pts = [(f"p{k:03d}", 45.0, 10.0 + (360 if k % 2 else 0)) for k in range(40)] + [(f"q{k}", 45.0 + 0.0004 * k, 10.0) for k in range(5)] + [("n", None, 1.0), ("z", 0.0, 0.0)]
+    df = spark.createDataFrame(pts, "id string, lat double, lon double")
+    of = {r["id"]: r["class_id"] for r in proximity.position_classes(df).collect()}
+    classes, pairs = proximity.close_classes(df, 150.0)
+    near = {(r["class_a"], r["class_b"]) for r in pairs.collect()}
+    assert {r["class_id"]: r["n"] for r in classes.collect()} == {"p000": 41, "q1": 1, "q2": 1, "q3": 1, "q4": 1} and pairs.count() == 9
+    want = {(r["id_a"], r["id_b"]) for r in proximity.close_pairs(df, 150.0).collect()}
+    assert want == {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in near)}
+    assert all(d.count() == 0 for d in proximity.close_classes(df.limit(0), 150.0))
+
+
 def test_regions(spark):
     ring = lambda *p: [{"lat": a, "lon": b} for a, b in p]
     zones = spark.createDataFrame(

@@ -162,6 +162,29 @@ def test_database(spark, tmp_path):
     assert db.site().count() == 0
 
 
+def test_site_grows_by_the_tiles_that_a_map_touches(spark, tmp_path):
+    """Tiles a voxel wide and whole sites give the same fold; tiles that a map does not touch keep their files."""
+    rng = np.random.default_rng(4)
+    eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    sites = {}
+    for tile in (2, 10**6):
+        db = Database(spark, str(tmp_path / f"db{tile}"), voxel_size=1.0, percentile=0, tile=tile)
+        rng = np.random.default_rng(4)
+        for k, at in enumerate((0.0, 1.3, 40.0)):
+            m = db.create_map(map_id=f"m{k}")
+            pts = [(o, *map(float, at + rng.uniform(0.05, 3.95, 3)), 1, 2, 3, float(rng.uniform(1, 5))) for o in range(60)]
+            db.write_map(m, points=spark.createDataFrame(pts, "ord long, x double, y double, z double, r int, g int, b int, conf double"))
+            before = db._tiles()
+            assert db.grow_site(m, spark.createDataFrame([(f"m{j}", 1.0, eye, [0.0, 0.0, 0.0], 45.0, 10.0, 100.0) for j in range(3)], "map_id string, s double, r array<array<double>>, t array<double>, lat0 double, lon0 double, alt0 double"))
+            if tile == 2 and k == 2:
+                assert before and all(db._tiles()[t] == f for t, f in before.items())
+        sites[tile] = {(r["ord"], round(r["x"], 9), round(r["y"], 9), round(r["conf"], 9), r["source"]) for r in db.site().collect()}
+        if tile == 2:
+            db.drop_from_site("m1")
+            assert db.site().where("source > 1").count() == 0 and sorted(r["map_id"] for r in db.site_maps().collect()) == ["m0", "m2"]
+    assert sites[2] == sites[10**6]
+
+
 def test_registry(spark):
     r = registry.Registry("thing")
 
