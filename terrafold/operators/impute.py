@@ -185,12 +185,14 @@ def _penalty(m: dict, psi: np.ndarray) -> float:
 
 
 def _maximised(s: np.ndarray, psi: np.ndarray) -> dict:
-    """M-step under the priors, from the summed statistics K x (13 + fix types)."""
+    """M-step under the priors, from the summed statistics K x (13 + fix types).
+
+    The components' means stay at 0: each map's own expectation has taken them out of its residuals, and a few maps of wild
+    readings must not move what is filled in all others.
+    """
     w = np.maximum(s[:, 0], 1e-9)
-    mu = s[:, 1:4] / w[:, None]
-    scatter = s[:, 4:13].reshape(-1, 3, 3) - w[:, None, None] * mu[:, :, None] * mu[:, None, :]
     fixes = s[:, 13:] + SMOOTHING
-    return {"pi": np.maximum(w / w.sum(), 1e-9), "mu": mu, "sigma": (scatter + psi) / w[:, None, None], "theta": fixes / fixes.sum(1, keepdims=True)}
+    return {"pi": np.maximum(w / w.sum(), 1e-9), "mu": np.zeros((len(w), 3)), "sigma": (s[:, 4:13].reshape(-1, 3, 3) + psi) / w[:, None, None], "theta": fixes / fixes.sum(1, keepdims=True)}
 
 
 def start_mixture(spread: np.ndarray) -> dict:
