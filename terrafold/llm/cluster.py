@@ -1,13 +1,14 @@
 """Grouping the points of each target into objects by reciprocal-nearest-neighbour average linkage on a sparse graph.
 
-Linked are points of a target at most `reach` apart, reach being a share of the diagonal of the target's box. Average
-linkage over the links that exist (a missing link is no information) keeps every merged pair above the similarity
-threshold that a link of length reach has, so merging stops exactly when no link is left between clusters: an object is
-what a chain of links joins. Each round merges all mutual best pairs; similarities are compared in steps of 1/LEVELS,
+Linked are points of a target at most `reach` apart, reach being a share of the diagonal of the target's box; a link's similarity falls
+from 1 to 1/2 at that length. Average linkage over the links that exist (a missing link is no information) merges clusters while
+their average similarity reaches the threshold. At CHAINS, the similarity of the longest link, it stops exactly when no link is left
+between clusters: an object is what a chain of links joins. A higher threshold stops sooner and keeps apart what only
+long links join. Each round merges all mutual best pairs; similarities are compared in steps of 1/LEVELS,
 and equally good mutual partners merge in the same round, so a hub does not take one round a neighbour.
 
-Points in one cell of side reach / sqrt(3) are all linked, so cells are the first clusters. They bound a target's graph by
-geometry: a box with diagonal d has at most about 140,000 cells of side 0.02 d / sqrt(3), however many points it holds.
+Cells are so small that any two points of one are similar enough (side reach / sqrt(3) for chains), so cells are the first clusters. They
+bound a target's graph by geometry: a box with diagonal d has at most about 140,000 cells of side 0.02 d / sqrt(3), however many points it holds.
 A cell sends at most KEEP points to the target's task: all it has, or its outermost ones in 26 directions. Cell pairs that these
 neither link nor rule out and that nothing else joins are checked exactly against all their points by a salted join.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,18 @@ from terrafold.session import cut
 
 REACH, LEAST_POINTS, TYPICAL = 0.02, 20, 3
 KEEP, LEVELS = 32, 16
+#: Similarity of a link as long as the reach, a hair below it: the threshold at which objects are chains. Pairs of points measured at once.
+CHAINS, PAIRS = 0.5 - 1e-9, 1_000_000
 _BITS = 21
-_HALF = [o for o in itertools.product(range(-2, 3), repeat=3) if o > (0, 0, 0)]
 _DIRECTIONS = [o for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
 
 
-def placed_points(segments: DataFrame, reach: float = REACH) -> tuple[DataFrame, bool]:
+def cell_share(threshold: float) -> float:
+    """Side of a cell as a share of reach: its diagonal is the longest link of that similarity, and no longer than reach."""
+    return min(1.0, 2 * (1 - max(threshold, 0.5))) * (1 - 1e-9) / math.sqrt(3)
+
+
+def placed_points(segments: DataFrame, reach: float = REACH, threshold: float = CHAINS) -> tuple[DataFrame, bool]:
     """(points, whether a target is hot). Points: target_id, ord, x, y, z, reach (metres of that target) and cell of each distinct point with finite coordinates."""
     inf = float("inf")
     ok = F.col("target_id").isNotNull() & F.col("ord").isNotNull()
@@ -46,7 +54,7 @@ def placed_points(segments: DataFrame, reach: float = REACH) -> tuple[DataFrame,
     diagonal = F.sqrt(sum((F.pow(F.col(f"hi_{c}") - F.col(f"lo_{c}"), 2) for c in ("y", "z")), F.pow(F.col("hi_x") - F.col("lo_x"), 2)))
     box = box.withColumn("reach", F.lit(reach) * diagonal).drop("hi_x", "hi_y", "hi_z")
     p = spread.join(pts, box)
-    side = F.when(F.col("reach") > 0, F.col("reach") * ((1 - 1e-9) / math.sqrt(3))).otherwise(1.0)
+    side = F.when(F.col("reach") > 0, F.col("reach") * cell_share(threshold)).otherwise(1.0)
     i, j, k = (F.floor((F.col(c) - F.col(f"lo_{c}")) / side) for c in ("x", "y", "z"))
     cell = F.shiftleft(i, 2 * _BITS).bitwiseOR(F.shiftleft(j, _BITS)).bitwiseOR(k)
     return p.select("target_id", "ord", "x", "y", "z", "reach", cell.alias("cell")), bool(spread.hot)
@@ -125,8 +133,8 @@ def average_linkage(n: int, a: np.ndarray, b: np.ndarray, links: np.ndarray, tot
     return label
 
 
-def _graph(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Cells of one target and the edges among them: (cell, n, head, first rows, a, b, links, total, ambiguous a, ambiguous b)."""
+def _graph(g: pd.DataFrame, threshold: float) -> tuple[np.ndarray, ...]:
+    """Cells of one target and the edges among them, PAIRS of points at a time: (cell, n, head, first rows, a, b, links, total, ambiguous a, ambiguous b)."""
     g = g.sort_values("cell", kind="stable")
     cell = g.cell.to_numpy()
     p = g[["x", "y", "z"]].to_numpy(float)
@@ -137,7 +145,10 @@ def _graph(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
     mask = (1 << _BITS) - 1
     ijk = np.stack([ids >> (2 * _BITS), (ids >> _BITS) & mask, ids & mask], 1)
     aa, bb = [], []
-    for o in _HALF:
+    far = math.ceil(1 / cell_share(threshold) - 1e-6)
+    for o in itertools.product(range(-far, far + 1), repeat=3):
+        if o <= (0, 0, 0):
+            continue
         q = ijk + o
         want = (q[:, 0] << (2 * _BITS)) | (q[:, 1] << _BITS) | q[:, 2]
         at = np.searchsorted(ids, want)
@@ -149,25 +160,35 @@ def _graph(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
     out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     lo, hi = np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)
     size = count[a] * count[b]
-    for s in range(0, len(a), 20_000):  # in blocks of cell pairs, so memory stays bounded
-        ca, cb, m = a[s : s + 20_000], b[s : s + 20_000], size[s : s + 20_000]
+    upto = np.cumsum(size)
+    for s, e in _blocks(upto):
+        ca, cb, m = a[s:e], b[s:e], size[s:e]
         pair = np.repeat(np.arange(len(ca)), m)
         k = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
         d = np.sqrt(((p[first[ca][pair] + k // count[cb][pair]] - p[first[cb][pair] + k % count[cb][pair]]) ** 2).sum(1))
         near = d <= reach
         links = np.bincount(pair[near], minlength=len(ca)).astype(float)
         total = np.bincount(pair[near], 1.0 - 0.5 * d[near] / reach if reach > 0 else None, minlength=len(ca))
-        e = links > 0
-        for x, v in zip(out, (ca[e], cb[e], links[e], total[e])):
+        joined = links > 0
+        for x, v in zip(out, (ca[joined], cb[joined], links[joined], total[joined])):
             x.append(v)
         gap = np.sqrt((np.maximum(0, np.maximum(lo[ca] - hi[cb], lo[cb] - hi[ca])) ** 2).sum(1))
-        open_ = ~e & ((n[ca] > count[ca]) | (n[cb] > count[cb])) & (gap <= reach)
+        open_ = ~joined & ((n[ca] > count[ca]) | (n[cb] > count[cb])) & (gap <= reach)
         out[4].append(ca[open_])
         out[5].append(cb[open_])
     cat = [np.concatenate(x) if x else np.zeros(0, int) for x in out]
     return (ids, n, head, *cat)
 
 
+def _blocks(upto: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of cell pairs with about PAIRS pairs of points each, from their running sum; one cell pair has at most (2 KEEP)^2."""
+    s = 0
+    while s < len(upto):
+        e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PAIRS, "right")))
+        yield s, e
+        s = e
+
+
 _LABELS = "target_id long, cell long, head_ord long, size long, other long"
 
 
@@ -178,26 +199,26 @@ def _labels(target, ids, n, head, label) -> pd.DataFrame:
     return pd.DataFrame({"target_id": target, "cell": ids, "head_ord": heads[label], "size": size[label], "other": pd.array([None] * len(ids), dtype="Int64")})
 
 
-def _cluster(g: pd.DataFrame) -> pd.DataFrame:
+def _cluster(g: pd.DataFrame, threshold: float = CHAINS) -> pd.DataFrame:
     target = g.target_id.iloc[0]
-    ids, n, head, a, b, links, total, oa, ob = _graph(g)
+    ids, n, head, a, b, links, total, oa, ob = _graph(g, threshold)
     if len(oa):
         lab = _components(len(ids), a, b)
         apart = lab[oa] != lab[ob]
         if apart.any():  # to be settled exactly before this target is clustered
             return pd.DataFrame({"target_id": target, "cell": ids[oa[apart]], "head_ord": 0, "size": 0, "other": pd.array(ids[ob[apart]], dtype="Int64")})
-    return _labels(target, ids, n, head, average_linkage(len(ids), a, b, links, total, 0.5 - 1e-9))
+    return _labels(target, ids, n, head, average_linkage(len(ids), a, b, links, total, threshold))
 
 
-def _cluster_settled(g: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
+def _cluster_settled(g: pd.DataFrame, extra: pd.DataFrame, threshold: float = CHAINS) -> pd.DataFrame:
     if not len(g):
         return pd.DataFrame({c.split()[0]: np.zeros(0, np.int64) for c in _LABELS.split(", ")})
-    ids, n, head, a, b, links, total, _, _ = _graph(g)
+    ids, n, head, a, b, links, total, _, _ = _graph(g, threshold)
     if len(extra):
         a = np.r_[a, np.searchsorted(ids, extra.cell.to_numpy())]
         b = np.r_[b, np.searchsorted(ids, extra.other.to_numpy())]
         links, total = np.r_[links, np.ones(len(extra))], np.r_[total, 1.0 - 0.5 * extra.ratio.to_numpy()]
-    return _labels(g.target_id.iloc[0], ids, n, head, average_linkage(len(ids), a, b, links, total, 0.5 - 1e-9))
+    return _labels(g.target_id.iloc[0], ids, n, head, average_linkage(len(ids), a, b, links, total, threshold))
 
 
 def _exact_links(points: DataFrame, pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -211,23 +232,26 @@ def _exact_links(points: DataFrame, pairs: DataFrame, counts: DataFrame) -> Data
     return both.withColumn("d", d).where(F.col("d") <= F.col("reach")).groupBy("target_id", "cell", "other").agg(F.min(F.col("d") / F.col("reach")).alias("ratio"))
 
 
-def objects(segments: DataFrame, reach: float = REACH, least: int = LEAST_POINTS) -> DataFrame:
+def objects(segments: DataFrame, reach: float = REACH, least: int = LEAST_POINTS, threshold: float = CHAINS) -> DataFrame:
     """target_id, head_ord, ord, x, y, z: each point of each object of at least `least` points, under its smallest ord.
 
+    threshold: average similarity, from CHAINS to below 1, down to which clusters merge; above CHAINS, a cell of more than KEEP points
+    counts by its outermost ones.
+
     Points with a null or non-finite coordinate, and rows without target_id or ord, are left out; repeated rows count
     once; a target whose points all coincide is one object if large enough; an empty table gives no rows.
     """
-    points, hot = placed_points(segments, reach)
+    points, hot = placed_points(segments, reach, threshold)
     points = points.persist()  # stays placed by target: what follows needs no further shuffle of it until the end
     kept, cells = outline(points, hot)
     kept = kept.persist()
-    found = kept.groupBy("target_id").applyInPandas(_cluster, _LABELS).persist()
+    found = kept.groupBy("target_id").applyInPandas(lambda g: _cluster(g, threshold), _LABELS).persist()
     labels = found.where(F.col("other").isNull())
     pairs = found.where(F.col("other").isNotNull()).select("target_id", "cell", "other")
     if not pairs.isEmpty():
         links = cut(_exact_links(points, pairs, cells))
         again = kept.join(pairs.select("target_id").distinct(), "target_id", "left_semi")
-        labels = labels.unionByName(again.groupBy("target_id").cogroup(links.groupBy("target_id")).applyInPandas(_cluster_settled, _LABELS))
+        labels = labels.unionByName(again.groupBy("target_id").cogroup(links.groupBy("target_id")).applyInPandas(lambda g, e: _cluster_settled(g, e, threshold), _LABELS))
     labels = labels.where(F.col("size") >= least).select("target_id", "cell", "head_ord")
     counts = cells.select("target_id", "cell", F.col("n").alias("_n"))
     return salted_join(labels, points, ["target_id", "cell"], counts=counts).select("target_id", "head_ord", "ord", "x", "y", "z")

@@ -194,6 +194,27 @@ def test_ambiguous_cells_are_settled_exactly(spark, monkeypatch):
     assert got == brute_objects(rows)
 
 
+def test_a_higher_threshold_keeps_apart_what_long_links_join(spark):
+    """Two tight balls whose only links are nearly as long as the reach, and a third farther away: chains join the two, a threshold does not."""
+    rng = np.random.default_rng(9)
+    ball = lambda x, n: np.c_[x + rng.uniform(-0.05, 0.05, n), rng.uniform(-0.05, 0.05, (n, 2))]
+    p = np.concatenate([ball(0.0, 30), ball(1.0, 30), ball(20.0, 30), [[50.0, 0, 0]]])  # reach is about 1
+    df = spark.createDataFrame([(1, "q", k, *map(float, x)) for k, x in enumerate(p)], SEG)
+    sizes = lambda **kw: sorted(r["count"] for r in cluster.objects(df, **kw).groupBy("head_ord").count().collect())
+    assert sizes() == [30, 60] and sizes(threshold=0.7) == [30, 30, 30]
+    loose = np.concatenate([ball(0.0, 30), ball(0.3, 30), [[50.0, 0, 0]]])
+    df = spark.createDataFrame([(1, "q", k, *map(float, x)) for k, x in enumerate(loose)], SEG)
+    assert sizes(threshold=0.7) == [60] and sizes(threshold=0.95) == [30, 30]
+
+
+def test_blocks_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(cluster, "PAIRS", 10)
+    size = np.array([3, 3, 3, 30, 1, 9, 1])
+    got = list(cluster._blocks(np.cumsum(size)))
+    assert [x for s, e in got for x in range(s, e)] == list(range(7)) and all(size[s:e].sum() <= 10 or e == s + 1 for s, e in got)
+    assert list(cluster._blocks(np.zeros(0, int))) == []
+
+
 def test_average_linkage_merges_best_first():
     a, b = np.array([0, 1, 2, 3]), np.array([1, 2, 3, 4])
     lab = cluster.average_linkage(5, a, b, np.ones(4), np.array([0.9, 0.2, 0.8, 0.7]), 0.5)
