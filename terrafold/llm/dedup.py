@@ -75,9 +75,12 @@ def _floor(c: str, size: float, shift: float = 0.0):
     return F.floor((F.col(c) + shift) / size)
 
 
+_SEVEN_BITS = f"array({', '.join(f'{sum((n >> b & 1) << 3 * b for b in range(7))}L' for n in range(128))})"
+
+
 def _spread_bits(v: Column) -> Column:
     """The low 21 bits with two zero bits after each, seven at a time from a table of what seven bits become."""
-    table = F.array(*[F.lit(sum((n >> b & 1) << 3 * b for b in range(7))).cast("long") for n in range(128)])
+    table = F.expr(_SEVEN_BITS)
     seven = [F.get(table, F.shiftright(v, at).bitwiseAND(F.lit(127)).cast("int")) for at in (0, 7, 14)]
     return seven[0].bitwiseOR(F.shiftleft(seven[1], 21)).bitwiseOR(F.shiftleft(seven[2], 42))
 

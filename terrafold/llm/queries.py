@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Parts in which the waiting batches are offered to the index, one after the other; the result does not depend on it.
-OFFERS = 4
+OFFERS = 3
 
 
 def _offered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
