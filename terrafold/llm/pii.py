@@ -22,8 +22,8 @@ from terrafold.session import spread_out
 BUCKETS = 1 << 18
 LABELLED_ROWS = 7000
 LABELS = ["O", *[f"{p}-{k}" for k in labelled.KINDS for p in "BI"]]
-#: Rows decoded at once; bounds a worker's memory together with MAX_TOKENS.
-MAX_TOKENS = 150_000
+#: Tokens decoded at once, by five characters a token; a longer text is decoded in pieces that see CONTEXT characters more on either side.
+MAX_TOKENS, CONTEXT = 150_000, 4_000
 
 #: Signs by which an e-mail address is recognised, and what may follow: written out or spaced.
 _AT = re.compile(r"@|[(\[]at[)\]]|(?<=\s)at(?=\s)", re.I)
@@ -324,7 +324,7 @@ def decode(texts: list[str], m: crf.Model) -> list[list[tuple[str, int, int]]]:
 
 
 def _blocks(texts: list[str]) -> Iterator[slice]:
-    """Slices of about MAX_TOKENS tokens (by five characters a token); a longer text is a block of its own."""
+    """Slices of about MAX_TOKENS tokens; a longer text is a block of its own."""
     at, size = 0, 0
     for k, t in enumerate(texts):
         if size and size + len(t) // 5 > MAX_TOKENS:
@@ -335,6 +335,33 @@ def _blocks(texts: list[str]) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def _cuts(text: str) -> list[int]:
+    """Where a long text is cut: every MAX_TOKENS tokens at the last empty line, else line end, else blank, of the piece's second half."""
+    cuts, step = [0], MAX_TOKENS * 5
+    while len(text) - cuts[-1] > step:
+        a, b = cuts[-1] + step // 2, cuts[-1] + step
+        at = next((k + len(sign) for sign in ("\n\n", "\n", " ") if (k := text.rfind(sign, a, b)) >= 0), b)
+        cuts.append(at)
+    return [*cuts, len(text)]
+
+
+def find(texts: list[str], m: crf.Model) -> Iterator[list[tuple[str, int, int]]]:
+    """`decode` for any texts, in blocks of bounded size. What begins in a piece of a long text is found there, with the context of its neighbours."""
+    for s in _blocks(texts):
+        block = texts[s]
+        if len(block) > 1 or len(block[0]) <= MAX_TOKENS * 5:
+            yield from decode(block, m)
+            continue
+        text, out = block[0], []
+        cuts = _cuts(text)
+        for a, b in zip(cuts, cuts[1:]):
+            lo = max(0, a - CONTEXT)
+            for kind, x, y in decode([text[lo : b + CONTEXT]], m)[0]:
+                if a <= x + lo < b and not (out and x + lo < out[-1][2]):
+                    out.append((kind, x + lo, y + lo))
+        yield out
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
 
@@ -343,16 +370,13 @@ def mentions(documents: DataFrame) -> DataFrame:
     """doc_id, kind, begin_at, end_at of each mention, in code points. Null and empty texts have none; equal rows give equal mentions once."""
     sent = documents.sparkSession.sparkContext.broadcast(model())  # BUCKETS x labels numbers, a fixed size
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, ids = b.text.tolist(), b.doc_id.to_numpy()
-            for s in _blocks(texts):
-                rows = [(i, *x) for i, found in zip(ids[s], decode(texts[s], m)) for x in found]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "kind", "begin_at", "end_at"])
+            rows = [(i, *x) for i, found in zip(b.doc_id.tolist(), find(b.text.tolist(), sent.value)) for x in found]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "kind", "begin_at", "end_at"])
 
-    return spread_out(_texts(documents)).mapInPandas(find, "doc_id long, kind string, begin_at int, end_at int").distinct()
+    return spread_out(_texts(documents)).mapInPandas(each, "doc_id long, kind string, begin_at int, end_at int").distinct()
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -366,14 +390,13 @@ def redacted(documents: DataFrame) -> DataFrame:
                 continue
             texts = [t if isinstance(t, str) else "" for t in b.text]
             new, count = [], []
-            for s in _blocks(texts):
-                for t, found in zip(texts[s], decode(texts[s], m)):
-                    parts, at = [], 0
-                    for kind, x, y in found:
-                        parts += [t[at:x], f"[{kind.upper()}]"]
-                        at = y
-                    new.append("".join([*parts, t[at:]]))
-                    count.append(len(found))
+            for t, found in zip(texts, find(texts, m)):
+                parts, at = [], 0
+                for kind, x, y in found:
+                    parts += [t[at:x], f"[{kind.upper()}]"]
+                    at = y
+                new.append("".join([*parts, t[at:]]))
+                count.append(len(found))
             out = b[["doc_id"]].copy()
             out["text"] = [None if not isinstance(o, str) else n for o, n in zip(b.text, new)]
             out["n_mentions"] = np.array(count, np.int32)

@@ -242,6 +242,20 @@ def test_cut_is_exact_where_the_next_token_hangs_on_it():
     assert cut > 100
 
 
+def test_long_texts_in_pieces_give_the_same(monkeypatch):
+    m = pii.model()
+    texts = [t for t, _ in labelled.table(120, seed=5)]
+    long = "\n\n".join(texts)
+    want = pii.decode([long], m)[0]
+    monkeypatch.setattr(pii, "MAX_TOKENS", 400)
+    monkeypatch.setattr(pii, "CONTEXT", 600)
+    cuts = pii._cuts(long)
+    assert len(cuts) > 5 and all(b - a <= 2000 for a, b in zip(cuts, cuts[1:])) and pii._cuts("x" * 5000) == [0, 2000, 4000, 5000]
+    got = list(pii.find([texts[0], long, texts[1]], m))
+    assert got[0] == pii.decode([texts[0]], m)[0] and len(got) == 3
+    assert len(set(got[1]) ^ set(want)) <= 0.01 * len(want)  # a piece's edge is far from what it keeps, not infinitely far
+
+
 def test_tokens_and_awkward_texts():
     import re
 
