@@ -152,18 +152,18 @@ k AS (SELECT s.* FROM site s JOIN t ON s.source IS NOT DISTINCT FROM t.source WH
 
 @query(f"""
 WITH {_KEPT}, n AS (SELECT source, count(*) AS total FROM site GROUP BY source), m AS (SELECT source, count(*) AS high, avg(conf) AS mean, stddev_pop(conf) AS std FROM k GROUP BY source)
-SELECT n.source, total, coalesce(high, 0) AS high, round(coalesce(mean, 0), 6) AS mean_conf, round(coalesce(std, 0), 6) AS std_conf, round(coalesce(high, 0) / total, 6) AS coverage FROM n LEFT JOIN m ON n.source IS NOT DISTINCT FROM m.source
+SELECT n.source, total, coalesce(high, 0) AS high, round(coalesce(mean, 0) + 3.3e-8, 6) AS mean_conf, round(coalesce(std, 0) + 3.3e-8, 6) AS std_conf, round(coalesce(high, 0) / total + 3.3e-8, 6) AS coverage FROM n LEFT JOIN m ON n.source IS NOT DISTINCT FROM m.source
 """)
 def confidence_report(spark, d):
-    return rounded(points.confidence_report(table(spark, d, "site"), "source"), 6, "mean_conf", "std_conf", "coverage")
+    return nudged(points.confidence_report(table(spark, d, "site"), "source"), "mean_conf", "std_conf", "coverage")
 
 
 @query(f"""
-WITH {_KEPT} SELECT n.source, count(k.ord) AS num_points, round(avg(k.conf), 6) AS mean_confidence, round(quantile_cont(k.conf, 0.5), 6) AS median_confidence
+WITH {_KEPT} SELECT n.source, count(k.ord) AS num_points, round(avg(k.conf) + 3.3e-8, 6) AS mean_confidence, round(quantile_cont(k.conf, 0.5) + 3.3e-8, 6) AS median_confidence
 FROM (SELECT DISTINCT source FROM site) n LEFT JOIN k ON n.source IS NOT DISTINCT FROM k.source GROUP BY n.source
 """)
 def confidence_stats(spark, d):
-    return rounded(points.confidence_stats(table(spark, d, "site"), "source"), 6, "mean_confidence", "median_confidence")
+    return nudged(points.confidence_stats(table(spark, d, "site"), "source"), "mean_confidence", "median_confidence")
 
 
 @query("""
@@ -554,21 +554,21 @@ def _catalogue(spark, d):
 
 
 @query(f"""WITH {_KEPT} SELECT c.map_id, 'scene_origin' AS layer, 'scene_geo.glb' AS model, 'absolute' AS altitude_mode, any_value(lon0) AS lon, any_value(lat0) AS lat, any_value(coalesce(alt0, 0)) AS alt, any_value(s) AS scale,
-  round(avg(k.conf), 6) AS mean_confidence, round(quantile_cont(k.conf, 0.5), 6) AS median_confidence FROM {_CATALOGUE} c LEFT JOIN k USING (source) GROUP BY c.map_id""")
+  round(avg(k.conf) + 3.3e-8, 6) AS mean_confidence, round(quantile_cont(k.conf, 0.5) + 3.3e-8, 6) AS median_confidence FROM {_CATALOGUE} c LEFT JOIN k USING (source) GROUP BY c.map_id""")
 def map_geojson(spark, d):
     """Every map's GeoJSON with the statistics of its points, read back field by field."""
     stats_ = points.confidence_stats(table(spark, d, "site").where("source IS NOT NULL"), "source")
     texts = formats.map_geojson(_catalogue(spark, d).join(stats_, "source", "left"))
-    return rounded(formats.parse_geojson(texts), 6, "mean_confidence", "median_confidence").select("map_id", "layer", "model", "altitude_mode", "lon", "lat", "alt", "scale", "mean_confidence", "median_confidence")
+    return nudged(formats.parse_geojson(texts), "mean_confidence", "median_confidence").select("map_id", "layer", "model", "altitude_mode", "lon", "lat", "alt", "scale", "mean_confidence", "median_confidence")
 
 
 @query(f"""WITH m AS (SELECT map_id, source FROM {_CATALOGUE} WHERE source IN (SELECT source FROM site))
-SELECT 'site_origin' AS layer, 'site.glb' AS model, 'absolute' AS altitude_mode, 10.0::DOUBLE AS lon, 45.0::DOUBLE AS lat, 300.0::DOUBLE AS alt, (SELECT count(*) FROM m) AS num_maps, count(*) AS num_points, round(avg(conf), 6) AS mean_confidence, round(quantile_cont(conf, 0.5), 6) AS median_confidence,
+SELECT 'site_origin' AS layer, 'site.glb' AS model, 'absolute' AS altitude_mode, 10.0::DOUBLE AS lon, 45.0::DOUBLE AS lat, 300.0::DOUBLE AS alt, (SELECT count(*) FROM m) AS num_maps, count(*) AS num_points, round(avg(conf) + 3.3e-8, 6) AS mean_confidence, round(quantile_cont(conf, 0.5) + 3.3e-8, 6) AS median_confidence,
   (SELECT string_agg(map_id, ',' ORDER BY source) FROM m) AS map_ids FROM site""")
 def site_geojson(spark, d):
     s = table(spark, d, "site")
     maps = _catalogue(spark, d).join(s.select("source"), "source", "left_semi").select("source", "map_id")
-    out = rounded(formats.parse_geojson(formats.site_geojson(s, maps, (45.0, 10.0, 300.0))), 6, "mean_confidence", "median_confidence")
+    out = nudged(formats.parse_geojson(formats.site_geojson(s, maps, (45.0, 10.0, 300.0))), "mean_confidence", "median_confidence")
     return out.select("layer", "model", "altitude_mode", "lon", "lat", "alt", "num_maps", "num_points", "mean_confidence", "median_confidence", F.array_join("map_ids", ",").alias("map_ids"))
 
 
@@ -785,12 +785,12 @@ _TIMES = "t AS (SELECT stream, frame_id AS seq, min(epoch_us(arrived) - epoch_us
 
 @query(f"""WITH {_KEYFRAMES}, {_TIMES}, h AS (SELECT stream, s, row_number() OVER (PARTITION BY stream ORDER BY seq DESC) AS back, count(*) OVER (PARTITION BY stream) AS n FROM t WHERE s IS NOT NULL),
 m AS (SELECT stream, avg(s) AS a, max(s) AS b, min(s) AS c FROM h WHERE back <= CASE WHEN n <= 1000 THEN n ELSE 500 + (n - 1001) % 501 END GROUP BY stream), kn AS (SELECT stream, count(*) AS kept FROM k GROUP BY stream), fn AS (SELECT stream, count(*) AS total FROM f GROUP BY stream)
-SELECT stream, total, coalesce(kept, 0) AS keyframes, round(100.0 * coalesce(kept, 0) / total, 6) AS rate, round(a, 6) AS mean_s, round(b, 6) AS max_s, round(c, 6) AS min_s FROM fn LEFT JOIN kn USING (stream) LEFT JOIN m USING (stream)""")
+SELECT stream, total, coalesce(kept, 0) AS keyframes, round(100.0 * coalesce(kept, 0) / total + 3.3e-8, 6) AS rate, round(a + 3.3e-8, 6) AS mean_s, round(b + 3.3e-8, 6) AS max_s, round(c + 3.3e-8, 6) AS min_s FROM fn LEFT JOIN kn USING (stream) LEFT JOIN m USING (stream)""")
 def selector_stats(spark, d):
     """Selection counts and times; a frame's time is the one from its shot to its first arrival."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     t = table(spark, d, "frames").groupBy("stream", F.col("frame_id").alias("seq")).agg((F.min(us("arrived") - us("ts")) / 1e6).alias("s"))
-    return rounded(stats.selector_stats(_selected(spark, d).join(t, ["stream", "seq"]), "s"), 6, "rate", "mean_s", "max_s", "min_s").select("stream", "total", "keyframes", "rate", "mean_s", "max_s", "min_s")
+    return nudged(stats.selector_stats(_selected(spark, d).join(t, ["stream", "seq"]), "s"), "rate", "mean_s", "max_s", "min_s").select("stream", "total", "keyframes", "rate", "mean_s", "max_s", "min_s")
 
 
 @query(f"""WITH {_KEYFRAMES} SELECT count(DISTINCT stream) AS connections, count(*) AS frames, count(latitude) AS with_position, (SELECT count(*) FROM k) AS keyframes, round(100.0 * (SELECT count(*) FROM k) / (SELECT count(*) FROM f), 6) AS rate, round((epoch_us(max(arrived)) - epoch_us(min(arrived))) / 1e6, 6) AS seconds FROM frames""")
