@@ -43,9 +43,10 @@ def read_client_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.select(pick("latitude").alias("latitude"), pick("longitude").alias("longitude"), pick("altitude", "height").alias("altitude"))
 
 
-def write_gps_csv(df: DataFrame, path: str) -> None:
-    """Header and blanks for null, ordered by pos."""
-    df.coalesce(1).sortWithinPartitions("pos").select("latitude", "longitude", "altitude").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def write_gps_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """Header and blanks for null, ordered by pos: as files whose names follow the order, or as one, which is what a map's own positions need."""
+    parts = df.coalesce(1) if single else df.repartitionByRange("pos")
+    parts.sortWithinPartitions("pos").select("latitude", "longitude", "altitude").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def read_transform(spark: SparkSession, path: str) -> DataFrame:
