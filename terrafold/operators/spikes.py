@@ -5,8 +5,8 @@
    chunks next to it before they are judged, however long they are.
 2. Step lengths between neighbouring frames go into mergeable quantile sketches (counts in logarithmic bins, relative
    error `SKETCH_GAMMA` - 1), kept by stream and hour of day and merged to the stream; partial counts combine map-side.
-3. The fences are the expanded interquartile fence and a multiple of the 95th percentile, the wider of the two; the
-   liveliest hour's sketch widens the stream's fence, for all hours alike. No frame is judged by its own hour.
+3. The fences are the expanded interquartile fence and a multiple of the 95th percentile, the wider of the two. A frame is judged
+   by the fence of its own hour of day, held within HOUR_RANGE of the stream's, and by the stream's where the hour has few steps.
 4. A reading is flagged where it is no position on this planet, where it and at most `MAX_AWAY` neighbours leave the
    path by more than the fence and come back to it, or where it repeats exactly (zero variance) for longer than the
    stream's resolution explains while the image moves on.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,8 +32,8 @@ FENCE_IQR, FENCE_P95 = 8.0, 3.5
 #: Least fences in metres, for streams that hardly move.
 FLOOR_H, FLOOR_Z = 0.6, 0.6
 MAX_AWAY = 6
-#: An hour's sketch counts from so many steps, and may widen the stream's fence by this factor at most (a short hour may be mostly wrong readings).
-HOUR_STEPS, HOUR_WIDENS = 64, 1.5
+#: An hour's sketch counts from so many steps; its fence may be narrower or wider than the stream's by these factors (a short hour may be mostly wrong readings, and a still one must not make the next start a case).
+HOUR_STEPS, HOUR_RANGE = 64, (0.75, 1.5)
 #: Altitudes outside are no altitudes of a craft.
 ALT_RANGE = (-1000.0, 20000.0)
 METRES_PER_DEGREE = 111_195.08
@@ -65,6 +65,10 @@ def chunked(frames: DataFrame, chunk: int, margin: int) -> DataFrame:
     return f.repartition("stream", "chunk")
 
 
+def _hour() -> Column:
+    return F.pmod(F.floor(F.col("us") / 3_600_000_000), F.lit(24)).cast("int")
+
+
 def step_sketches(chunks: DataFrame) -> DataFrame:
     """Counts of steps: stream, hour, kind (h, z, d: horizontal, vertical, displacement), bin, n. Bin null holds zeros.
 
@@ -82,7 +86,7 @@ def step_sketches(chunks: DataFrame) -> DataFrame:
     z = F.abs(F.col("al") - F.lag("al").over(w)) / gap
     back = {k: F.coalesce(F.col("al") == F.lag("al", k).over(w), F.lit(False)) for k in range(1, RUN_STEPS[-1] + 1)}
     reached = F.coalesce(*[F.when(functools.reduce(operator.and_, [back[k] for k in range(1, n)]) & ~back[n], F.lit(n)) for n in RUN_STEPS])
-    c = c.select("stream", "chunk", "core", F.pmod(F.floor(F.col("us") / 3_600_000_000), F.lit(24)).cast("int").alias("hour"), h.alias("h"), z.alias("z"), F.col("displacement").alias("d"), reached.alias("r")).where("core")
+    c = c.select("stream", "chunk", "core", _hour().alias("hour"), h.alias("h"), z.alias("z"), F.col("displacement").alias("d"), reached.alias("r")).where("core")
     kinds = F.explode(F.array(F.struct(F.lit("h").alias("kind"), F.col("h").alias("v")), F.struct(F.lit("z").alias("kind"), F.col("z").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("d").alias("v")), F.struct(F.lit("r").alias("kind"), F.col("r").cast("double").alias("v"))))
     s = c.select("stream", "hour", kinds.alias("k")).select("stream", "hour", "k.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
     bin_ = F.when(F.col("v") > 1e-6, F.ceil(F.log(F.col("v")) / float(np.log(SKETCH_GAMMA))).cast("int"))
@@ -100,17 +104,19 @@ def sketch_quantiles(sketch: DataFrame, by: list[str], quantiles: dict[str, floa
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row a stream: fence_h, fence_z, far_h, far_z (normal 95th percentiles), moves (median displacement), goes_on (odds that a run of equal altitudes goes on), n."""
+    """One row a stream: fence_h, fence_z, hours_h, hours_z (fences of single hours of day), far_h, far_z (normal 95th percentiles), moves (median displacement), goes_on (odds that a run of equal altitudes goes on), n."""
     q = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
     fence = F.greatest(F.col("q75") + FENCE_IQR * (F.col("q75") - F.col("q25")), FENCE_P95 * F.col("q95"))
     whole = sketch_quantiles(sketch, ["stream", "kind"], q).withColumn("fence", fence)
     hour = sketch_quantiles(sketch.where(F.col("kind").isin("h", "z")), ["stream", "kind", "hour"], q).withColumn("fence", fence).where(F.col("total") >= HOUR_STEPS)
-    hour = hour.groupBy("stream", "kind").agg(F.max("fence").alias("hour_fence"))
-    x = whole.join(hour, ["stream", "kind"], "left").withColumn("fence", F.greatest("fence", F.least(F.coalesce("hour_fence", F.lit(0.0)), HOUR_WIDENS * F.col("fence"))))
+    hour = hour.groupBy("stream", "kind").agg(F.map_from_entries(F.collect_list(F.struct("hour", "fence"))).alias("hours"))  # at most 24 entries
+    low, high = (F.col("fence") * k for k in HOUR_RANGE)
+    x = whole.join(hour, ["stream", "kind"], "left").withColumn("hours", F.transform_values("hours", lambda k, v: F.least(F.greatest(v, low), high)))
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     out = x.groupBy("stream").agg(
         F.coalesce(pick("h", "fence"), F.lit(0.0)).alias("fence_h"),
         F.coalesce(pick("z", "fence"), F.lit(0.0)).alias("fence_z"),
+        *[F.first(F.when(F.col("kind") == k, F.col("hours")), ignorenulls=True).alias(f"hours_{k}") for k in ("h", "z")],
         F.coalesce(pick("h", "q95"), F.lit(0.0)).alias("far_h"),
         F.coalesce(pick("z", "q95"), F.lit(0.0)).alias("far_z"),
         pick("d", "q50").alias("moves"),
@@ -124,21 +130,21 @@ def fences(sketch: DataFrame) -> DataFrame:
     return out.withColumn("goes_on", (F.col("_went") + RUN_PRIOR * F.col("still")) / (F.col("_could") + RUN_PRIOR)).drop("_went", "_could")
 
 
-def _excursions(a: np.ndarray, fid: np.ndarray, sec: np.ndarray, fence: float, far: float) -> np.ndarray:
-    """Flags of the rows of `a` (n x dims, metres) that leave the path and come back within MAX_AWAY rows."""
+def _excursions(a: np.ndarray, fid: np.ndarray, sec: np.ndarray, fences: np.ndarray | float, far: float) -> np.ndarray:
+    """Flags of the rows of `a` (n x dims, metres) that leave the path and come back within MAX_AWAY rows; fences: of each row."""
     flag = np.zeros(len(a), bool)
     if len(a) < 3:
         return flag
-    idx = np.arange(len(a))
+    idx, fences = np.arange(len(a)), np.broadcast_to(np.asarray(fences, float), (len(a),))
     usual = np.median(np.diff(sec)) if len(sec) > 1 else 1.0
     pause = max(8.0 * usual, 3.0)
     for away in range(1, MAX_AWAY + 1):
         if len(idx) < away + 2:
             break
-        p, f, t = a[idx], fid[idx].astype(float), sec[idx]
+        p, f, t, fence = a[idx], fid[idx].astype(float), sec[idx], fences[idx]
         d1 = np.sqrt(((p[1:] - p[:-1]) ** 2).sum(1))
         g1 = np.maximum(1.0, f[1:] - f[:-1])
-        jump = d1 > fence + far * (g1 - 1)
+        jump = d1 > np.maximum(fence[1:], fence[:-1]) + far * (g1 - 1)
         if not jump.any():
             break
         n = len(idx)
@@ -147,9 +153,9 @@ def _excursions(a: np.ndarray, fid: np.ndarray, sec: np.ndarray, fence: float, f
         bad = np.zeros(n, bool)
         if len(s):
             back = np.sqrt(((p[s + away] - p[s - 1]) ** 2).sum(1))
-            ok = (back <= np.maximum(fence, 1.5 * far * (f[s + away] - f[s - 1]))) & (t[s + away - 1] - t[s - 1] < pause * (away + 2)) & (t[s + away] - t[s + away - 1] < pause * 2)
+            ok = (back <= np.maximum(fence[s], 1.5 * far * (f[s + away] - f[s - 1]))) & (t[s + away - 1] - t[s - 1] < pause * (away + 2)) & (t[s + away] - t[s + away - 1] < pause * 2)
             for k in range(away):  # every row between must be away from both ends
-                ok &= np.minimum(np.sqrt(((p[s + k] - p[s - 1]) ** 2).sum(1)), np.sqrt(((p[s + k] - p[s + away]) ** 2).sum(1))) > fence
+                ok &= np.minimum(np.sqrt(((p[s + k] - p[s - 1]) ** 2).sum(1)), np.sqrt(((p[s + k] - p[s + away]) ** 2).sum(1))) > fence[s + k]
             for k in range(away):
                 bad[s[ok] + k] = True
         if away <= 3:
@@ -176,7 +182,7 @@ def _runs(eq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def judge(g: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
-    """Flags of one chunk's frames (sorted, one row a frame_id), with the stream's fences in each row, and its border runs (EDGES)."""
+    """Flags of one chunk's frames (sorted, one row a frame_id), with its fences in each row, and its border runs (EDGES)."""
     lat, lon, alt = (g[c].to_numpy(float) for c in ("latitude", "longitude", "altitude"))
     fid, sec, dis = g.frame_id.to_numpy(), g.us.to_numpy() / 1e6, g.displacement.to_numpy(float)
     r = g.iloc[0]
@@ -189,11 +195,11 @@ def judge(g: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
         mid = np.median(la)
         ref = lo[0]
         xy = np.stack([((lo - ref + 180.0) % 360.0 - 180.0) * np.cos(np.radians(mid)), la], 1) * METRES_PER_DEGREE
-        hit = _excursions(xy, fid[ok], sec[ok], max(r.fence_h, FLOOR_H), r.far_h)
+        hit = _excursions(xy, fid[ok], sec[ok], np.maximum(g.fence_h.to_numpy(float)[ok], FLOOR_H), r.far_h)
         flag[np.nonzero(ok)[0][hit]] = True
     ok = np.isfinite(alt) & ~bad_alt
     if ok.sum() >= 3:
-        hit = _excursions(alt[ok][:, None], fid[ok], sec[ok], max(r.fence_z, FLOOR_Z), r.far_z)
+        hit = _excursions(alt[ok][:, None], fid[ok], sec[ok], np.maximum(g.fence_z.to_numpy(float)[ok], FLOOR_Z), r.far_z)
         flag[np.nonzero(ok)[0][hit]] = True
     core = np.nonzero(g.core.to_numpy(bool))[0]
     if not len(core):
@@ -303,7 +309,9 @@ def implausible_frames(frames: DataFrame, chunk: int = 4096, margin: int = 128)
     c = chunked(frames, chunk, margin)
     stats = fences(step_sketches(c))
     by_chunk = c.select("stream", "chunk").distinct().join(stats, "stream")
-    joined = c.join(by_chunk, ["stream", "chunk"]).sortWithinPartitions("stream", "chunk", "frame_id")
+    joined = c.join(by_chunk, ["stream", "chunk"])
+    own = {f"fence_{k}": F.coalesce(F.try_element_at(f"hours_{k}", _hour()), F.col(f"fence_{k}")) for k in ("h", "z")}
+    joined = joined.withColumns(own).drop("hours_h", "hours_z").sortWithinPartitions("stream", "chunk", "frame_id")
     out = cut(joined.mapInPandas(_judge_partitions, f"frame_id long, {EDGES}"))
     inside = out.where("frame_id IS NOT NULL").select("stream", "frame_id")
     return inside.unionByName(border_runs(out.where("frame_id IS NULL").drop("frame_id"))).distinct()

@@ -165,6 +165,23 @@ def test_spikes_runs_and_impossible_readings(spark):
     assert found(spark, rows[::-1] + rows[:90], chunk=64, margin=40) == {(1, k) for k in want}
 
 
+def test_frames_are_judged_by_their_own_hour(spark):
+    """A stream that is lively in one hour and calm in the next: the same excursion is a case in the calm one only."""
+    import datetime as dt
+
+    rows = flight(5, 1200)
+    for k in range(1200):
+        rows[k][2] = dt.datetime(2021, 1, 1) + dt.timedelta(seconds=6 * k)
+        rows[k][7] = 300.0 + (3.0 if k < 600 else 1.5) * float(np.random.default_rng(k).normal())
+    f = spikes.fences(spikes.step_sketches(spikes.chunked(spark.createDataFrame([tuple(r) for r in rows], FRAMES), 4096, 128))).first()
+    assert f["hours_z"][1] < f["fence_z"] < f["hours_z"][0]
+    middle = (f["hours_z"][0] + f["hours_z"][1]) / 2
+    for k in (300, 900):
+        rows[k - 1][7] = rows[k + 1][7] = 300.0
+        rows[k][7] = 300.0 + middle
+    assert found(spark, rows) == {(5, 900)}
+
+
 def test_frozen_run_is_judged_alike_in_short_and_long_streams(spark):
     for n in (400, 8000):
         rows = flight(3, n)
