@@ -108,7 +108,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     q = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
     fence = F.greatest(F.col("q75") + FENCE_IQR * (F.col("q75") - F.col("q25")), FENCE_P95 * F.col("q95"))
     whole = sketch_quantiles(sketch, ["stream", "kind"], q).withColumn("fence", fence)
-    hour = sketch_quantiles(sketch.where(F.col("kind").isin("h", "z")), ["stream", "kind", "hour"], q).withColumn("fence", fence).where(F.col("total") >= HOUR_STEPS)
+    # All kinds go through every aggregate, so that the sketch is one plan, computed once.
+    hour = sketch_quantiles(sketch, ["stream", "kind", "hour"], q).withColumn("fence", fence).where(F.col("total") >= HOUR_STEPS)
     hour = hour.groupBy("stream", "kind").agg(F.map_from_entries(F.collect_list(F.struct("hour", "fence"))).alias("hours"))  # at most 24 entries
     low, high = (F.col("fence") * k for k in HOUR_RANGE)
     x = whole.join(hour, ["stream", "kind"], "left").withColumn("hours", F.transform_values("hours", lambda k, v: F.least(F.greatest(v, low), high)))
@@ -123,9 +124,9 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.coalesce(pick("z", "zeros"), F.lit(0.0)).alias("still"),
         F.coalesce(pick("z", "total"), F.lit(0)).alias("n"),
     )
-    at = {n: F.coalesce(F.sum(F.when(F.col("bin") == int(np.ceil(np.log(n) / np.log(SKETCH_GAMMA))), F.col("n"))), F.lit(0)) for n in RUN_STEPS}
+    at = {n: F.coalesce(F.sum(F.when((F.col("kind") == "r") & (F.col("bin") == int(np.ceil(np.log(n) / np.log(SKETCH_GAMMA)))), F.col("n"))), F.lit(0)) for n in RUN_STEPS}
     went, could = (sum((at[n] for n in steps[1:]), at[steps[0]]) for steps in (RUN_STEPS[1:], RUN_STEPS[:-1]))
-    runs = sketch.where(F.col("kind") == "r").groupBy("stream").agg(went.alias("_went"), could.alias("_could"))
+    runs = sketch.groupBy("stream").agg(went.alias("_went"), could.alias("_could"))
     out = out.join(runs, "stream", "left").fillna(0, ["_went", "_could"])
     return out.withColumn("goes_on", (F.col("_went") + RUN_PRIOR * F.col("still")) / (F.col("_could") + RUN_PRIOR)).drop("_went", "_could")
 

@@ -30,7 +30,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normal movement of each stream and the fences it is judged by."""
-    return spikes.fences(spikes.step_sketches(spikes.chunked(table(spark, sf_dir, "frames"), 4096, 128)))
+    f = spikes.fences(spikes.step_sketches(spikes.chunked(table(spark, sf_dir, "frames"), 4096, 128)))
+    return f.withColumns({c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))) for c in ("hours_h", "hours_z")})
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
